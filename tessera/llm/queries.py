@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, secrets, simhash, toxicity
+from . import bpe, media, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 from .common import table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +25,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of every page; the records themselves as SHA-256."""
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -36,6 +43,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.evaluate(urlfilter.captures_of(pages), urlfilter.entries_of(pages))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,10 +59,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op6_media": op6_media,
     "op7_secrets": op7_secrets,
+    "op8_urlfilter": op8_urlfilter,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op4_quality": quality.SQL}
+ORACLES: dict[str, str] = {"op4_quality": quality.SQL, "op8_urlfilter": urlfilter.SQL}

@@ -33,7 +33,7 @@ from .common import map_arrow
 
 MAX_TRAIN = 20_000
 MAX_TERMS = 4_000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8, 9)
 #: Least likelihood ratio (chi-squared, one degree of freedom) and least share of toxic rows of an entry.
 MIN_G2 = 22.0
 MIN_PRECISION = 0.6
