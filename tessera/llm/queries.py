@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, secrets, simhash, toxicity, urlfilter, warc
+from . import bpe, dedup, media, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 from .common import table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
+    "op5_dedup": op5_dedup,
     "op6_media": op6_media,
     "op7_secrets": op7_secrets,
     "op8_urlfilter": op8_urlfilter,
