@@ -34,6 +34,7 @@ MIN_GROUP = 50
 MEASURES = {"symbols": (1001, 3, 20), "dup_lines": (1001, 3, 300), "repeats": (1001, 3, 200), "word_length": (1001, 6, 25)}
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = (*BASE, "n_lines", "base_failed")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -68,7 +69,10 @@ def measure(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(starts, zero, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW_WORDS), i - acc["last"])).alias("n")), lambda acc: acc["n"])
     x = x.withColumn("n_repeat_words", F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(covered).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return x.withColumn("base_failed", failed).drop("_words", "_lines", "_hashes", "_sorted", "_before", "_after")
+    x = x.withColumn("base_failed", failed)
+    # a generator, through which no filter is pushed: a filter on a measure would compute it, and all it is made of, again
+    measured = F.inline(F.array(F.struct("n_lines", *BASE, "base_failed")))
+    return x.select(*(F.col(f"`{c}`") for c in docs.columns if c not in MEASURED), measured)
 
 
 def bins() -> dict[str, Column]:
