@@ -31,7 +31,7 @@ MAX_REPEAT_PERCENT = 30
 MIN_GROUP = 50
 #: Measure: (bins, quartile distances that the fences lie beyond the quartiles, and the least distance in bins).
 #: Ratios are in thousandths, the mean word length in tenths of a character.
-MEASURES = {"symbols": (1001, 3, 20), "dup_lines": (1001, 3, 300), "repeats": (1001, 3, 200), "word_length": (1001, 6, 25)}
+MEASURES = {"symbols": (1001, 3, 20), "dup_lines": (1001, 3, 500), "repeats": (1001, 3, 200), "word_length": (1001, 6, 25)}
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURED = (*BASE, "n_lines", "base_failed")
