@@ -51,11 +51,11 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(at, step)
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow of a batch-wise kernel over slices of bounded size."""
 
     def run(batches):
-        for piece in slices(batches):
+        for piece in slices(batches, limit):
             out = kernel(piece)
             if out is not None and out.num_rows:
                 yield out

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, null_safe_bytes, slices
+from .common import map_arrow, materialise, null_safe_bytes
 from .suffix import repeated_windows
 
 WIDTH = 200
@@ -41,7 +41,9 @@ GRAM = 64
 #: Bytes of the contexts of one suffix array, about.
 SHARD_BYTES = 3 << 20
 MAX_CONTEXTS = 8192
-BLOCK = 1 << 21
+#: Bytes whose anchors are searched at once, and bytes of texts in a slice: arrays of eight bytes for each of them are in memory.
+BLOCK = 1 << 18
+TEXT_BYTES = 2 << 20
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -85,18 +87,18 @@ def anchors(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
     n_windows = len(data) - width + 1
     if n_windows <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    text_of = np.repeat(np.arange(len(texts)), lengths)[:n_windows]
-    valid = np.arange(n_windows) + width <= (start + lengths)[text_of]
+    stop = start + lengths
     found = []
     for a in range(0, n_windows, BLOCK):
         b = min(n_windows, a + BLOCK)
-        if not valid[a:b].any():
+        text_of = np.searchsorted(stop, np.arange(a, b), side="right")
+        ok = np.flatnonzero(np.arange(a, b) + width <= stop[text_of])
+        if not len(ok):
             continue
         h = gram_hashes(data[a : b + width - 1])
         least = sliding_least((h & ~LOW) | np.arange(len(h), dtype=np.uint64), width - GRAM + 1)
         where = (least & LOW).astype(np.int64)
-        ok = np.flatnonzero(valid[a:b])
-        q, t, p = where[ok] + a, text_of[a:b][ok], ok + a
+        q, t, p = where[ok] + a, text_of[ok], ok + a
         new = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (t[1:] != t[:-1])))
         found.append((t[new], h[q[new] - a].view(np.int64), q[new], p[new], np.append(p[new[1:] - 1], p[-1])))
     if not found:
@@ -189,7 +191,7 @@ def _repeated_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def repeated_anchors(texts: DataFrame, n_parts: int, width: int) -> DataFrame:
     """key, ordinals of the texts (key, text) that hold anchors which occur again."""
-    packed = map_arrow(texts, _count_batch(n_parts, width), "part long, hashes binary, keys binary, texts binary, ordinals binary, states binary")
+    packed = map_arrow(texts, _count_batch(n_parts, width), "part long, hashes binary, keys binary, texts binary, ordinals binary, states binary", TEXT_BYTES)
     found = packed.repartition(n_parts, "part").mapInArrow(_repeated_part, "key binary, ordinals array<int>")
     return found.groupBy("key").agg(F.flatten(F.collect_list("ordinals")).alias("ordinals"))
 
@@ -338,7 +340,7 @@ def runs_by_text(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CO
     flags = materialise(repeated_anchors(texts, n_parts, width), "repeated_anchors")
     held = materialise(texts.join(flags, "key"), "repeated_texts")
     schema = f"{CONTEXTS}, keys array<binary>, starts array<long>"
-    contexts = materialise(map_arrow(held, _context_batch(width), schema), "contexts")
+    contexts = materialise(map_arrow(held, _context_batch(width), schema, TEXT_BYTES), "contexts")
     judged = repeated_runs(contexts.drop("keys", "starts"), width, max_contexts)
     places = contexts.select("id", F.inline(F.arrays_zip("keys", "starts"))).withColumnsRenamed({"keys": "key", "starts": "at"})
     runs = places.join(judged, "id").select("key", F.transform("starts", lambda s: s + F.col("at") + F.col("shift")).alias("starts"), "lengths")
