@@ -39,8 +39,8 @@ from .suffix import repeated_windows
 WIDTH = 200
 GRAM = 64
 #: Bytes of the contexts of one suffix array, about.
-SHARD_BYTES = 3 << 20
-MAX_CONTEXTS = 8192
+SHARD_BYTES = 3 << 19
+MAX_CONTEXTS = 4096
 #: Bytes whose anchors are searched at once, and bytes of texts in a slice: arrays of eight bytes for each of them are in memory.
 BLOCK = 1 << 18
 TEXT_BYTES = 2 << 20
@@ -205,20 +205,21 @@ def _context_batch(width: int):
     """The contexts of the repeated anchors of a batch, equal ones as one, with all their places."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, texts, wanted = batch.column(0).to_pylist(), null_safe_bytes(batch.column(1)), batch.column(2).to_pylist()
+        keys, texts, wanted, copies = batch.column(0).to_pylist(), null_safe_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
         t, h, q, first, last = anchors(texts, width)
         base = np.searchsorted(t, np.arange(len(texts)))
         picked = np.concatenate([np.unique(np.array(w, np.int64)) + b for w, b in zip(wanted, base.tolist(), strict=True)])
-        found: dict[tuple[int, int, bytes], tuple[list[bytes], list[int]]] = {}
+        found: dict[tuple[int, int, bytes], tuple[list[bytes], list[int], list[int]]] = {}
         for k, route, anchor, a, b in zip(*(x[picked].tolist() for x in (t, h, q, first, last)), strict=True):
-            at = found.setdefault((route, anchor - a, texts[k][a : b + width]), ([], []))
+            at = found.setdefault((route, anchor - a, texts[k][a : b + width]), ([], [], []))
             at[0].append(keys[k])
             at[1].append(a)
+            at[2].append(copies[k])
         if not found:
             return None
         routes, backs, contexts = zip(*found, strict=True)
         ids = [hashlib.blake2b(c + b.to_bytes(4, "little"), digest_size=16).digest() for c, b in zip(contexts, backs, strict=True)]
-        columns = [pa.array(routes, pa.int64()), pa.array(backs, pa.int32()), pa.array(np.zeros(len(ids), np.int32)), pa.array(contexts, pa.binary()), pa.array(ids, pa.binary()), pa.array([len(x) for x, _ in found.values()], pa.int64()), pa.array([x for x, _ in found.values()], pa.list_(pa.binary())), pa.array([y for _, y in found.values()], pa.list_(pa.int64()))]
+        columns = [pa.array(routes, pa.int64()), pa.array(backs, pa.int32()), pa.array(np.zeros(len(ids), np.int32)), pa.array(contexts, pa.binary()), pa.array(ids, pa.binary()), pa.array([sum(x[2]) for x in found.values()], pa.int64()), pa.array([x[0] for x in found.values()], pa.list_(pa.binary())), pa.array([x[1] for x in found.values()], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["route", "back", "shift", "context", "id", "n", "keys", "starts"])
 
     return kernel
@@ -333,12 +334,19 @@ def cover(length: int, starts: list[int], lengths: list[int], width: int) -> np.
 
 
 def runs_by_text(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """(key, text of the texts that may lose bytes; key, starts, lengths of their repeated windows)."""
+    """(key, text of the texts that may lose bytes; key, starts, lengths of their repeated windows).
+
+    Of equal texts one goes on, with their number: the first row by its place in docs, which is a
+    table and gives its rows in the same order at every read. As the row is part of the join's key,
+    the copies of a common text do not meet in one task.
+    """
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= width)
-    flags = materialise(repeated_anchors(texts, n_parts, width), "repeated_anchors")
-    held = materialise(texts.join(flags, "key"), "repeated_texts")
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row"), "text").where(F.octet_length("text") >= width)
+    flags = repeated_anchors(texts.select("key", "text"), n_parts, width)
+    copies = texts.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    chosen = materialise(flags.join(copies, "key"), "repeated_anchors")
+    held = materialise(texts.join(chosen, ["key", "row"]).select("key", "text", "ordinals", "copies"), "repeated_texts")
     schema = f"{CONTEXTS}, keys array<binary>, starts array<long>"
     contexts = materialise(map_arrow(held, _context_batch(width), schema, TEXT_BYTES), "contexts")
     judged = repeated_runs(contexts.drop("keys", "starts"), width, max_contexts)
@@ -366,7 +374,7 @@ def removals(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CONTEX
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    made = removals(docs, width, max_contexts).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["key"])
+    made = removals(docs, width, max_contexts).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     joined = rows.join(materialise(made, "removals"), "key", "left")
@@ -379,7 +387,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_
     def valid(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["_key", "_left"])
 
-    made = removals(docs, width, max_contexts).select("key", "kept").dropDuplicates(["key"])
+    made = removals(docs, width, max_contexts).select("key", "kept")
     made = materialise(map_arrow(made, valid, "_key binary, _left string"), "kept_texts")
     joined = docs.join(made, text_key(F.col("text")) == F.col("_key"), "left")
     out = joined.withColumn("text", F.coalesce("_left", "text")).select(*docs.columns)

@@ -22,7 +22,7 @@ END, SEPARATOR, FIRST = 0, 1, 2  # symbols: the end, between texts, and byte b a
 def classify(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one that follows it (the end symbol's too)."""
     n = len(s)
-    rise = np.sign(np.diff(s.astype(np.int32)))
+    rise = (s[1:] > s[:-1]).astype(np.int8) - (s[1:] < s[:-1])
     at = np.where(rise != 0, np.arange(n - 1, dtype=np.int32), n - 2)
     decided = np.minimum.accumulate(at[::-1])[::-1]
     return np.append(rise[decided] > 0, True)
@@ -151,12 +151,12 @@ def suffix_array(s: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
         return induce(lms)
     by_substring = induce(lms)
     by_substring = by_substring[is_lms[by_substring]].astype(np.int64)
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     length[lms] = np.append(np.diff(lms) + 1, 1)
     a, b = by_substring[:-1], by_substring[1:]
     equal = length[a] == length[b]
     equal[equal] = _common(words, a[equal], b[equal], length[a[equal]]) == length[a[equal]]
-    name = np.zeros(n, np.int64)
+    name = np.zeros(n, np.int32)
     name[by_substring] = np.append(0, np.cumsum(~equal))
     names = name[lms]
     order = by_substring if names.max() + 1 == len(lms) else lms[_sort_names(names)]
@@ -170,13 +170,13 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, stop: np.ndarray, words: np.n
     """
     n = len(s)
     words = _words(s) if words is None else words
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     anew = np.ones(n, bool)
     anew[1:] = (stop[:-1] == 0) | (before[1:] <= 0) | (s[:-1] != s[np.maximum(before[1:], 1) - 1])
     at = np.flatnonzero(anew & (before >= 0))
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     value[at] = _common(words, at, before[at], stop[at])
     last = np.maximum.accumulate(np.where(anew, i, 0))
     return before, np.maximum(value[last] - (i - last), 0)
@@ -193,8 +193,8 @@ def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     inside[ends] = False
     inside[-1] = False
     s[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + FIRST
-    stop = np.zeros(total + 1, np.int64)
-    stop[:total] = np.repeat(ends, lengths + 1) - np.arange(total)
+    stop = np.zeros(total + 1, np.int32)
+    stop[:total] = np.repeat(ends.astype(np.int32), lengths + 1) - np.arange(total, dtype=np.int32)
     words = _words(s)
     sa = suffix_array(s, words)
     before, prefix = common_prefixes(s, sa, stop, words)
