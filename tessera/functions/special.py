@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Coefficients of a published rational fit of erfc (relative error under 1.2e-7), constant term first.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -76,7 +77,7 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|) with df degrees of freedom; null or no freedom gives 1."""
     tt, d = t.to_numpy(float), df.to_numpy(float)
@@ -87,7 +88,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """Exact two-sided binomial test: outcomes no likelier than the one seen."""
     out = []
@@ -102,7 +103,7 @@ def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rank_sum_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Exact two-sided P of a Mann-Whitney U without ties."""
     out = []
@@ -124,20 +125,20 @@ def rank_sum_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 def log_factorials(spark: SparkSession, n: int) -> DataFrame:
     """i, lf = ln(i!) for 0..n. n is a count of table rows at most, so the sum is built where the table is."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def log_factorial(i: pd.Series) -> pd.Series:
         return i.map(lambda v: math.lgamma(v + 1))
 
     return spark.range(n + 1).select(F.col("id").alias("i"), log_factorial("id").alias("lf"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma1(i: pd.Series) -> pd.Series:
     """ln(i!)."""
     return i.map(lambda v: math.lgamma(v + 1) if v is not None and v >= 0 else float("nan"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeometric_sf(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     """P(X >= k) when `drawn` of `population` are taken and `marked` are marked."""
     out = []
@@ -152,7 +153,7 @@ def hypergeometric_sf(k: pd.Series, population: pd.Series, marked: pd.Series, dr
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Fisher's exact test of a 2 x 2 table: tables no likelier than the one seen."""
     out = []

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from . import metrics
 from .neighbors import knn
 
@@ -70,7 +71,7 @@ def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, in
     return out
 
 
-def cut(merges: list[tuple[int, int, float, int]], n: int, threshold: float | None = None, n_clusters: int | None = None) -> list[int]:
+def flat_clusters(merges: list[tuple[int, int, float, int]], n: int, threshold: float | None = None, n_clusters: int | None = None) -> list[int]:
     """Flat clusters of n items, numbered by first appearance."""
     stop = len(merges) if n_clusters is None else max(0, n - n_clusters)
     group = {i: [i] for i in range(n)}
@@ -122,7 +123,7 @@ def merge_clusters(emb: DataFrame, labels: DataFrame, label: str, threshold: flo
     d = np.zeros((len(names),) * 2)
     for r in cluster_distances(emb, labels, label, method).collect():
         d[at[r["c1"]], at[r["c2"]]] = d[at[r["c2"]], at[r["c1"]]] = r["d"]
-    new = cut(linkage(d, linkage_method), len(names), threshold, n_clusters)
+    new = flat_clusters(linkage(d, linkage_method), len(names), threshold, n_clusters)
     return _mapping(emb.sparkSession, list(zip(names, new, strict=True)), labels.schema[label].dataType.simpleString())
 
 
@@ -154,7 +155,7 @@ def merge_by_markers(expr: DataFrame, cells: DataFrame, n_top: int = 10, thresho
     d = np.zeros((len(names),) * 2)
     for x in r:
         d[at[x["c1"]], at[x["c2"]]] = d[at[x["c2"]], at[x["c1"]]] = 1 - x["r"]
-    return _mapping(expr.sparkSession, list(zip(names, cut(linkage(d), len(names), 1 - threshold), strict=True)), cells.schema["cluster"].dataType.simpleString())
+    return _mapping(expr.sparkSession, list(zip(names, flat_clusters(linkage(d), len(names), 1 - threshold), strict=True)), cells.schema["cluster"].dataType.simpleString())
 
 
 def apply_mapping(labels: DataFrame, label: str, mapping: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def subcluster_recursive(emb: DataFrame, labels: DataFrame, label: str, min_size
         if not large:
             break
         for c in sorted(large):
-            labels = subcluster(emb, labels, label, c, n, seed).checkpoint()
+            labels = cut(subcluster(emb, labels, label, c, n, seed))
     ids = {r[0]: i for i, r in enumerate(labels.select(label).distinct().orderBy(label).collect())}
     return apply_mapping(labels, label, _mapping(emb.sparkSession, list(ids.items()), "int"))
 
@@ -196,7 +197,7 @@ def bootstrap_labels(emb: DataFrame, k: int, n_bootstrap: int = 100, fraction: f
     out = None
     for i in range(n_bootstrap):
         sample = hashed_sample(emb, i, fraction, seed)
-        own = cluster(sample, seed + i).select("cell_id", "label").checkpoint()
+        own = cut(cluster(sample, seed + i).select("cell_id", "label"))
         rest = emb.join(own, "cell_id", "left_anti")
         far = knn(rest, 1, sample).select(F.col("src").alias("cell_id"), "dst").join(own.select(F.col("cell_id").alias("dst"), "label"), "dst").select("cell_id", "label")
         one = own.withColumn("sampled", F.lit(True)).unionByName(far.withColumn("sampled", F.lit(False))).withColumn("iter", F.lit(i))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
+
 BLOCK_ROWS = 1024
 #: Candidates kept beyond k before distances are computed again.
 SPARE = 8
@@ -66,7 +68,7 @@ def knn_graph(near: DataFrame, mode: str = "connectivity") -> DataFrame:
 
 def adaptive_graph(emb: DataFrame, k_min: int = 5, k_max: int = 30) -> DataFrame:
     """src, dst, w: k by local density, Gaussian weights scaled by the k_min-th distance, both directions."""
-    near = knn(emb, k_max)
+    near = cut(knn(emb, k_max))
     own = near.groupBy("src").agg((1.0 / (F.avg(F.when(F.col("rank") <= k_min, F.col("d"))) + 1e-8)).alias("density"), F.max(F.when(F.col("rank") <= k_min, F.col("d"))).alias("sigma"))
     span = own.agg(F.min("density").alias("lo"), F.max("density").alias("hi"))
     dens = (F.col("density") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from . import metrics
 from .matrix import pca
 from .neighbors import knn, paga_connectivity
@@ -34,7 +35,7 @@ def diffusion_pseudotime(emb: DataFrame, root: int | None = None, k: int = 15, n
     w = near.crossJoin(F.broadcast(sigma)).select("src", "dst", F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma") + 1e-10)).alias("w"))
     a = w.unionAll(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg((F.sum("w") / 2).alias("w"))
     deg = a.groupBy("src").agg(F.sum("w").alias("deg"))
-    norm = a.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w")).checkpoint()
+    norm = cut(a.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w")))
     spark = emb.sparkSession
     n = emb.count()
     if n <= DIRECT:
@@ -62,7 +63,7 @@ def _power_iteration(norm: DataFrame, deg: DataFrame, n_components: int, alpha:
     x = deg.select(F.col("src").alias("cell_id"), start.alias("v"))
     values = np.ones(m)
     for _ in range(rounds):
-        y = norm.join(x.select(F.col("cell_id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(m))).alias("v")).checkpoint()
+        y = cut(norm.join(x.select(F.col("cell_id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(m))).alias("v")))
         gram = np.array(y.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(m))).first(), float).reshape(m, m)
         factor = np.linalg.cholesky(gram + 1e-14 * np.trace(gram) * np.eye(m))
         turn = np.linalg.inv(factor).T
@@ -74,14 +75,14 @@ def _power_iteration(norm: DataFrame, deg: DataFrame, n_components: int, alpha:
 
 def principal_curve(emb: DataFrame, n_points: int = 100, max_iter: int = 50, tol: float = 1e-4) -> DataFrame:
     """cell_id, pseudotime: position on a kernel-smoothed curve, first ordered by the first component."""
-    t = rescale(pca(emb, 1).select("cell_id", F.col("v")[0].alias("pseudotime"))).checkpoint()
+    t = cut(rescale(pca(emb, 1).select("cell_id", F.col("v")[0].alias("pseudotime"))))
     spark = emb.sparkSession
     grid = spark.range(n_points).select((F.col("id") / float(max(1, n_points - 1))).alias("g"))
     for _ in range(max_iter):
         w = F.exp(-(F.col("pseudotime") - F.col("g")) ** 2 / 0.05)
         point = emb.join(t, "cell_id").crossJoin(F.broadcast(grid)).select("g", w.alias("w"), F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
         curve = point.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("p"))
-        new = emb.crossJoin(F.broadcast(curve)).groupBy("cell_id").agg(F.min_by("g", F.struct(metrics.squared(F.col("v"), F.col("p")), F.col("g"))).alias("pseudotime")).checkpoint()
+        new = cut(emb.crossJoin(F.broadcast(curve)).groupBy("cell_id").agg(F.min_by("g", F.struct(metrics.squared(F.col("v"), F.col("p")), F.col("g"))).alias("pseudotime")))
         moved = new.join(t.withColumnRenamed("pseudotime", "old"), "cell_id").agg(F.avg(F.abs(F.col("pseudotime") - F.col("old")))).first()[0]
         t = new
         if moved < tol:
