@@ -173,14 +173,17 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without their near-duplicates: of each group the smallest doc_id stays.
 
-    Of rows that repeat that doc_id one stays. A row without a doc_id cannot be named as
-    another's duplicate, so it stays.
+    Rows are told apart by doc_id: of rows that repeat one that stays, one stays. A row without a
+    doc_id cannot be named as another's duplicate, so it stays. The list of ids that go is joined
+    rather than that of those that stay, as it is the shorter.
     """
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    found = docs.join(materialise(kept, "kept").withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"))
-    once = found.where("_copies = 1").select(*docs.columns)
-    repeated = found.where("_copies > 1")
-    if not repeated.isEmpty():
-        once = once.unionByName(repeated.dropDuplicates(["doc_id"]).select(*docs.columns))
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    named = near_duplicates(docs).where(F.col("doc_id").isNotNull())
+    ids = materialise(named.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("copies")), "kept")
+    gone = materialise(ids.where(~F.col("stays")).select(F.col("doc_id").alias("_id")), "gone")
+    rest = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = ids.where("stays AND copies > 1").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        return rest
+    repeated = materialise(repeated, "repeated")
+    once = rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
