@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,26 +78,27 @@ def abundance(cells: DataFrame, condition: str, condition1: str, condition2: str
         stat = shrunk * shrunk * n * inverse
         c = c.withColumn("statistic", F.coalesce(stat, F.lit(0.0))).withColumn("pvalue", chi2_1_sf(F.col("statistic")))
     elif method == "permutation":
-        hits = permuted(x.select("cell_id", "cluster", "_1"), n_permutations, seed)
-        seen = c.select("cluster", F.abs(F.col("prop1") - F.col("prop2")).alias("_seen"))
-        p = hits.join(seen, "cluster").groupBy("cluster").agg(((F.count_if(F.col("diff") >= F.col("_seen") - 1e-12) + 1) / (n_permutations + 1.0)).alias("pvalue"))
-        c = c.join(p, "cluster").withColumn("statistic", F.col("prop1") - F.col("prop2"))
+        rows = x.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("_1").alias("n1")).orderBy("cluster").collect()
+        drawn = permuted([(r["cluster"], r["n"]) for r in rows], sum(r["n1"] for r in rows), n_permutations, seed)
+        hits = x.sparkSession.createDataFrame(drawn, f"cluster {cells.schema['cluster'].dataType.simpleString()}, diffs array<double>")
+        seen = F.abs(F.col("prop1") - F.col("prop2"))
+        p = (F.size(F.filter("diffs", lambda v: v >= seen - 1e-12)) + 1) / (n_permutations + 1.0)
+        c = c.join(F.broadcast(hits), "cluster").withColumn("statistic", F.col("prop1") - F.col("prop2")).withColumn("pvalue", p).drop("diffs")
     else:
         raise ValueError("method is fisher, chi2 or permutation")
     return stats.adjust(c.drop("t1", "t2"), "pvalue", order=("cluster",))
 
 
-def permuted(x: DataFrame, n_permutations: int, seed: int) -> DataFrame:
-    """perm, cluster, diff: differences of shares when conditions are dealt anew, by hashes of (seed, perm, cell).
+def permuted(counts: list[tuple[object, int]], n1: int, n_permutations: int, seed: int) -> list[tuple[object, list[float]]]:
+    """(cluster, differences of shares) when the conditions are dealt anew over cells.
 
-    A cell's dealt condition comes from its rank among the hashes of a permutation, so every
-    permutation is a task's window of its own and none needs the cells on the driver.
+    Dealing n1 cells at random over the clusters is a draw of their sizes without replacement
+    (multivariate hypergeometric), so the cells themselves are not needed, only one count a cluster.
     """
-    n1 = x.agg(F.count_if("_1").alias("_n1"), F.count("*").alias("_n"))
-    dealt = x.select("cell_id", "cluster", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("perm"))
-    place = F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "cell_id"), "cell_id"))
-    flagged = dealt.withColumn("r", place).crossJoin(F.broadcast(n1)).withColumn("g", F.col("r") <= F.col("_n1"))
-    return flagged.groupBy("perm", "cluster").agg(F.abs(F.count_if("g") / F.max("_n1") - F.count_if(~F.col("g")) / (F.max("_n") - F.max("_n1"))).alias("diff"))
+    sizes = np.array([n for _, n in counts])
+    drawn = np.random.default_rng(seed).multivariate_hypergeometric(sizes, n1, n_permutations, method="marginals")
+    diff = np.abs(drawn / max(1, n1) - (sizes - drawn) / max(1, int(sizes.sum()) - n1))
+    return [(c, [float(v) for v in diff[:, i]]) for i, (c, _) in enumerate(counts)]
 
 
 def batch_chi2(cells: DataFrame, batch: str = "batch") -> DataFrame:

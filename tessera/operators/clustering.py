@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
+from ..functions.order import with_positions
 from . import metrics
 from .neighbors import knn
 
@@ -224,7 +225,7 @@ def consensus(runs: DataFrame) -> DataFrame:
 def simulate_doublets(emb: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """cell_id (negative), v: means of two different cells, chosen by arithmetic on their positions by id."""
     m = emb.count()
-    x = emb.select("v", (F.row_number().over(Window.orderBy("cell_id")) - 1).alias("pos"))
+    x = with_positions(emb.select("cell_id", "v"), "cell_id").select("v", "pos")
     pick = emb.sparkSession.range(n).select("id", F.pmod(F.col("id") * 2654435761 + seed * 40503, F.lit(1_000_003)).alias("h"))
     pick = pick.select("id", (F.col("h") % m).alias("a"), ((F.col("h") % m + 1 + F.pmod(F.col("h") * 31 + F.col("id"), F.lit(max(1, m - 1)))) % m).alias("b"))
     two = pick.join(x.select(F.col("pos").alias("a"), F.col("v").alias("va")), "a").join(x.select(F.col("pos").alias("b"), F.col("v").alias("vb")), "b")

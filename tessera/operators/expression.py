@@ -95,7 +95,7 @@ def one_vs_rest(expr: DataFrame, groups: DataFrame, group: str, min_cells: int =
     """Every group against the rest (group 1 is the rest, so log2FC is group over rest), by rank sums."""
     labels = groups.withColumn("_g", F.col(group).cast("string"))
     s = stats.one_vs_rest(expr, labels, "_g").where("n2 > 0")
-    s = s.where(((F.col("e1") >= min_cells) | (F.col("pct2") * F.col("n2") >= min_cells)) & ((F.col("pct1") >= min_pct) | (F.col("pct2") >= min_pct))) if "e1" in s.columns else s.where((F.greatest(F.col("pct1") * F.col("n1"), F.col("pct2") * F.col("n2")) >= min_cells - 1e-9) & (F.greatest("pct1", "pct2") >= min_pct))
+    s = s.where((F.greatest("e1", "e2") >= min_cells) & (F.greatest("pct1", "pct2") >= min_pct))
     s = s.select("group", "gene", F.col("mean2").alias("mean_group1"), F.col("mean1").alias("mean_group2"), stats.log_fold_change(F.col("mean1"), F.col("mean2"), pseudocount).alias("log2FC"), F.col("pct2").alias("pct_group1"), F.col("pct1").alias("pct_group2"), (F.col("n1") * F.col("n2") - F.col("u")).alias("statistic"), "pvalue")
     return stats.adjust(s, "pvalue", "group", order=("gene",))
 
@@ -145,10 +145,7 @@ def rank_genes(expr: DataFrame, labels: DataFrame, cluster: str = "cluster", met
         raise ValueError("method is wilcoxon or t-test")
     s = stats.one_vs_rest(expr, labels, cluster)
     if method == "t-test":
-        groups = labels.select("cell_id", F.col(cluster).alias("own"))
-        kinds = groups.select(F.col("own").alias("group")).distinct()
-        t = stats.student_t(expr.join(groups, "cell_id").join(F.broadcast(kinds)).withColumn("g", F.col("own") == F.col("group")), "gene", "group")
-        s = s.drop("z", "pvalue").join(t.select("gene", "group", F.col("t").alias("z"), "pvalue"), ["gene", "group"])
+        s = s.drop("z", "pvalue").join(stats.student_vs_rest(expr, labels, cluster).select("gene", "group", F.col("t").alias("z"), "pvalue"), ["gene", "group"])
     lfc = stats.log_fold_change(F.col("mean1"), F.coalesce("mean2", F.lit(0.0)))
     failed = (F.col("pct1") < min_fraction) | (F.abs(lfc) < min_fold_change)
     s = s.select(F.col("group").alias("cluster"), "gene", F.when(failed, 0.0).otherwise(F.col("z")).alias("score"), F.when(failed, 1.0).otherwise(F.col("pvalue")).alias("pval"), F.when(failed, 0.0).otherwise(lfc).alias("logfoldchange"))

@@ -19,9 +19,19 @@ def with_ranks(values: DataFrame, *keys: str) -> DataFrame:
     return values.withColumn("t", F.count("*").over(tie)).withColumn("rk", F.rank().over(Window.partitionBy(*keys).orderBy("value")) + (F.col("t") - 1) / 2.0)
 
 
+def _mean_rank(c: str, *keys: str) -> Column:
+    """Mean rank of a value that c rows share: what lies below it, and half of its own."""
+    below = F.sum(c).over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return below - (F.col(c) - 1) / 2.0
+
+
 def rank_sum(values: DataFrame, *keys: str) -> DataFrame:
-    """keys, n1, n2, u, z (no tie correction), zc (tie-corrected, continuity), pvalue."""
-    s = with_ranks(values, *keys).groupBy(*keys).agg(F.sum(F.when(F.col("g"), F.col("rk"))).alias("r1"), F.count_if("g").alias("n1"), F.count("*").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") - 1).alias("ties"))
+    """keys, n1, n2, u, z (no tie correction), zc (tie-corrected, continuity), pvalue.
+
+    Rows are counted by value first, in partial aggregates, and only different values are ranked.
+    """
+    c = values.groupBy(*keys, "value").agg(F.count("*").cast("double").alias("c"), F.count_if("g").alias("c1")).withColumn("rk", _mean_rank("c", *keys))
+    s = c.groupBy(*keys).agg(F.sum(F.col("c1") * F.col("rk")).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").cast("long").alias("n"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     return finish_rank_sum(s)
 
 
@@ -79,14 +89,35 @@ def log_fold_change(mean1: Column, mean2: Column, pseudo: float = 1.0) -> Column
 def one_vs_rest(expr: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Rank-sum statistics of every group against the others, from one ranking of each gene.
 
-    Ranks do not depend on the group, so each gene is ranked once and no row is repeated by group.
+    Ranks do not depend on the group, so each gene is ranked once and no row is repeated by group;
+    rows are counted by gene, group and value first, and only different values are ranked.
     """
     x = expr.join(labels.select("cell_id", F.col(label).alias("group")), "cell_id")
-    ranked = with_ranks(x, "gene")
-    by_group = ranked.groupBy("gene", "group").agg(F.sum("rk").alias("r1"), F.count("*").alias("n1"), F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("q1"), F.count_if(F.col("value") > 0).alias("e1"), F.sum(F.col("t").cast("double") * F.col("t") - 1).alias("_ties"))
+    counts = x.groupBy("gene", "group", "value").agg(F.count("*").cast("double").alias("c1"))
+    values = counts.groupBy("gene", "value").agg(F.sum("c1").alias("c")).withColumn("rk", _mean_rank("c", "gene"))
+    ranked = counts.join(values, ["gene", "value"])
+    v = F.col("value")
+    sums = {"r1": F.col("c1") * F.col("rk"), "n1": F.col("c1"), "s1": F.col("c1") * v, "e1": F.when(v > 0, F.col("c1")).otherwise(0.0)}
+    by_group = ranked.groupBy("gene", "group").agg(*(F.sum(e).alias(k) for k, e in sums.items()))
+    ties = values.groupBy("gene").agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     gene = Window.partitionBy("gene")
-    total = {"n": "n1", "ties": "_ties", "s": "s1", "q": "q1", "e": "e1"}
-    s = by_group.select("*", *(F.sum(c).over(gene).alias(k) for k, c in total.items())).drop("_ties")
+    s = by_group.select("*", *(F.sum(f"{c}1").over(gene).alias(c) for c in ("n", "s", "e"))).join(ties, "gene")
     n2 = F.col("n") - F.col("n1")
-    s = s.withColumns({"mean1": F.col("s1") / F.col("n1"), "mean2": F.try_divide(F.col("s") - F.col("s1"), n2), "pct1": F.col("e1") / F.col("n1"), "pct2": F.try_divide(F.col("e") - F.col("e1"), n2)})
-    return finish_rank_sum(s.drop("s1", "q1", "e1", "s", "q", "e"))
+    s = s.withColumns({"mean1": F.col("s1") / F.col("n1"), "mean2": F.try_divide(F.col("s") - F.col("s1"), n2), "pct1": F.col("e1") / F.col("n1"), "pct2": F.try_divide(F.col("e") - F.col("e1"), n2), "e2": F.col("e") - F.col("e1")})
+    return finish_rank_sum(s.drop("s1", "s", "e"))
+
+
+def student_vs_rest(expr: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """gene, group, t, df, pvalue of every group against the others, equal variances.
+
+    The others' moments follow from the gene's and the group's, so rows are read once.
+    """
+    x = expr.join(labels.select("cell_id", F.col(label).alias("group")), "cell_id")
+    m2 = F.var_pop("value") * F.count("value")
+    one = x.groupBy("gene", "group").agg(F.count("*").cast("double").alias("n1"), F.avg("value").alias("mean1"), m2.alias("q1"))
+    every = x.groupBy("gene").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), m2.alias("q"))
+    x = one.join(every, "gene").withColumn("n2", F.col("n") - F.col("n1")).withColumn("mean2", F.try_divide(F.col("n") * F.col("mean") - F.col("n1") * F.col("mean1"), F.col("n2")))
+    d = F.col("mean1") - F.col("mean2")
+    q2 = F.greatest(F.lit(0.0), F.col("q") - F.col("q1") - F.col("n1") * F.col("n2") / F.col("n") * d * d)
+    pooled = F.try_divide(F.col("q1") + q2, F.col("n") - 2)
+    return _t(x, pooled * (1 / F.col("n1") + F.try_divide(F.lit(1.0), F.col("n2"))), F.col("n") - 2).select("gene", "group", "t", "df", "pvalue")

@@ -57,20 +57,31 @@ def diffusion_pseudotime(emb: DataFrame, root: int | None = None, k: int = 15, n
 
 
 def _power_iteration(norm: DataFrame, deg: DataFrame, n_components: int, alpha: float, rounds: int = 30, seed: int = 0) -> DataFrame:
-    """Leading components by orthogonal iteration: each round one join, and a small matrix of inner products."""
-    m = n_components + 1
+    """Leading components by orthogonal iteration: each round one join, and a small matrix of inner products.
+
+    The last round's small matrix is diagonalised, which turns the basis into the components.
+    """
+    m = n_components + 4  # a few more than asked for, so that those asked for settle
     start = F.array(*((F.pmod(F.xxhash64("src", F.lit(seed + i)), F.lit(20_001)) / 10_000 - 1).cast("double") for i in range(m)))
     x = deg.select(F.col("src").alias("cell_id"), start.alias("v"))
-    values = np.ones(m)
-    for _ in range(rounds):
-        y = cut(norm.join(x.select(F.col("cell_id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(m))).alias("v")))
-        gram = np.array(y.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(m))).first(), float).reshape(m, m)
-        factor = np.linalg.cholesky(gram + 1e-14 * np.trace(gram) * np.eye(m))
-        turn = np.linalg.inv(factor).T
-        values = np.diag(factor)
-        x = y.select("cell_id", F.array(*(sum((F.col("v")[i] * float(turn[i, j]) for i in range(m)), F.lit(0.0)) for j in range(m))).alias("v"))
-    scale = [float(abs(v) ** alpha) for v in values]
-    return x.select("cell_id", F.array(*(F.col("v")[i] * scale[i] for i in range(1, m))).alias("v"))
+
+    def turned(y: DataFrame, turn: np.ndarray) -> DataFrame:
+        return y.select("cell_id", F.array(*(sum((F.col("v")[i] * float(turn[i, j]) for i in range(m)), F.lit(0.0)) for j in range(turn.shape[1]))).alias("v"))
+
+    def inner(y: DataFrame, a: str, b: str) -> np.ndarray:
+        return np.array(y.agg(*(F.sum(F.col(a)[i] * F.col(b)[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(m))).first(), float).reshape(m, m)
+
+    for r in range(rounds + 1):
+        moved = norm.join(x.select(F.col("cell_id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(m))).alias("v"))
+        if r == rounds:
+            break
+        y = cut(moved)
+        gram = inner(y, "v", "v")
+        x = cut(turned(y, np.linalg.inv(np.linalg.cholesky(gram + 1e-14 * np.trace(gram) * np.eye(m))).T))
+    small = inner(x.join(moved.withColumnRenamed("v", "av"), "cell_id"), "v", "av")
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    take = np.argsort(-values)[1 : n_components + 1]
+    return turned(x, vectors[:, take] * np.abs(values[take]) ** alpha)
 
 
 def principal_curve(emb: DataFrame, n_points: int = 100, max_iter: int = 50, tol: float = 1e-4) -> DataFrame:
