@@ -29,9 +29,9 @@ WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_GROUP = 50
-#: Measure: (bins, quartile distances that the fences lie beyond the quartiles, and the least distance in bins).
-#: Ratios are in thousandths, the mean word length in tenths of a character.
-MEASURES = {"symbols": (1001, 3, 20), "dup_lines": (1001, 3, 500), "repeats": (1001, 3, 200), "word_length": (1001, 6, 25)}
+#: Measure: quartile distances that the fences lie beyond the quartiles, and the least distance in bins.
+#: Ratios are in thousandths, the mean word length in tenths of a character; bins are 0 to 1000.
+MEASURES = {"symbols": (3, 20), "dup_lines": (3, 500), "repeats": (3, 200), "word_length": (6, 25)}
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURED = (*BASE, "n_lines", "base_failed")
@@ -115,7 +115,7 @@ def thresholds(counts: DataFrame) -> DataFrame:
 
     x = x.select("lang", "source", "measure", chosen("q1").alias("q1"), chosen("q3").alias("q3"))
     columns = []
-    for name, (_, times, least) in MEASURES.items():
+    for name, (times, least) in MEASURES.items():
         reach = F.greatest(times * (F.col("q3") - F.col("q1")), F.lit(least))
         columns.append(F.max(F.when(F.col("measure") == name, F.col("q3") + reach)).alias(f"{name}_high"))
         columns.append(F.max(F.when(F.col("measure") == name, F.col("q1") - reach)).alias(f"{name}_low"))
@@ -180,7 +180,7 @@ p AS (SELECT q3.lang, q3.source, q3.measure,
   CASE WHEN q3.n >= {MIN_GROUP} THEN q3.q3 WHEN q2.n >= {MIN_GROUP} THEN q2.q3 ELSE q1.q3 END AS hi
   FROM q3 JOIN q2 ON q3.lang IS NOT DISTINCT FROM q2.lang AND q3.measure = q2.measure JOIN q1 ON q3.measure = q1.measure),
 l AS (SELECT lang, source, measure, lo - reach AS low, hi + reach AS high FROM (
-  SELECT *, CASE measure {' '.join(f"WHEN '{k}' THEN greatest({t} * (hi - lo), {least})" for k, (_, t, least) in MEASURES.items())} END AS reach FROM p)),
+  SELECT *, CASE measure {' '.join(f"WHEN '{k}' THEN greatest({t} * (hi - lo), {least})" for k, (t, least) in MEASURES.items())} END AS reach FROM p)),
 x AS (SELECT r, bool_or(bin NOT BETWEEN low AND high) AS outside
   FROM (SELECT * FROM f UNPIVOT (bin FOR measure IN (symbols, dup_lines, repeats, word_length))) v
   JOIN l ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source AND v.measure = l.measure GROUP BY r)
