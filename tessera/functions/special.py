@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -122,22 +122,6 @@ def rank_sum_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def log_factorials(spark: SparkSession, n: int) -> DataFrame:
-    """i, lf = ln(i!) for 0..n. n is a count of table rows at most, so the sum is built where the table is."""
-
-    @F.pandas_udf(DoubleType())
-    def log_factorial(i: pd.Series) -> pd.Series:
-        return i.map(lambda v: math.lgamma(v + 1))
-
-    return spark.range(n + 1).select(F.col("id").alias("i"), log_factorial("id").alias("lf"))
-
-
-@F.pandas_udf(DoubleType())
-def lgamma1(i: pd.Series) -> pd.Series:
-    """ln(i!)."""
-    return i.map(lambda v: math.lgamma(v + 1) if v is not None and v >= 0 else float("nan"))
-
-
 @F.pandas_udf(DoubleType())
 def hypergeometric_sf(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     """P(X >= k) when `drawn` of `population` are taken and `marked` are marked."""

@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SUFFIXES = {".csv": "csv", ".tsv": "tsv", ".txt": "tsv", ".mtx": "mtx", ".parquet": "parquet", ".h5ad": "h5ad"}
 
@@ -128,7 +127,3 @@ def simulate(spark: SparkSession, n_cells: int = 1000, n_genes: int = 2000, n_cl
     x = x.select("cell_id", F.concat(F.lit("gene_"), "g").alias("gene"), rate.alias("rate"), uniform(F.lit("draw"), "cell_id", "g").alias("u"), (uniform(F.lit("drop"), "cell_id", "g") < dropout).alias("drop"))
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("c"), F.lit(0).alias("n")), lambda a, k: F.struct((a["p"] * F.col("rate") / k).alias("p"), (a["c"] + a["p"] * F.col("rate") / k).alias("c"), (a["n"] + F.when(F.col("u") > a["c"], 1).otherwise(0)).alias("n")), lambda a: a["n"])
     return x.select("cell_id", "gene", F.when(F.col("drop"), 0.0).otherwise(terms.cast("double")).alias("value")), cells
-
-
-
-EXPR_SCHEMA = T.StructType([T.StructField("cell_id", T.LongType()), T.StructField("gene", T.StringType()), T.StructField("value", T.DoubleType())])
