@@ -25,7 +25,7 @@ from .common import materialise
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-WINDOW_WORDS = 8
+WINDOW_WORDS = 8  # a power of two
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_GROUP = 50
@@ -47,15 +47,18 @@ def measure(docs: DataFrame) -> DataFrame:
     words = F.array_remove(F.split(text, f"{SPACE}+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     x = docs.withColumns({"_words": words, "_lines": lines, "n_words": F.size(words).cast("long")})
-    last = F.size("_words") - (WINDOW_WORDS - 1)
-    hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("_words", i, WINDOW_WORDS)))).otherwise(F.array().cast("array<long>"))
+    x = x.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    span = 1
+    while span < WINDOW_WORDS:  # a hash of 2n words is a hash of two hashes of n words
+        pairs = F.greatest(F.size("_hashes") - span, F.lit(0))
+        x = x.withColumn("_hashes", F.zip_with(F.slice("_hashes", 1, pairs), F.slice("_hashes", span + 1, pairs), lambda a, b: F.xxhash64(a, b)))
+        span *= 2
     x = x.withColumns(
         {
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_hashes": hashes,
         }
     )
     sorted_windows = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
