@@ -5,11 +5,13 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
+from ..functions.vectors import gathered, keyed_sums, matrix_of
 from . import metrics
 from .matrix import pca
 from .neighbors import knn, paga_connectivity
@@ -85,20 +87,36 @@ def _power_iteration(norm: DataFrame, deg: DataFrame, n_components: int, alpha:
 
 
 def principal_curve(emb: DataFrame, n_points: int = 100, max_iter: int = 50, tol: float = 1e-4) -> DataFrame:
-    """cell_id, pseudotime: position on a kernel-smoothed curve, first ordered by the first component."""
-    t = cut(rescale(pca(emb, 1).select("cell_id", F.col("v")[0].alias("pseudotime"))))
-    spark = emb.sparkSession
-    grid = spark.range(n_points).select((F.col("id") / float(max(1, n_points - 1))).alias("g"))
+    """cell_id, pseudotime: position on a kernel-smoothed curve, first ordered by the first component.
+
+    The curve (n_points vectors) is gathered each round; cells are passed over twice.
+    """
+    grid = np.linspace(0, 1, n_points)
+    first = rescale(pca(emb, 1).select("cell_id", F.col("v")[0].alias("pseudotime")))
+    x = cut(emb.select("cell_id", "v").join(first, "cell_id"))
+    width = x.select(F.size("v")).first()[0]
     for _ in range(max_iter):
-        w = F.exp(-(F.col("pseudotime") - F.col("g")) ** 2 / 0.05)
-        point = emb.join(t, "cell_id").crossJoin(F.broadcast(grid)).select("g", w.alias("w"), F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-        curve = point.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("p"))
-        new = cut(emb.crossJoin(F.broadcast(curve)).groupBy("cell_id").agg(F.min_by("g", F.struct(metrics.squared(F.col("v"), F.col("p")), F.col("g"))).alias("pseudotime")))
-        moved = new.join(t.withColumnRenamed("pseudotime", "old"), "cell_id").agg(F.avg(F.abs(F.col("pseudotime") - F.col("old")))).first()[0]
-        t = new
+
+        def smooth(rows: pa.RecordBatch):
+            w = np.exp(-((rows.column("pseudotime").to_numpy()[:, None] - grid[None]) ** 2) / 0.05)
+            return np.arange(n_points), w.sum(0), w.T @ matrix_of(rows.column("v"))
+
+        totals, sums = gathered(keyed_sums(x.select("v", "pseudotime"), smooth), n_points, width)
+        curve = sums / np.maximum(totals, 1e-300)[:, None]
+
+        def project(batches, curve=curve):
+            for rows in batches:
+                v = matrix_of(rows.column("v"))
+                if len(v):
+                    d2 = (v * v).sum(1)[:, None] + (curve * curve).sum(1)[None] - 2 * v @ curve.T
+                    yield pa.RecordBatch.from_arrays([rows.column("cell_id"), rows.column("v"), pa.array(grid[d2.argmin(1)]), rows.column("pseudotime")], ["cell_id", "v", "pseudotime", "old"])
+
+        new = cut(x.mapInArrow(project, "cell_id long, v array<double>, pseudotime double, old double"))
+        moved = new.agg(F.avg(F.abs(F.col("pseudotime") - F.col("old")))).first()[0]
+        x = new.drop("old")
         if moved < tol:
             break
-    return rescale(t)
+    return rescale(x.select("cell_id", "pseudotime"))
 
 
 def _shortest(weights: dict[tuple[int, int], float], n: int, start: int) -> tuple[list[float], list[int]]:
