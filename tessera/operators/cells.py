@@ -123,6 +123,28 @@ def regress_batch(expr: DataFrame, cells: DataFrame, batch: str = "batch") -> Da
     return x.join(means, ["gene", "_b"]).join(first, "gene").select("cell_id", "gene", (F.col("value") - F.col("_m") + F.col("_first")).alias("value"))
 
 
+def regress_covariates(expr: DataFrame, cells: DataFrame, covariates: list[str], batch: str = "batch") -> DataFrame:
+    """Values less the batch terms of a least-squares fit on batches (the first left out) and covariates, by gene.
+
+    The normal equations of a gene are sums over its cells, made in partial aggregates; only these small
+    tables are solved, and the batch effects are joined back.
+    """
+    names = [r[0] for r in cells.select(batch).distinct().orderBy(batch).collect()][1:]
+    columns = [F.lit(1.0), *(F.when(F.col("_b") == n, 1.0).otherwise(0.0) for n in names), *(F.col(c).cast("double") for c in covariates)]
+    x = expr.join(cells.select("cell_id", F.col(batch).alias("_b"), *covariates), "cell_id").withColumn("_x", F.array(*columns))
+    m = len(columns)
+    sums = x.groupBy("gene").agg(F.array(*(F.sum(F.col("_x")[i] * F.col("_x")[j]) for i in range(m) for j in range(m))).alias("xx"), F.array(*(F.sum(F.col("_x")[i] * F.col("value")) for i in range(m))).alias("xy"))
+
+    def solve(frames):
+        for f in frames:
+            f["beta"] = [list(np.linalg.lstsq(np.array(a, float).reshape(m, m), np.array(b, float), rcond=None)[0][1 : 1 + len(names)]) for a, b in zip(f["xx"], f["xy"], strict=True)]
+            yield f[["gene", "beta"]]
+
+    beta = sums.mapInPandas(solve, f"gene {expr.schema['gene'].dataType.simpleString()}, beta array<double>")
+    effect = F.coalesce(F.get("beta", F.array_position(F.array(*map(F.lit, names)), F.col("_b")) - 1), F.lit(0.0)) if names else F.lit(0.0)
+    return x.select("cell_id", "gene", "value", "_b").join(beta, "gene").select("cell_id", "gene", (F.col("value") - effect).alias("value"))
+
+
 def combat(expr: DataFrame, cells: DataFrame, batch: str = "batch") -> DataFrame:
     """Location and scale: z by gene, z again by gene and batch, back to the gene's scale. Variances are 1e-10 at least."""
     x = expr.join(cells.select("cell_id", F.col(batch).alias("_b")), "cell_id")

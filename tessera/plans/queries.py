@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import erfc_sql
-from ..operators import annotation, cells as cell_ops, clustering, expression, integration, losses, matrix, metrics, neighbors, stats, trajectory
+from ..operators import annotation, cells as cell_ops, clustering, encoders, expression, integration, losses, matrix, metrics, neighbors, plots, stats, trajectory
 from ..operators.estimator import GraphClustering
 from ..sources import io
 from ..streaming.qc import windowed_counts
@@ -303,7 +304,7 @@ def contingency_metrics(s: SparkSession, d: str) -> DataFrame:
     return rounded(x, *x.columns)
 
 
-@query()
+@query("SELECT greatest(count_if(quality = toxic), count_if(quality <> toxic)) / count(*) AS accuracy FROM labels")  # the two ways to match two labels
 def accuracy(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(metrics.accuracy(inputs.read(s, d, "labels"), "quality", "toxic"),)], "accuracy double")
 
@@ -632,6 +633,69 @@ def gcn_propagate(s: SparkSession, d: str) -> DataFrame:
     return x.select("cell_id", F.posexplode("v").alias("i", "value")).withColumn("value", r6("value"))
 
 
+# --- charts ---
+
+
+@query(f"WITH {CELLS} SELECT cluster, count(bal) AS n, min(bal) AS min, {q6('quantile_cont(bal, 0.25)')} AS q1, {q6('median(bal)')} AS median, {q6('quantile_cont(bal, 0.75)')} AS q3, max(bal) AS max FROM cells GROUP BY cluster")
+def confidence_distribution(s: SparkSession, d: str) -> DataFrame:
+    return rounded(plots.confidence_distribution(inputs.cells(s, d), "bal"), "q1", "median", "q3")
+
+
+@query(f"WITH {CELLS}, g AS (SELECT cluster, condition, count(*) AS n FROM cells GROUP BY ALL) SELECT cluster, condition, n, {q6('n / sum(n) OVER (PARTITION BY condition)')} AS prop FROM g")
+def abundance_bars(s: SparkSession, d: str) -> DataFrame:
+    return rounded(plots.abundance_bars(inputs.cells(s, d), "condition"), "prop")
+
+
+@query(f"""WITH {EXPR}, {TYPES}, b AS (SELECT cell_type, gene, row_number() OVER (PARTITION BY cell_type ORDER BY avg(zs) DESC, gene) AS k FROM me GROUP BY cell_type, gene)
+  SELECT cluster, me.cell_type, me.gene, {q6('avg(zs)')} AS z_score FROM me JOIN b ON me.cell_type = b.cell_type AND me.gene = b.gene WHERE k <= 2 GROUP BY ALL""")
+def marker_heatmap(s: SparkSession, d: str) -> DataFrame:
+    e, c = first_two(s, d)
+    # the mean z of a gene over clusters is a rounding error away from a tie only if the clusters balance exactly
+    return rounded(plots.marker_heatmap(annotation.marker_expression(e, c, inputs.markers(s)), 2), "z_score")
+
+
+@query("WITH b AS (SELECT min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 20 AS w FROM part), x AS (SELECT least(floor((p_retailprice - lo) / w), 19)::INT AS bin, lo, w FROM part, b) SELECT bin, (round(any_value(lo) + bin * any_value(w), 6) + 0.0) AS low, (round(any_value(lo) + (bin + 1) * any_value(w), 6) + 0.0) AS high, count(*) AS n FROM x GROUP BY bin")
+def value_histogram(s: SparkSession, d: str) -> DataFrame:
+    return rounded(plots.histogram(inputs.read(s, d, "part"), "p_retailprice", 20), "low", "high")
+
+
+@query("SELECT event_type, count(*) AS n, (round(count(*) / (SELECT count(*) FROM events), 6) + 0.0) AS prop FROM events GROUP BY event_type")
+def type_counts(s: SparkSession, d: str) -> DataFrame:
+    return rounded(plots.counts(inputs.read(s, d, "events"), "event_type"), "prop")
+
+
+@query(f"WITH {EMB} SELECT label AS label_1, batch AS label_2, count(*) AS n FROM emb GROUP BY ALL")
+def label_comparison(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.emb(s, d)
+    return plots.label_comparison(e, e.select("cell_id", F.col("batch").alias("label")), "label")
+
+
+@query(f"WITH {EMB}, {nearest(10)} SELECT a.cell_id, arg_min(dst, (d, dst)) AS to FROM nn JOIN emb a ON a.cell_id = src JOIN emb b ON b.cell_id = dst WHERE b.cell_id % 97 > a.cell_id % 97 GROUP BY a.cell_id".replace("AS to", 'AS "to"'))
+def trajectory_arrows(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.emb(s, d)
+    return plots.trajectory_arrows(e, e.select("cell_id", (F.col("cell_id") % 97).cast("double").alias("pseudotime")), 1.0, 10)
+
+
+@query(f"""WITH {EXPR}, m AS (SELECT gene, batch, avg(value) AS mv, avg(bal) AS mb FROM expr JOIN cells USING (cell_id) GROUP BY ALL), k AS (SELECT gene, sum((value - mv) * (bal - mb)) / sum((bal - mb) ** 2) AS k FROM expr JOIN cells USING (cell_id) JOIN m USING (gene, batch) GROUP BY gene),
+a AS (SELECT gene, batch, mv - k * mb AS a FROM m JOIN k USING (gene)), f AS (SELECT gene, min_by(a, batch) AS f FROM a GROUP BY gene) SELECT cell_id, gene, {q6('value - a + f')} AS value FROM expr JOIN cells USING (cell_id) JOIN a USING (gene, batch) JOIN f USING (gene)""")
+def regress_covariates(s: SparkSession, d: str) -> DataFrame:
+    e, c = first_two(s, d)
+    return rounded(cell_ops.regress_covariates(e, c.withColumn("bal", F.col("bal") / 1000), ["bal"]), "value")
+
+
+@query(f"WITH {EMB}, {nearest(5)}, x AS (SELECT src, dst, -d AS e FROM nn), m AS (SELECT *, exp(e - max(e) OVER (PARTITION BY dst)) AS p FROM x) SELECT src, dst, {q6('p / sum(p) OVER (PARTITION BY dst)')} AS a FROM m")
+def edge_attention(s: SparkSession, d: str) -> DataFrame:
+    near = neighbors.knn(inputs.emb(s, d), 5)
+    return rounded(losses.edge_softmax(near.select("src", "dst", (-F.col("d")).alias("e"))), "a")
+
+
+@query()
+def graph_attention(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.emb(s, d).select("cell_id", "v")
+    rng = np.random.default_rng(0)
+    return _flat(encoders.graph_attention(e, neighbors.knn(e, 5), rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, 8)))
+
+
 # --- iterative ---
 
 
