@@ -389,6 +389,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_
 
     made = removals(docs, width, max_contexts).select("key", "kept")
     made = materialise(map_arrow(made, valid, "_key binary, _left string"), "kept_texts")
-    joined = docs.join(made, text_key(F.col("text")) == F.col("_key"), "left")
-    out = joined.withColumn("text", F.coalesce("_left", "text")).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    # columns by their frame, as docs may have any names
+    text = F.coalesce(made["_left"], docs["text"])
+    new = {"text": text, "n_chars": F.length(text)}
+    joined = docs.join(made, text_key(docs["text"]) == made["_key"], "left")
+    return joined.select(*(new[f.name].cast(f.dataType).alias(f.name) if f.name in new else docs[f.name] for f in docs.schema))

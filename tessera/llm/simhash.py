@@ -180,10 +180,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = near_duplicates(docs).where(F.col("doc_id").isNotNull())
     ids = materialise(named.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("copies")), "kept")
     gone = materialise(ids.where(~F.col("stays")).select(F.col("doc_id").alias("_id")), "gone")
-    rest = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    rest = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
     repeated = ids.where("stays AND copies > 1").select(F.col("doc_id").alias("_id"))
     if repeated.isEmpty():
         return rest
     repeated = materialise(repeated, "repeated")
-    once = rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    once = rest.join(repeated, rest["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(repeated, rest["doc_id"] == repeated["_id"], "left_anti").unionByName(once)

@@ -80,6 +80,21 @@ def test_pieces_and_packing(spark):
     check_packing(rows, 2048)
 
 
+def test_libraries_agree_on_every_code_point():
+    """Splits and ids of the rank files, the split pattern and the tokenizer file."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    single, multi = bpe.vocabulary(SINGLE), bpe.vocabulary(MULTI)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        text = "".join(f"a{chr(c)}b1{chr(c)}2 {chr(c)} .{chr(c)}!{chr(c)}" for c in points[at : at + 4000])
+        ids = single.encode(text)
+        assert tokenizer.encode(text, add_special_tokens=False).ids == ids
+        ends = [0, *single.boundaries(text)]
+        assert [i for a, b in zip(ends, ends[1:], strict=False) for i in single.encode(text[a:b])] == ids
+        assert multi.decode(multi.encode(text)) == text.encode()
+
+
 def test_cut():
     assert packing.cut(2048) == [(0, 2048)]
     assert packing.cut(2049) == [(0, 1), (1, 2048)]
