@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import knowledge
 from ..functions.special import hypergeometric_sf
+from ..sources.io import load_gmt
 from . import stats
 
 MARKER_SCHEMA = "cell_type string, gene string, type_order int"
@@ -69,6 +70,11 @@ def builtin_gene_sets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(knowledge.entries(knowledge.GENE_SETS), "term string, gene string")
 
 
+def load_gene_sets(spark: SparkSession, custom_gmt: str | None = None) -> DataFrame:
+    """term, gene of a GMT file, or the built-in sets."""
+    return load_gmt(spark, custom_gmt) if custom_gmt else builtin_gene_sets(spark)
+
+
 def enrich(queries: DataFrame, gene_sets: DataFrame, key: str = "cluster", background: DataFrame | None = None, min_overlap: int = 3, max_term_size: int = 500, pval_cutoff: float | None = 0.05, restrict_query: bool = False) -> DataFrame:
     """Over-representation of the terms among each key's genes.
 

@@ -114,6 +114,31 @@ def batch_chi2(cells: DataFrame, batch: str = "batch") -> DataFrame:
     return x.agg(F.sum(off * off / F.col("e")).alias("statistic"), F.max("dof").alias("dof"))
 
 
+def batch_effect_test(cells: DataFrame, batch: str = "batch", n_permutations: int = 1000, seed: int = 0) -> DataFrame:
+    """One row: statistic of the cluster by batch table and the share of dealt tables (same margins) that reach it."""
+    rows = cells.groupBy("cluster", F.col(batch).alias("batch")).agg(F.count("*").alias("n")).collect()
+    clusters, batches = sorted({r["cluster"] for r in rows}), sorted({r["batch"] for r in rows})
+    table = np.zeros((len(clusters), len(batches)), np.int64)
+    for r in rows:
+        table[clusters.index(r["cluster"]), batches.index(r["batch"])] = r["n"]
+    expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / max(1, table.sum())
+
+    def statistic(t: np.ndarray) -> float:
+        off = np.abs(t - expected)
+        if (len(clusters) - 1) * (len(batches) - 1) == 1:
+            off = off - np.minimum(0.5, off)
+        return float((off**2 / expected).sum())
+
+    rng, seen, hits = np.random.default_rng(seed), statistic(table), 0
+    for _ in range(n_permutations):
+        left, dealt = table.sum(1), []
+        for size in table.sum(0):
+            dealt.append(rng.multivariate_hypergeometric(left, size, method="marginals"))
+            left = left - dealt[-1]
+        hits += statistic(np.stack(dealt, 1)) >= seen - 1e-9
+    return cells.sparkSession.createDataFrame([(seen, hits / max(1, n_permutations))], "statistic double, pvalue double")
+
+
 def regress_batch(expr: DataFrame, cells: DataFrame, batch: str = "batch") -> DataFrame:
     """Values less their batch's mean, plus the first batch's, by gene."""
     b = cells.select("cell_id", F.col(batch).alias("_b"))

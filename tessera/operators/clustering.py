@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
 from ..functions.order import with_positions
-from . import metrics
+from . import matrix, metrics
+from .cells import expression_bins
 from .neighbors import knn
 
 
@@ -46,29 +47,34 @@ def tune_n_clusters(emb: DataFrame, k_min: int = 2, k_max: int = 20, method: str
 
 def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
     """Merges (a, b, distance, size) of a distance matrix by Lance and Williams' formula; new clusters count on from n."""
+    if method not in ("single", "complete", "average", "ward"):
+        raise ValueError("method is single, complete, average or ward")
     n = len(distance)
-    d = {(i, j): float(distance[i, j]) for i in range(n) for j in range(i + 1, n)}
-    size = dict.fromkeys(range(n), 1)
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    name, size = list(range(n)), np.ones(n)
     out = []
     for new in range(n, 2 * n - 1):
-        (a, b), best = min(d.items(), key=lambda x: (x[1], x[0]))
-        out.append((a, b, best, size[a] + size[b]))
-        for k in [k for k in size if k not in (a, b)]:
-            x, y = d.pop((min(a, k), max(a, k))), d.pop((min(b, k), max(b, k)))
-            if method == "single":
-                value = min(x, y)
-            elif method == "complete":
-                value = max(x, y)
-            elif method == "average":
-                value = (size[a] * x + size[b] * y) / (size[a] + size[b])
-            elif method == "ward":
-                t = size[a] + size[b] + size[k]
-                value = np.sqrt(((size[a] + size[k]) * x * x + (size[b] + size[k]) * y * y - size[k] * best * best) / t)
-            else:
-                raise ValueError("method is single, complete, average or ward")
-            d[k, new] = float(value)
-        del d[a, b]
-        size[new] = size.pop(a) + size.pop(b)
+        flat = int(d.argmin())
+        i, j = sorted(divmod(flat, n))
+        best, x, y = d[i, j], d[i].copy(), d[j].copy()
+        if method == "single":
+            row = np.minimum(x, y)
+        elif method == "complete":
+            row = np.maximum(x, y)
+        elif method == "average":
+            row = (size[i] * x + size[j] * y) / (size[i] + size[j])
+        else:
+            with np.errstate(invalid="ignore"):
+                row = np.sqrt(((size[i] + size) * x * x + (size[j] + size) * y * y - size * best * best) / (size[i] + size[j] + size))
+        out.append((*sorted((name[i], name[j])), float(best), int(size[i] + size[j])))
+        row[[i, j]] = np.inf
+        row[np.isnan(row)] = np.inf
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        size[j] = 0
+        name[i] = new
     return out
 
 
@@ -222,6 +228,35 @@ def consensus(runs: DataFrame) -> DataFrame:
     return s.alias("a").join(s.alias("b"), F.col("a.iter") == F.col("b.iter")).groupBy(F.col("a.cell_id").alias("i"), F.col("b.cell_id").alias("j")).agg(F.avg((F.col("a.label") == F.col("b.label")).cast("double")).alias("consensus"))
 
 
+#: Cells up to which a consensus matrix is gathered for linkage.
+CONSENSUS_CELLS = 2_000
+
+
+def consensus_labels(runs: DataFrame, n_clusters: int) -> DataFrame:
+    """cell_id, label: average linkage of 1 - consensus; pairs never sampled together count as apart."""
+    c = consensus(runs)
+    ids = [r[0] for r in c.select("i").distinct().orderBy("i").limit(CONSENSUS_CELLS + 1).collect()]
+    if len(ids) > CONSENSUS_CELLS:
+        raise ValueError(f"a consensus matrix is gathered for {CONSENSUS_CELLS} cells at most")
+    at = {c: k for k, c in enumerate(ids)}
+    m = np.ones((len(ids),) * 2)
+    for r in c.toLocalIterator():
+        m[at[r["i"]], at[r["j"]]] = 1 - r["consensus"]
+    labels = flat_clusters(linkage((m + m.T) / 2), len(ids), n_clusters=n_clusters)
+    return runs.sparkSession.createDataFrame(list(zip(ids, labels, strict=True)), "cell_id long, label int")
+
+
+def dendrogram(emb: DataFrame, labels: DataFrame, label: str, method: str = "ward") -> DataFrame:
+    """step, a, b, distance, size: merges of the clusters' centroids; clusters are numbered in order, merged ones from k on."""
+    names = sorted(r[0] for r in labels.select(label).distinct().collect())
+    at = {c: i for i, c in enumerate(names)}
+    d = np.zeros((len(names),) * 2)
+    for r in cluster_distances(emb, labels, label).collect():
+        d[at[r["c1"]], at[r["c2"]]] = d[at[r["c2"]], at[r["c1"]]] = r["d"]
+    rows = [(i, a, b, float(x), n) for i, (a, b, x, n) in enumerate(linkage(d, method))]
+    return emb.sparkSession.createDataFrame(rows, "step int, a int, b int, distance double, size int")
+
+
 def simulate_doublets(emb: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """cell_id (negative), v: means of two different cells, chosen by arithmetic on their positions by id."""
     m = emb.count()
@@ -241,5 +276,29 @@ def detect_doublets(emb: DataFrame, rate: float = 0.05, k: int = 30, n_simulated
     return s.crossJoin(F.broadcast(limit)).select("cell_id", "doublet_score", (F.col("doublet_score") > F.col("limit")).alias("is_doublet"))
 
 
+def detect_doublets_counts(expr: DataFrame, rate: float = 0.05, min_counts: int = 2, min_cells: int = 3, percentile: float = 85, n_components: int = 30, n_bins: int = 20, seed: int = 42) -> DataFrame:
+    """Doublets of a count matrix (dense rows): genes seen enough, counts per ten thousand, log1p, the genes most dispersed
+    for their mean, principal components, then detect_doublets.
+
+    Under 100 genes seen enough, all are used; under 50 dispersed ones, those above the median.
+    """
+    seen = expr.groupBy("gene").agg(F.count_if(F.col("value") > 0).alias("n"), F.sum("value").alias("s")).where((F.col("n") >= min_cells) & (F.col("s") >= min_counts)).select("gene")
+    x = expr.join(seen, "gene", "left_semi") if seen.count() >= 100 else expr
+    size = x.groupBy("cell_id").agg(F.greatest(F.sum("value"), F.lit(1.0)).alias("_size"))
+    x = cut(x.join(size, "cell_id").select("cell_id", "gene", F.log1p(F.col("value") / F.col("_size") * 1e4).alias("value")))
+    g = x.groupBy("gene").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")).withColumn("fano", F.col("v") / (F.col("m") + 1e-10))
+    g = g.join(expression_bins(x, n_bins), "gene")
+    in_bin = Window.partitionBy("bin")
+    sd = F.stddev_pop("fano").over(in_bin)
+    g = cut(g.withColumn("d", (F.col("fano") - F.avg("fano").over(in_bin)) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, 1.0).otherwise(sd)))
+    at = g.agg(F.percentile("d", F.lit(percentile / 100)), F.median("d")).first()
+    picked = g.where(F.col("d") >= at[0])
+    if picked.count() < 50:
+        picked = g.where(F.col("d") >= at[1])
+    rows = cut(matrix.to_rows(x.join(picked.select("gene"), "gene", "left_semi")))
+    width, n = rows.select(F.size("v")).first()[0], rows.count()
+    return detect_doublets(cut(matrix.pca(rows, max(1, min(n_components, width, n - 1)))), rate, seed=seed)
+
+
 def filter_doublets(rows: DataFrame, doublets: DataFrame) -> DataFrame:
     return rows.join(doublets.where("is_doublet"), "cell_id", "left_anti")

@@ -129,6 +129,15 @@ def calinski_davies(emb: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return within.crossJoin(between).crossJoin(n_k).crossJoin(db).select(ch.alias("calinski_harabasz"), "davies_bouldin")
 
 
+def evaluate(found: DataFrame, truth: DataFrame, label: str, emb: DataFrame | None = None) -> dict[str, float]:
+    """All metrics of labels (cell_id, label) against true ones; with vectors and several clusters the inner ones too."""
+    pairs = found.select("cell_id", F.col("label").alias("_found")).join(truth.select("cell_id", F.col(label).alias("_true")), "cell_id")
+    out = contingency_metrics(pairs, "_true", "_found").first().asDict() | {"accuracy": accuracy(pairs, "_true", "_found")}
+    if emb is not None and found.select("label").distinct().count() > 1:
+        out |= calinski_davies(emb, found, "label").first().asDict() | {"silhouette": silhouette(emb, found, "label").agg(F.avg("s")).first()[0]}
+    return out
+
+
 def summarize(runs: DataFrame) -> DataFrame:
     """mean, std (population), min, max of each metric over runs (metric, value)."""
     return runs.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -41,6 +42,22 @@ class Report:
     def add_text(self, title: str, text: str, order: int = 0) -> None:
         self.sections.append(Section(title, f"<p>{html.escape(text)}</p>", order))
 
+    def add_markdown(self, title: str, text: str, order: int = 0) -> None:
+        """Headings, bullets, bold, emphasis between asterisks, and code; the rest is text."""
+        lines, out, listed = text.split("\n"), [], False
+        for line in lines:
+            x = html.escape(line.strip())
+            x = re.sub(r"`([^`]+)`", r"<code>\1</code>", x)
+            x = re.sub(r"\*\*([^*]+)\*\*", r"<b>\1</b>", x)
+            x = re.sub(r"(?<!\*)\*([^*\s][^*]*)\*(?!\*)", r"<i>\1</i>", x)
+            bullet = x.startswith("- ")
+            if bullet != listed:
+                out.append("<ul>" if bullet else "</ul>")
+                listed = bullet
+            depth = len(x) - len(x.lstrip("#"))
+            out.append(f"<li>{x[2:]}</li>" if bullet else f"<h{depth + 2}>{x[depth:].strip()}</h{depth + 2}>" if 1 <= depth <= 4 else f"<p>{x}</p>" if x else "")
+        self.sections.append(Section(title, "".join(out) + "</ul>" * listed, order))
+
     def render(self) -> str:
         parts = "".join(f"<section><h2>{html.escape(s.title)}</h2>{s.body}</section>" for s in sorted(self.sections, key=lambda s: s.order))
         return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(self.title)}</title></head><body><h1>{html.escape(self.title)}</h1><p>{datetime.now():%Y-%m-%d %H:%M}</p>{parts}</body></html>"

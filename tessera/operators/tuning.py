@@ -95,5 +95,9 @@ class Tuner:
         return GraphClustering(**{"seed": self.seed} | self.best | fixed).fit(emb)
 
 
+def auto_tune(emb: DataFrame, truth: DataFrame | None = None, n_trials: int = 50, metric: str = "silhouette", **fixed) -> DataFrame:
+    return Tuner(n_trials=n_trials, metric=metric).tune(emb, truth, **fixed)
+
+
 def quick_tune(emb: DataFrame, n_trials: int = 20, **fixed) -> DataFrame:
     return Tuner(n_trials=n_trials, space=dict(QUICK_SPACE)).tune(emb, **fixed)

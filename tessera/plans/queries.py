@@ -281,6 +281,11 @@ def batch_chi2(s: SparkSession, d: str) -> DataFrame:
     return cell_ops.batch_chi2(inputs.cells(s, d)).select(r6("statistic").alias("statistic"))
 
 
+@query()
+def batch_effect_test(s: SparkSession, d: str) -> DataFrame:
+    return rounded(cell_ops.batch_effect_test(inputs.cells(s, d), n_permutations=200), "statistic", "pvalue")
+
+
 @query(f"""WITH {CELLS}, n AS (SELECT cluster, batch AS label, count(*) AS n FROM cells GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS k, sum(n) OVER (PARTITION BY cluster) AS n_cells, count(*) OVER (PARTITION BY cluster) AS n_labels FROM n)
   SELECT cluster, n_cells::BIGINT AS n_cells, label AS majority_label, n AS majority_count, {q6('n / n_cells')} AS purity, n_labels FROM w WHERE k = 1""")
 def purity(s: SparkSession, d: str) -> DataFrame:
@@ -579,6 +584,22 @@ def doublet_scores(s: SparkSession, d: str) -> DataFrame:
     return rounded(clustering.detect_doublets(inputs.emb(s, d).select("cell_id", "v"), 0.05, 30, 200), "doublet_score")
 
 
+@query()
+def doublets_from_counts(s: SparkSession, d: str) -> DataFrame:
+    return rounded(clustering.detect_doublets_counts(inputs.expr(s, d), n_components=5), "doublet_score")
+
+
+@query()
+def dendrogram(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.emb(s, d)
+    return rounded(clustering.dendrogram(e, e, "label"), "distance")
+
+
+@query()
+def consensus_labels(s: SparkSession, d: str) -> DataFrame:
+    return clustering.consensus_labels(clustering.bootstrap_labels(inputs.emb(s, d).select("cell_id", "v"), 5, 3), 5)
+
+
 # --- soft clusters, losses, graph ---
 
 SOFT = f"{EMB}, {CENT}, q0 AS (SELECT cell_id, c AS k, 1 / (1 + list_distance(v, m) ** 2) AS q FROM emb, cv), q AS (SELECT cell_id, k, q / sum(q) OVER (PARTITION BY cell_id) AS q FROM q0)"
@@ -625,6 +646,12 @@ def debiased_contrastive(s: SparkSession, d: str) -> DataFrame:
     return rounded(losses.contrastive(_views(s, d)), "contrastive")
 
 
+@query(f"""WITH {UNITS}, pr AS (SELECT a.cell_id, sum(exp(list_dot_product(a.z1, b.z2) / 0.5)) + sum(exp(list_dot_product(a.z1, b.z1) / 0.5)) AS neg FROM u a JOIN u b ON a.cell_id <> b.cell_id GROUP BY a.cell_id)
+  SELECT {q6('avg(ln(neg) - list_dot_product(z1, z2) / 0.5)')} AS contrastive FROM u JOIN pr USING (cell_id)""")
+def tiled_contrastive(s: SparkSession, d: str) -> DataFrame:
+    return rounded(losses.tiled_contrastive(_views(s, d)), "contrastive")
+
+
 @query(f"""WITH {EMB}, {nearest(5)}, e AS (SELECT src, dst, 1.0 AS w FROM nn UNION ALL SELECT dst, src, 1.0 FROM nn UNION ALL SELECT cell_id, cell_id, 1.0 FROM emb), dg AS (SELECT dst AS c, sum(w) AS g FROM e GROUP BY dst),
 x AS (SELECT e.dst AS cell_id, w / sqrt(a.g * b.g) AS n, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e JOIN dg a ON a.c = e.dst JOIN dg b ON b.c = e.src JOIN emb ON emb.cell_id = e.src) SELECT cell_id, (i - 1)::INT AS i, {q6('sum(n * x)')} AS value FROM x GROUP BY ALL""")
 def gcn_propagate(s: SparkSession, d: str) -> DataFrame:

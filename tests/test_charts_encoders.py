@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.order import with_positions
 from tessera.functions.vectors import gathered, keyed_sums, matrix_of
 from tessera.operators import cells as cell_ops
-from tessera.operators import encoders, plots, summaries
+from tessera.operators import clustering, encoders, metrics, plots, report, summaries
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +143,53 @@ def test_queries_are_registered():
 
     found, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(found) and len(oracles) >= 60
+
+
+def test_batch_effect(spark):
+    mixed = spark.createDataFrame([(i, i % 4, i // 4 % 2) for i in range(80)], "cell_id long, cluster int, batch int")
+    apart = spark.createDataFrame([(i, i % 4, i % 4 // 2) for i in range(80)], "cell_id long, cluster int, batch int")
+    assert cell_ops.batch_effect_test(mixed, n_permutations=50).first()["pvalue"] == 1.0
+    row = cell_ops.batch_effect_test(apart, n_permutations=50).first()
+    assert row["pvalue"] == 0.0 and row["statistic"] == pytest.approx(cell_ops.batch_chi2(apart).first()["statistic"]) == pytest.approx(80)
+
+
+def test_consensus_and_dendrogram(spark):
+    x = np.array([[0.0], [0.1], [5.0], [5.1], [9.0], [9.1]])
+    emb = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "cell_id long, v array<double>")
+    runs = spark.createDataFrame([(k, i, i // 2, True) for k in range(2) for i in range(6)], "iter int, cell_id long, label int, sampled boolean")
+    assert [r["label"] for r in clustering.consensus_labels(runs, 3).orderBy("cell_id").collect()] == [0, 0, 1, 1, 2, 2]
+    labels = emb.select("cell_id", F.floor(F.col("cell_id") / 2).cast("int").alias("label"))
+    steps = clustering.dendrogram(emb, labels, "label", "average").orderBy("step").collect()
+    assert [(r["a"], r["b"], r["size"]) for r in steps] == [(1, 2, 2), (0, 3, 3)] and steps[0]["distance"] == pytest.approx(4)
+    assert metrics.evaluate(labels, labels.withColumnRenamed("label", "t"), "t", emb)["silhouette"] > 0.9
+
+
+def test_linkage_against_definition():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(9, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for method, reduce in (("single", np.min), ("complete", np.max), ("average", np.mean)):
+        groups = {i: [i] for i in range(9)}
+        for new, (a, b, height, size) in enumerate(clustering.linkage(d, method), 9):
+            between = {(p, q): reduce(d[np.ix_(groups[p], groups[q])]) for p in groups for q in groups if p < q}
+            assert height == pytest.approx(min(between.values())) == pytest.approx(between[a, b])
+            groups[new] = groups.pop(a) + groups.pop(b)
+            assert len(groups[new]) == size
+    with pytest.raises(ValueError):
+        clustering.linkage(d, "none")
+
+
+def test_doublets_of_counts(spark):
+    rng = np.random.default_rng(5)
+    m = rng.poisson(3, (30, 20)).astype(float)
+    expr = spark.createDataFrame([(i, f"g{j}", float(v)) for i, r in enumerate(m) for j, v in enumerate(r)], "cell_id long, gene string, value double")
+    out = clustering.detect_doublets_counts(expr, n_components=4)
+    assert out.count() == 30 and out.where("doublet_score < 0 OR doublet_score > 1").count() == 0
+
+
+def test_markdown():
+    r = report.Report()
+    r.add_markdown("T", "# Head\ntext **bold** and *lean* snake_case_name\n- one\n- `two`\n<b>")
+    body = r.sections[0].body
+    assert "<h3>Head</h3>" in body and "<b>bold</b>" in body and "<i>lean</i>" in body and "snake_case_name" in body
+    assert "<ul><li>one</li><li><code>two</code></li></ul>" in body and "&lt;b&gt;" in body
