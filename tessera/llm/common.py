@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows are handed to a Python worker's kernel in slices of about so many bytes.
 SLICE_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +47,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(BATCH_ROWS))  # rows can be whole texts, and a batch is in memory on either side
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

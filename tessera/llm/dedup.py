@@ -39,7 +39,7 @@ from .suffix import repeated_windows
 WIDTH = 200
 GRAM = 64
 #: Bytes of the contexts of one suffix array, about.
-SHARD_BYTES = 3 << 19
+SHARD_BYTES = 1 << 20
 MAX_CONTEXTS = 4096
 #: Bytes whose anchors are searched at once, and bytes of texts in a slice: arrays of eight bytes for each of them are in memory.
 BLOCK = 1 << 18
@@ -369,7 +369,7 @@ def removals(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CONTEX
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["key", "n_removed", "n_spans", "kept"])
 
     texts, runs = runs_by_text(docs, width, max_contexts)
-    return map_arrow(texts.join(runs, "key"), kernel, "key binary, n_removed long, n_spans long, kept binary")
+    return map_arrow(texts.join(runs, "key"), kernel, "key binary, n_removed long, n_spans long, kept binary", TEXT_BYTES)
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
