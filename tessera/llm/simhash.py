@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, null_safe_bytes
+from .similar import similar_sets
 
 RADIUS = 2
 SEED = 42
@@ -170,20 +171,36 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return fps.join(materialise(reached, "reached"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """The documents without their near-duplicates: of each group the smallest doc_id stays.
 
-    Rows are told apart by doc_id: of rows that repeat one that stays, one stays. A row without a
-    doc_id cannot be named as another's duplicate, so it stays. The list of ids that go is joined
-    rather than that of those that stay, as it is the shorter.
+    Without a similarity, groups are those of near_duplicates(); with one, those of texts whose sets
+    of shingles have this Jaccard similarity or more (see similar). Rows are told apart by a number
+    that is written with them: rows of one doc_id in different groups stay, and of rows in one group
+    one stays. A row without a doc_id cannot be named as another's duplicate, so it stays. The list
+    of rows that go is joined rather than that of those that stay, as it is the shorter.
     """
-    named = near_duplicates(docs).where(F.col("doc_id").isNotNull())
-    ids = materialise(named.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("copies")), "kept")
-    gone = materialise(ids.where(~F.col("stays")).select(F.col("doc_id").alias("_id")), "gone")
-    rest = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    repeated = ids.where("stays AND copies > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return rest
-    repeated = materialise(repeated, "repeated")
-    once = rest.join(repeated, rest["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, rest["doc_id"] == repeated["_id"], "left_anti").unionByName(once)
+    row = "_row"
+    while row in docs.columns:
+        row = "_" + row
+    held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+    def shingles(text: bytes) -> np.ndarray:
+        return shingle_hashes(text, words)
+
+    if similarity is None:
+
+        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fps = np.array([fingerprint(shingles(t)) for t in null_safe_bytes(batch.column(2))], np.uint64)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["row", "doc_id", "node"])
+
+        numbered = held.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        marks = materialise(map_arrow(numbered, kernel, "row long, doc_id long, node long"), "fingerprints")
+        roots = components(links(materialise(marks.select(F.col("node").alias("fp")).distinct(), "classes")))
+    else:
+        marks, roots = similar_sets(held, row, shingles, similarity, components)
+    named = marks.where(F.col("doc_id").isNotNull()).select("row", "doc_id", "node").join(roots.select("node", "root"), "node", "left")
+    named = materialise(named.select("row", "doc_id", F.coalesce("root", "node").alias("root")), "named")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("n")).where("n > 1").select("root", F.col("least.row").alias("first"))
+    gone = materialise(named.join(materialise(first, "first"), "root").where(F.col("row") != F.col("first")).select(F.col("row").alias(row)), "gone")
+    return held.join(gone, row, "left_anti").select(*docs.columns)
