@@ -3,8 +3,9 @@
 Candidates by pattern: assignments of a secret's name, access key ids, long hex runs. On top
 of these, runs of base64, base64url or hex are decoded and parsed, and reported only where
 the structure holds: DER whose nested lengths fill the value exactly (private and public
-keys, certificates), SSH wire format whose length-prefixed fields fill the value, and signed
-tokens whose header is a JSON object that names an algorithm.
+keys, certificates), SSH wire format whose length-prefixed fields fill the value (public keys,
+OpenSSH private keys), and signed tokens whose header is a JSON object that names an algorithm. A base64 value ends where its own DER
+or SSH lengths say, whatever the text goes on with on the next line.
 
 Kinds of spans: assign, access, hex, then key (DER), ssh, jwt. Spans are code points, end
 exclusive. Null and empty texts have no spans. Equal rows give equal rows; columns other
@@ -33,12 +34,22 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-#: DER that starts with a long SEQUENCE, and SSH keys, as base64; line breaks may divide it.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:MI[A-Za-z0-9+/]|AAAA[A-Z])[A-Za-z0-9+/]{20,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: Starts of base64 or base64url that may be DER (any SEQUENCE), an SSH public key or an OpenSSH private key. A run starts
+#: after anything that is not of its alphabet, or after a line break that is written as an escape.
+DER_RUN = re.compile(r"M(?:(?<![A-Za-z0-9+/]M)|(?<=\\[nrt]M))[A-P][A-Za-z0-9+/_-]{20,}")
+SSH_RUN = re.compile(r"AAAA(?:(?<![A-Za-z0-9+/]AAAA)|(?<=\\[nrt]AAAA))[A-Z][A-Za-z0-9+/_-]{20,}")
+OPENSSH_RUN = re.compile(r"b3BlbnNzaC1rZXktdjEA(?:(?<![A-Za-z0-9+/]b3BlbnNzaC1rZXktdjEA)|(?<=\\[nrt]b3BlbnNzaC1rZXktdjEA))")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+LINE_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:8[12])?[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])")
 #: Tags of the DER values that keys and certificates are made of.
 PRIMITIVE = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0A, 0x0C, 0x13, 0x14, 0x16, 0x17, 0x18, 0x1E}
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Fields of the public keys of each type.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
+SSH_TYPES = tuple(SSH_FIELDS)
+OPENSSH = b"openssh-key-v1\0"
+#: Characters within which an SSH key must have said how long it is.
+LONGEST_HEAD = 1 << 17
 
 
 def der_header(data: bytes, at: int) -> tuple[int, int, int] | None:
@@ -85,8 +96,10 @@ def is_key(data: bytes) -> bool:
 
 
 def is_ssh(data: bytes) -> bool:
-    """Length-prefixed fields that fill data, the first a key type."""
+    """Length-prefixed fields that fill data, the first a key type; or an OpenSSH private key."""
     fields, at = [], 0
+    if data.startswith(OPENSSH):
+        return openssh_size(data) == len(data)
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
@@ -96,6 +109,83 @@ def is_ssh(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0] in SSH_TYPES
 
 
+def _fields_end(data: bytes, at: int, n: int) -> int | None:
+    """Where n length-prefixed fields end; None if data ends before that is known."""
+    for _ in range(n):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+def openssh_size(data: bytes) -> int | None:
+    """Bytes that an OpenSSH private key says it has: cipher, derivation and its options, public keys, the private part."""
+    at = _fields_end(data, len(OPENSSH), 3)
+    if at is None or at + 4 > len(data):
+        return None
+    n = int.from_bytes(data[at : at + 4], "big")
+    return _fields_end(data, at + 4, n + 1) if n < 64 else -1
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes that an SSH key says it has; -1 if it can't be one, None if data ends before that is known."""
+    if data.startswith(OPENSSH):
+        return openssh_size(data)
+    n = int.from_bytes(data[:4], "big")
+    if n > 64:
+        return -1
+    if 4 + n > len(data):
+        return None
+    count = SSH_FIELDS.get(data[4 : 4 + n])
+    return -1 if count is None else _fields_end(data, 0, count)
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes that a DER SEQUENCE says it has, its header included; -1 if it can't be a key."""
+    n, start = data[1], 2
+    if n >= 0x80:
+        width = n & 0x7F
+        if not 1 <= width <= 4:
+            return -1
+        n, start = int.from_bytes(data[2 : 2 + width], "big"), 2 + width
+    return start + n if data[0] == 0x30 and data[start] in (0x02, 0x30) else -1
+
+
+def value_at(text: str, at: int, size) -> tuple[int, bytes] | None:
+    """(end, bytes) of the base64 value that starts here and is as long as it declares.
+
+    Lines are taken one by one until the length is known and reached. The value ends there, padding
+    included, and must be at the end of a run of its alphabet: base64url where it has one of its signs.
+    """
+    taken, have, need, decoded = [], 0, None, b""
+    while run := RUN.match(text, at):
+        part = run[0]
+        taken.append(part)
+        have += len(part)
+        if need is None:
+            decoded = _base64("".join(taken)[: have - have % 4])
+            n = size(decoded or b"\0" * 16)
+            if n is None and have > LONGEST_HEAD:
+                return None
+            if n is not None:
+                if n < 16:
+                    return None
+                need = -(-n * 4 // 3)
+        if need is not None and have >= need:
+            end = run.end() - (have - need)
+            after = text[end : end + 1]
+            if (after.isascii() and after.isalnum()) or after in ("+", "/"):
+                return None
+            padding = re.compile(f"={{0,{-need % 4}}}").match(text, end)
+            data = _base64("".join(taken)[:need])
+            return (padding.end(), data) if data is not None else None
+        broken = LINE_BREAK.match(text, run.end())
+        if not broken:
+            return None
+        at = broken.end()
+    return None
+
+
 def _base64(text: str) -> bytes | None:
     text = "".join(text.split()).rstrip("=").replace("-", "+").replace("_", "/")
     try:
@@ -113,6 +203,9 @@ def is_signed_token(header: str, body: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(claims, dict)
 
 
+RUNS = ((DER_RUN, der_size, is_key, "key"), (SSH_RUN, ssh_size, is_ssh, "ssh"), (OPENSSH_RUN, ssh_size, is_ssh, "ssh"))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     spans = []
     lower = text.lower()
@@ -128,13 +221,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     spans = []
     if "eyJ" in text:
         spans += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
-    if "MI" in text or "AAAA" in text:
-        for m in BASE64.finditer(text):
-            data = _base64(m[0])
-            if data and is_key(data):
-                spans.append((m.start(), m.end(), "key"))
-            elif data and is_ssh(data):
-                spans.append((m.start(), m.end(), "ssh"))
+    for pattern, size, holds, kind in RUNS:
+        at = 0
+        while m := pattern.search(text, at):
+            found = value_at(text, m.start(), size)
+            at = m.end()
+            if found and holds(found[1]):
+                spans.append((m.start(), found[0], kind))
+                at = found[0]
     for m in HEX_DER.finditer(text):
         if not len(m[0]) % 2 and is_key(bytes.fromhex(m[0])):
             spans.append((m.start(), m.end(), "key"))
