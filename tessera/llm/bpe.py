@@ -52,6 +52,13 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
 
+    def encode_added(self, text: str, added: dict[str, int]) -> list[int]:
+        """Like encode(), but the added tokens count as such: the texts between them are encoded by themselves."""
+        if not any(token in text for token in added):
+            return self.encode(text)
+        splits = regex.split("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")", text)
+        return [i for part in splits for i in ([added[part]] if part in added else self.encode(part))]
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
 

@@ -13,6 +13,7 @@ ids are kept; other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable
 
@@ -41,14 +42,24 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document, with the CRC-32 of their ids."""
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Tokens that a tokenizer file adds to its vocabulary, and their ids."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens with rules for what is around them: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
+    """The pieces of every document, with the CRC-32 of their ids; added tokens count as such within texts."""
+    added = added or {}
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         vocab = vocabulary(path)
         out = [[] for _ in range(5)]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = vocab.encode(text or "")
+            ids = vocab.encode_added(text or "", added)
             ids.append(end_id)
             raw = np.array(ids, "<u4").tobytes()
             for i, (start, length) in enumerate(cut(len(ids), capacity)):
@@ -170,6 +181,6 @@ def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
     return used, certified(((x["length"], x["count"]) for x in packed.groupBy("length").count().toLocalIterator()), capacity)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """Tokens of the documents, packed. The pieces are written once and read by each round."""
-    return pack(materialise(pieces(docs, path, end_id, capacity), "pieces"), capacity)
+    return pack(materialise(pieces(docs, path, end_id, capacity, added), "pieces"), capacity)

@@ -14,6 +14,8 @@ from .common import table
 MULTI = "byte_bpe_multi_50k.tiktoken"
 #: The ranks of the vocabulary in byte_bpe_50k.json; the ids are the same.
 SINGLE = "byte_bpe_50k.tiktoken"
+#: The tokenizer file of the same vocabulary; its added tokens count within texts.
+SINGLE_FILE = "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(SINGLE))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(SINGLE), added=packing.added_tokens(public_tokenizers.path(SINGLE_FILE)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
