@@ -193,7 +193,9 @@ def repeated_anchors(texts: DataFrame, n_parts: int, width: int) -> DataFrame:
     """key, ordinals of the texts (key, text) that hold anchors which occur again."""
     packed = map_arrow(texts, _count_batch(n_parts, width), "part long, hashes binary, keys binary, texts binary, ordinals binary, states binary", TEXT_BYTES)
     found = packed.repartition(n_parts, "part").mapInArrow(_repeated_part, "key binary, ordinals array<int>")
-    return found.groupBy("key").agg(F.flatten(F.collect_list("ordinals")).alias("ordinals"))
+    # equal texts say the same: each ordinal of a key is one before they meet, so a list is no longer than its text
+    places = found.select("key", F.explode("ordinals").alias("ordinal")).distinct()
+    return places.groupBy("key").agg(F.collect_list("ordinal").alias("ordinals"))
 
 
 # --- 2. contexts ---
@@ -286,7 +288,24 @@ def _judge(width: int, shard_bytes: int):
 
 
 def _judged(contexts: DataFrame, width: int) -> DataFrame:
-    return contexts.repartition("route").sortWithinPartitions("route").mapInArrow(_judge(width, SHARD_BYTES), "id binary, shift int, starts array<int>, lengths array<int>")
+    """Repeated runs of contexts. Rows of one id and shift are one, with the sum of their n, before a shard is gathered."""
+    once = contexts.repartition("route").groupBy("route", "id", "shift", "context").agg(F.sum("n").alias("n"))
+    return once.sortWithinPartitions("route").mapInArrow(_judge(width, SHARD_BYTES), "id binary, shift int, starts array<int>, lengths array<int>")
+
+
+def _judged_once(split: DataFrame, width: int) -> DataFrame:
+    """Repeated runs of split contexts. Equal strings of a route are judged once, and the verdict is joined to all that hold them.
+
+    The contexts of a very common passage differ but hold the same windows: their rows are as many as its texts.
+    """
+    named = split.withColumn("string", F.substring(F.unhex(F.sha2("context", 256)), 1, 16))
+    different = named.groupBy("route", "string", "context").agg(F.sum("n").alias("n"))
+    # a string's name holds its route, so a verdict is of one route
+    name = F.concat(F.unhex(F.lpad(F.hex("route"), 16, "0")), F.col("string"))
+    judged = _judged(different.select("route", name.alias("id"), F.lit(0).alias("shift"), "context", "n"), width).withColumnRenamed("shift", "_none")
+    verdicts = materialise(judged.withColumnRenamed("id", "name").drop("_none"), "verdicts")
+    held = named.select("id", "shift", name.alias("name")).distinct()
+    return held.join(verdicts, "name").select("id", "shift", "starts", "lengths")
 
 
 def _large(contexts: DataFrame, limit: int) -> DataFrame:
@@ -303,13 +322,13 @@ def repeated_runs(contexts: DataFrame, width: int, limit: int = MAX_CONTEXTS) ->
     size = width // 2
     while True:
         split = map_arrow(contexts.join(large, "route", "left_semi").select("route", "back", "shift", "context", "id", "n"), halves(size, width), CONTEXTS)
-        # equal windows of one route are one: a route of single windows has one context
+        # a route of single windows has one string, whatever the number of its rows
         split = materialise(split, "split_contexts")
         large = _large_bytes(split, limit)
         if size == 1 or large.isEmpty():
-            done.append(_judged(split, width))
+            done.append(_judged_once(split, width))
             break
-        done.append(_judged(split.join(large, "route", "left_anti"), width))
+        done.append(_judged_once(split.join(large, "route", "left_anti"), width))
         contexts, size = split, -(-size // 2)
     out = done[0]
     for more in done[1:]:
