@@ -355,13 +355,14 @@ def cover(length: int, starts: list[int], lengths: list[int], width: int) -> np.
 def runs_by_text(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """(key, text of the texts that may lose bytes; key, starts, lengths of their repeated windows).
 
-    Of equal texts one goes on, with their number: the first row by its place in docs, which is a
-    table and gives its rows in the same order at every read. As the row is part of the join's key,
-    the copies of a common text do not meet in one task.
+    Of equal texts one goes on, with their number: the one with the least row number. Numbers are
+    written with the texts and read from there, as another read of docs may number its rows
+    otherwise. As the row is part of the join's key, the copies of a common text do not meet in one task.
     """
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row"), "text").where(F.octet_length("text") >= width)
+    texts = materialise(texts, "numbered_texts")
     flags = repeated_anchors(texts.select("key", "text"), n_parts, width)
     copies = texts.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     chosen = materialise(flags.join(copies, "key"), "repeated_anchors")

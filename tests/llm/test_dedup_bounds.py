@@ -56,3 +56,20 @@ def test_ordinals_of_equal_texts_are_one(spark):
     texts = spark.createDataFrame(rows, SCHEMA).repartition(10).select(dedup.text_key(F.col("text")).alias("key"), "text")
     [found] = dedup.repeated_anchors(texts, 4, dedup.WIDTH).collect()
     assert len(found["ordinals"]) == len(set(found["ordinals"])) == len(dedup.anchors([rows[0][1].encode()])[0])
+
+
+def test_reads_may_number_rows_differently(spark, monkeypatch):
+    """Every plan sees another numbering: as after an executor is lost, when splits change."""
+    calls = []
+    real = F.monotonically_increasing_id
+
+    def shifting():
+        # unlike from run to run of the same plan
+        calls.append(1)
+        return (real() + (F.rand() * 1e9).cast("long") * 0 + F.expr("cast(unix_micros(current_timestamp()) as long)")).cast("long")
+
+    monkeypatch.setattr(dedup.F, "monotonically_increasing_id", shifting)
+    text = common_passage(1)[0][1]
+    docs = spark.createDataFrame([(i, text) for i in range(5)], SCHEMA)
+    got = dedup.deduplicate(docs).collect()
+    assert calls and {(r["n_removed"], r["kept_sha256"]) for r in got} == {(len(text), hashlib.sha256(b"").hexdigest())}
