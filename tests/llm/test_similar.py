@@ -89,3 +89,8 @@ def test_edge_cases(spark):
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), 5, 0.8).collect()) == ["4", "None", "None"]
     with pytest.raises(ValueError):
         simhash.keep_one(spark.createDataFrame(rows, SCHEMA), 5, 0.5)
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    rows = [(7, "the first of two texts that have one id", "x"), (7, "nothing here is like that other row at all", "x")]
+    assert simhash.keep_one(spark.createDataFrame(rows, SCHEMA), 5, 0.8).count() == 2
