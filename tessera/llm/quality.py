@@ -5,7 +5,16 @@ language and source. Such sketches are counts, so they merge by addition: partia
 aggregation merges them within and across tasks, and a group with fewer than `MIN_GROUP`
 documents borrows the sketch merged over its language, or over everything. The quartiles
 of the sketch give the fences that replace fixed cutoffs, and the fences are joined back to
-the documents.
+the documents. No fence holds a constant of its own:
+
+* marks (ASCII characters within words that are neither letters nor digits, by characters) and
+  word_length lie within some quartile distances of the quartiles, marks on the upper side only;
+* variety (different words by the root of the words) has a lower fence as far below the lower
+  quartile, by ratio, as the quartiles are apart;
+* dup_lines and repeats are zero in most texts, so their sketches count only the texts that
+  have any, and the fence lies beyond the quartiles of those.
+
+The smaller a sketch, the further out its fences, as its quartiles are less certain.
 
 Null texts count as empty. A null language or source is a group of its own. Documents that
 fail the base rules are in no sketch. Every row is judged by itself, repeated rows alike;
@@ -29,16 +38,25 @@ WINDOW_WORDS = 8  # a power of two
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_GROUP = 50
-#: Measure: quartile distances that the fences lie beyond the quartiles, and the least distance in bins.
-#: Ratios are in thousandths, the mean word length in tenths of a character; bins are 0 to 1000.
-MEASURES = {"symbols": (3, 20), "dup_lines": (3, 500), "repeats": (3, 200), "word_length": (6, 25)}
+#: Measure: quartile distances that the fences lie beyond the quartiles; for variety, ratios of the quartiles below the lower one.
+#: Ratios are in thousandths, the others in tenths; bins are 0 to 1000.
+MEASURES = {"marks": 7, "word_length": 4, "variety": 3, "dup_lines": 3, "repeats": 3}
+#: Measures whose sketches leave out zeros.
+WHERE_ANY = ("dup_lines", "repeats")
+#: Measures of which any text may have little.
+NO_LEAST = ("marks", *WHERE_ANY)
+#: Times 1 / sqrt(size) that the distances of a sketch of this size are longer.
+SMALL = 2.0
+#: ASCII punctuation and symbols.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURED = (*BASE, "n_lines", "base_failed")
+COUNTED = ("n_lines", "n_marks", "n_different", *BASE)
+MEASURED = (*COUNTED, "base_failed")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Adds the base counts, n_lines and base_failed. Added columns replace any of the same name.
+    """Adds the base counts, n_lines, n_marks, n_different and base_failed. Added columns replace any of the same name.
 
     Steps whose arrays are read more than once are columns of their own, so that no lambda
     computes an array again for each element.
@@ -58,6 +76,8 @@ def measure(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
+            "n_marks": (F.length(text) - F.length(F.translate(text, MARKS, ""))).cast("long"),
+            "n_different": F.size(F.array_distinct("_words")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     )
@@ -74,7 +94,7 @@ def measure(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     x = x.withColumn("base_failed", failed)
     # a generator, through which no filter is pushed: a filter on a measure would compute it, and all it is made of, again
-    measured = F.inline(F.array(F.struct("n_lines", *BASE, "base_failed")))
+    measured = F.inline(F.array(F.struct(*MEASURED)))
     return x.select(*(F.col(f"`{c}`") for c in docs.columns if c not in MEASURED), measured)
 
 
@@ -84,14 +104,16 @@ def bins() -> dict[str, Column]:
     def share(a: str, b: str, scale: int) -> Column:
         return F.least(F.lit(1000), F.floor(F.col(a) * scale / F.greatest(F.col(b), F.lit(1)))).cast("long")
 
-    return {"symbols": share("n_symbols", "word_chars", 1000), "dup_lines": share("n_dup_lines", "n_lines", 1000), "repeats": share("n_repeat_words", "n_words", 1000), "word_length": share("word_chars", "n_words", 10)}
+    variety = F.least(F.lit(1000), F.floor(10 * F.col("n_different").cast("double") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double")))).cast("long")
+    return {"marks": share("n_marks", "word_chars", 1000), "word_length": share("word_chars", "n_words", 10), "variety": variety, "dup_lines": share("n_dup_lines", "n_lines", 1000), "repeats": share("n_repeat_words", "n_words", 1000)}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, measure, bin, n: the counts of each group's bins."""
     good = measured.where(~F.col("base_failed")).select("lang", "source", *(b.alias(k) for k, b in bins().items()))
     by_row = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("bin")) for k in MEASURES))
-    return good.select("lang", "source", F.inline(by_row)).groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
+    counted = ~F.col("measure").isin(*WHERE_ANY) | (F.col("bin") > 0)
+    return good.select("lang", "source", F.inline(by_row)).where(counted).groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
 
 
 def quartiles(counts: DataFrame, *keys: str) -> DataFrame:
@@ -106,22 +128,36 @@ def quartiles(counts: DataFrame, *keys: str) -> DataFrame:
     return x.groupBy(*keys, "measure").agg(F.max("size").alias("size"), quantile(1).alias("q1"), quantile(3).alias("q3"))
 
 
+def _power(x: str, n: int) -> Column:
+    """By products of whole numbers, which are exact."""
+    out = F.col(x)
+    for _ in range(n - 1):
+        out = out * F.col(x)
+    return out
+
+
 def thresholds(counts: DataFrame) -> DataFrame:
     """lang, source, and low and high of each measure, by the finest sketch with MIN_GROUP documents."""
-    fine = quartiles(counts, "lang", "source")
-    by_lang = quartiles(counts, "lang").select(F.col("lang").alias("_lang"), F.col("measure").alias("_m1"), *(F.col(c).alias(f"{c}_lang") for c in ("size", "q1", "q3")))
-    overall = quartiles(counts).select(F.col("measure").alias("_m2"), *(F.col(c).alias(f"{c}_all") for c in ("q1", "q3")))
-    x = fine.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m1"))).join(overall, F.col("measure") == F.col("_m2"))
+    names = F.explode(F.array(*(F.lit(k) for k in MEASURES))).alias("measure")
+    groups = counts.select("lang", "source").distinct().select("lang", "source", names)
+    fine = quartiles(counts, "lang", "source").withColumnsRenamed({"lang": "_l0", "source": "_s0", "measure": "_m0"})
+    by_lang = quartiles(counts, "lang").select(F.col("lang").alias("_l1"), F.col("measure").alias("_m1"), *(F.col(c).alias(f"{c}_lang") for c in ("size", "q1", "q3")))
+    overall = quartiles(counts).select(F.col("measure").alias("_m2"), *(F.col(c).alias(f"{c}_all") for c in ("size", "q1", "q3")))
+    x = groups.join(fine, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")) & (F.col("measure") == F.col("_m0")), "left")
+    x = x.join(by_lang, F.col("lang").eqNullSafe(F.col("_l1")) & (F.col("measure") == F.col("_m1")), "left").join(overall, F.col("measure") == F.col("_m2"), "left")
 
     def chosen(q: str) -> Column:
         return F.when(F.col("size") >= MIN_GROUP, F.col(q)).when(F.col("size_lang") >= MIN_GROUP, F.col(f"{q}_lang")).otherwise(F.col(f"{q}_all"))
 
-    x = x.select("lang", "source", "measure", chosen("q1").alias("q1"), chosen("q3").alias("q3"))
+    x = x.select("lang", "source", "measure", *(chosen(q).cast("double").alias(q) for q in ("size", "q1", "q3")))
     columns = []
-    for name, (times, least) in MEASURES.items():
-        reach = F.greatest(times * (F.col("q3") - F.col("q1")), F.lit(least))
-        columns.append(F.max(F.when(F.col("measure") == name, F.col("q3") + reach)).alias(f"{name}_high"))
-        columns.append(F.max(F.when(F.col("measure") == name, F.col("q1") - reach)).alias(f"{name}_low"))
+    for name, times in MEASURES.items():
+        reach = times * F.greatest(F.col("q3") - F.col("q1"), F.lit(1.0)) * (1.0 + SMALL / F.sqrt("size"))
+        if name == "variety":
+            low, high = _power("q1", times + 1) / _power("q3", times), F.lit(1000.0)
+        else:
+            low, high = F.lit(0.0) if name in NO_LEAST else F.col("q1") - reach, F.col("q3") + reach
+        columns += [F.max(F.when(F.col("measure") == name, at)).alias(f"{name}_{side}") for side, at in (("low", low), ("high", high))]
     return x.groupBy("lang", "source").agg(*columns)
 
 
@@ -147,12 +183,11 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns. Texts are read twice and never moved by key."""
-    measured = materialise(measure(_keyed(docs)).select("lang", "source", "base_failed", "n_lines", *BASE), "measured")
-    limits = materialise(thresholds(sketches(measured)), "thresholds")
+    """The documents that are kept, with their own columns. They are measured once, and written with what was measured."""
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own")
     keyed = docs.select(own, "text", *(F.col(c) if c in docs.columns else F.lit(None).cast(T.StringType()).alias(c) for c in ("lang", "source")))
-    return verdict(measure(keyed), limits).where("kept").select("_own.*")
+    measured = materialise(measure(keyed).drop("text"), "measured")
+    return verdict(measured, materialise(thresholds(sketches(measured)), "thresholds")).where("kept").select("_own.*")
 
 
 #: The same in SQL.
@@ -163,29 +198,37 @@ w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lam
 m AS (SELECT doc_id, lang, source, ws, len(ws) AS n_words,
   length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(regexp_replace(text, '[^!-/:-@\[-`{{-~]', '', 'g')) AS n_marks, len(list_distinct(ws)) AS n_different,
   len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, row_number() OVER () AS r FROM w),
 g AS (SELECT r, unnest(range(1, n_words - 6)) AS i, ws FROM m WHERE n_words >= 8),
-h AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + 7], ' ')) AS k FROM g),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, hash(ws[i:i + 7])) AS k FROM g),
 s AS (SELECT r, i - lag(i, 1, -7) OVER (PARTITION BY r ORDER BY i) AS gap FROM h WHERE k > 1),
 c AS (SELECT r, sum(least(8, gap)) AS n_repeat_words FROM s GROUP BY r),
 a AS (SELECT m.* EXCLUDE (ws), coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN c USING (r)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbols,
+  least(1000, 1000 * n_marks // greatest(word_chars, 1)) AS marks,
+  least(1000, 10 * word_chars // greatest(n_words, 1)) AS word_length,
+  least(1000, floor(10 * n_different::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE)))::BIGINT AS variety,
   least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS dup_lines,
-  least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeats,
-  least(1000, 10 * word_chars // greatest(n_words, 1)) AS word_length FROM a),
-u AS (SELECT lang, source, measure, bin FROM f UNPIVOT (bin FOR measure IN (symbols, dup_lines, repeats, word_length)) WHERE NOT base_failed),
-q3 AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM u GROUP BY ALL),
-q2 AS (SELECT lang, measure, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM u GROUP BY ALL),
-q1 AS (SELECT measure, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM u GROUP BY ALL),
-p AS (SELECT q3.lang, q3.source, q3.measure,
-  CASE WHEN q3.n >= {MIN_GROUP} THEN q3.q1 WHEN q2.n >= {MIN_GROUP} THEN q2.q1 ELSE q1.q1 END AS lo,
-  CASE WHEN q3.n >= {MIN_GROUP} THEN q3.q3 WHEN q2.n >= {MIN_GROUP} THEN q2.q3 ELSE q1.q3 END AS hi
-  FROM q3 JOIN q2 ON q3.lang IS NOT DISTINCT FROM q2.lang AND q3.measure = q2.measure JOIN q1 ON q3.measure = q1.measure),
-l AS (SELECT lang, source, measure, lo - reach AS low, hi + reach AS high FROM (
-  SELECT *, CASE measure {' '.join(f"WHEN '{k}' THEN greatest({t} * (hi - lo), {least})" for k, (t, least) in MEASURES.items())} END AS reach FROM p)),
+  least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeats FROM a),
+u AS (SELECT lang, source, measure, bin FROM f UNPIVOT (bin FOR measure IN ({', '.join(MEASURES)})) WHERE NOT base_failed),
+k AS (SELECT * FROM u WHERE bin > 0 OR measure NOT IN ({', '.join(f"'{m}'" for m in WHERE_ANY)})),
+g3 AS (SELECT DISTINCT lang, source, measure FROM u),
+q3 AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM k GROUP BY ALL),
+q2 AS (SELECT lang, measure, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM k GROUP BY ALL),
+q1 AS (SELECT measure, count(*) AS n, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM k GROUP BY ALL),
+p AS (SELECT g3.lang, g3.source, g3.measure,
+  (CASE WHEN q3.n >= {MIN_GROUP} THEN q3.n WHEN q2.n >= {MIN_GROUP} THEN q2.n ELSE q1.n END)::DOUBLE AS n,
+  (CASE WHEN q3.n >= {MIN_GROUP} THEN q3.q1 WHEN q2.n >= {MIN_GROUP} THEN q2.q1 ELSE q1.q1 END)::DOUBLE AS lo,
+  (CASE WHEN q3.n >= {MIN_GROUP} THEN q3.q3 WHEN q2.n >= {MIN_GROUP} THEN q2.q3 ELSE q1.q3 END)::DOUBLE AS hi
+  FROM g3 LEFT JOIN q3 ON g3.lang IS NOT DISTINCT FROM q3.lang AND g3.source IS NOT DISTINCT FROM q3.source AND g3.measure = q3.measure
+  LEFT JOIN q2 ON g3.lang IS NOT DISTINCT FROM q2.lang AND g3.measure = q2.measure LEFT JOIN q1 ON g3.measure = q1.measure),
+l AS (SELECT lang, source, measure,
+  CASE measure WHEN 'variety' THEN {' * '.join(['lo'] * (MEASURES['variety'] + 1))} / ({' * '.join(['hi'] * MEASURES['variety'])}) WHEN 'word_length' THEN lo - reach ELSE 0 END AS low,
+  CASE measure WHEN 'variety' THEN 1000 ELSE hi + reach END AS high FROM (
+  SELECT *, CASE measure {' '.join(f"WHEN '{k}' THEN {t}" for k, t in MEASURES.items())} END * greatest(hi - lo, 1) * (1 + {SMALL} / sqrt(n)) AS reach FROM p)),
 x AS (SELECT r, bool_or(bin NOT BETWEEN low AND high) AS outside
-  FROM (SELECT * FROM f UNPIVOT (bin FOR measure IN (symbols, dup_lines, repeats, word_length))) v
+  FROM (SELECT * FROM f UNPIVOT (bin FOR measure IN ({', '.join(MEASURES)}))) v
   JOIN l ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source AND v.measure = l.measure GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,

@@ -10,6 +10,8 @@ from io import BytesIO
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import media, quality, secrets, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, kept int"
@@ -57,6 +59,22 @@ def test_quality_thresholds_adapt(spark):
     assert quality.assess(none).count() == 0 and quality.keep_documents(none).count() == 0
 
 
+def test_every_fence_follows_the_data(spark):
+    """Two groups with the same shape at other places get other fences, by the quartiles alone; a small group's lie further out."""
+    rows = []
+    for source, n, shift in (("a", 400, 0), ("b", 400, 100), ("c", 60, 0)):
+        for i in range(n):
+            k = i * 100 // n
+            rows.append((source, 1000, 10, 100, 20 + k // 10 + shift, 50, 4 * (k % 5 == 0) * (1 + k // 50) + (shift // 50) * (k % 5 == 0), 2 * (k % 10 == 0) + shift // 50))
+    measured = spark.createDataFrame(rows, "source string, word_chars long, n_symbols long, n_words long, n_marks long, n_different long, n_dup_lines long, n_repeat_words long")
+    measured = measured.withColumns({"lang": F.lit("en"), "n_lines": F.lit(100).cast("long"), "base_failed": F.lit(False)})
+    found = {r["source"]: r for r in quality.thresholds(quality.sketches(measured)).collect()}
+    a, b, c = found["a"], found["b"], found["c"]
+    assert a["marks_high"] == 27 + 7 * 5 * (1 + 2 / 20) and b["marks_high"] == 100 + a["marks_high"] and c["marks_high"] > a["marks_high"]
+    assert a["variety_low"] == a["word_length_low"] * 0 + 50 and a["marks_low"] == 0 == b["repeats_low"]
+    assert all(a[f"{m}_high"] != b[f"{m}_high"] for m in ("marks", "dup_lines", "repeats"))
+
+
 # --- toxicity ---
 
 
