@@ -5,11 +5,13 @@ Each window of WIDTH bytes is tied to an anchor: the least hash of the strings o
 bytes within it. Equal windows have equal anchors at equal places, so all windows of one
 anchor can be judged together, and the windows of a text fall into runs with one anchor each.
 
-1. Anchors are counted. One that occurs once in all texts ties no repeated window.
+1. Equal texts become one, with their number. Anchors are counted. One that occurs once in all
+   texts ties no repeated window.
 2. For each anchor that occurs again, the bytes of its run of windows (its context) go to the
    shard of the anchor. Equal contexts are one, with a count.
 3. Each shard is a suffix array, built by induced sorting; windows whose common prefix with
-   a neighbour in the array reaches WIDTH are repeated, and so are those of equal contexts.
+   a neighbour in the array reaches WIDTH are repeated, and so are those of equal contexts. An
+   anchor with one context, however often, needs none.
 4. The repeated runs go back to their texts and the bytes they cover are taken out.
 
 An anchor with more than `MAX_CONTEXTS` different contexts (a passage in a large share of all
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_arrow, materialise, null_safe_bytes
 from .suffix import repeated_windows
@@ -118,83 +121,45 @@ def text_key(text: Column) -> Column:
 
 # --- 1. anchors that occur again ---
 
-ALONE, REPRESENTS, AGAIN = 0, 1, 2
+def _anchor_batch(width: int):
+    """A row for each anchor of a batch of different texts: anchor, key, ordinal, sure.
 
-
-def _count_batch(n_parts: int, width: int):
-    """Anchors of a batch, packed by part: hash, text, ordinal, state.
-
-    An anchor that the batch holds twice is repeated; its places go on as such, spread over the
-    parts, and one row without a place stands for all of them in the count.
+    Anchors of a text that has copies, and those that the batch holds twice, are known to be
+    repeated. One row without a key stands for them in the count, and their places go on as `sure`
+    under a name that spreads them. So an anchor in a large share of all texts is one row a batch.
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys = batch.column(0).to_pylist()
         t, h, *_ = anchors(null_safe_bytes(batch.column(1)), width)
         if not len(t):
             return None
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
+        copied = (batch.column(2).to_numpy(zero_copy_only=False) > 1)[t]
         ordinal = np.arange(len(t)) - np.searchsorted(t, t)
         different, which, counts = np.unique(h, return_inverse=True, return_counts=True)
-        state = np.where(counts[which] > 1, AGAIN, ALONE).astype(np.uint8)
-        several = different[counts > 1]
-        t = np.append(t, np.zeros(len(several), np.int64))
-        h = np.append(h, several)
-        ordinal = np.append(ordinal, np.zeros(len(several), np.int64)).astype(np.uint32)
-        state = np.append(state, np.full(len(several), REPRESENTS, np.uint8))
-        part = ((h.view(np.uint64) >> np.uint64(20)) + np.where(state == AGAIN, np.arange(len(h)), 0).astype(np.uint64)) % np.uint64(n_parts)
-        order = np.argsort(part, kind="stable")
-        bounds = np.flatnonzero(np.append(True, np.diff(part[order]) > 0)).tolist() + [len(order)]
-        rows = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            i = order[a:b]
-            used, place = np.unique(t[i], return_inverse=True)
-            rows.append({"part": int(part[i[0]]), "hashes": h[i].tobytes(), "keys": b"".join(keys[k] for k in used.tolist()), "texts": place.astype(np.uint32).tobytes(), "ordinals": ordinal[i].tobytes(), "states": state[i].tobytes()})
-        return pa.RecordBatch.from_pylist(rows, schema)
-
-    schema = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("hashes", "keys", "texts", "ordinals", "states"))])
+        known = counts > 1
+        known[which[copied]] = True
+        sure = known[which]
+        spread = h + np.arange(len(h)) * np.int64(0x1E3779B97F4A7C15)
+        goes = ~copied  # a copied text is taken whole
+        several = different[known]
+        name = np.append(np.where(sure, spread, h)[goes], several)
+        n = int(goes.sum())
+        held = np.append(keys[t[goes]], np.zeros(len(several), "V16"))
+        offsets = np.arange(len(held) + 1, dtype=np.int32) * 16
+        valid = np.packbits(np.arange(len(held)) < n, bitorder="little")
+        binary = pa.Array.from_buffers(pa.binary(), len(held), [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(held.tobytes())])
+        columns = [pa.array(name), binary, pa.array(np.append(ordinal[goes], np.zeros(len(several))).astype(np.int32)), pa.array(np.append(sure[goes], np.zeros(len(several), bool)))]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "key", "ordinal", "sure"])
+
     return kernel
 
 
-def _repeated_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places (text, ordinals) of the anchors of a part that occur again. The part is bounded by the number of parts."""
-    hashes, keys, texts, ordinals, states, n_keys = [], [], [], [], [], 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            hashes.append(np.frombuffer(row["hashes"], np.int64))
-            texts.append(np.frombuffer(row["texts"], np.uint32).astype(np.int64) + n_keys)
-            ordinals.append(np.frombuffer(row["ordinals"], np.uint32))
-            states.append(np.frombuffer(row["states"], np.uint8))
-            keys.append(row["keys"])
-            n_keys += len(row["keys"]) // 16
-    if not hashes:
-        return
-    h, t, o, state = (np.concatenate(x) for x in (hashes, texts, ordinals, states))
-    counted = state != AGAIN
-    order = np.argsort(h[counted])
-    sorted_h = h[counted][order]
-    same = np.append(False, sorted_h[1:] == sorted_h[:-1])
-    twice = np.zeros(counted.sum(), bool)
-    twice[order] = same | np.append(same[1:], False) | (state[counted][order] == REPRESENTS)
-    repeated = state == AGAIN
-    repeated[counted] |= twice & (state[counted] == ALONE)
-    t, o = t[repeated], o[repeated]
-    if not len(t):
-        return
-    order = np.argsort(t, kind="stable")
-    t, o = t[order], o[order]
-    all_keys = b"".join(keys)
-    heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-    names = [all_keys[16 * k : 16 * k + 16] for k in t[heads].tolist()]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(t)), pa.int32()), pa.array(o.astype(np.int32)))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), lists], ["key", "ordinals"])
-
-
-def repeated_anchors(texts: DataFrame, n_parts: int, width: int) -> DataFrame:
-    """key, ordinals of the texts (key, text) that hold anchors which occur again."""
-    packed = map_arrow(texts, _count_batch(n_parts, width), "part long, hashes binary, keys binary, texts binary, ordinals binary, states binary", TEXT_BYTES)
-    found = packed.repartition(n_parts, "part").mapInArrow(_repeated_part, "key binary, ordinals array<int>")
-    # equal texts say the same: each ordinal of a key is one before they meet, so a list is no longer than its text
-    places = found.select("key", F.explode("ordinals").alias("ordinal")).distinct()
+def repeated_anchors(texts: DataFrame, width: int) -> DataFrame:
+    """key, ordinals of those of the different texts (key, text, copies) that hold anchors which occur again; a row for each place on the way."""
+    rows = map_arrow(texts, _anchor_batch(width), "anchor long, key binary, ordinal int, sure boolean", TEXT_BYTES)
+    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    places = counted.where(F.col("key").isNotNull() & (F.col("sure") | (F.col("n") > 1)))
     return places.groupBy("key").agg(F.collect_list("ordinal").alias("ordinals"))
 
 
@@ -204,13 +169,14 @@ CONTEXTS = "route long, back int, shift int, context binary, id binary, n long"
 
 
 def _context_batch(width: int):
-    """The contexts of the repeated anchors of a batch, equal ones as one, with all their places."""
+    """The contexts of the repeated anchors of a batch, equal ones as one, with all their places. Without ordinals all anchors count."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, texts, wanted, copies = batch.column(0).to_pylist(), null_safe_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
         t, h, q, first, last = anchors(texts, width)
         base = np.searchsorted(t, np.arange(len(texts)))
-        picked = np.concatenate([np.unique(np.array(w, np.int64)) + b for w, b in zip(wanted, base.tolist(), strict=True)])
+        sizes = np.bincount(t, minlength=len(texts)).tolist()
+        picked = np.concatenate([(np.arange(n) if w is None else np.sort(np.array(w, np.int64))) + b for w, b, n in zip(wanted, base.tolist(), sizes, strict=True)])
         found: dict[tuple[int, int, bytes], tuple[list[bytes], list[int], list[int]]] = {}
         for k, route, anchor, a, b in zip(*(x[picked].tolist() for x in (t, h, q, first, last)), strict=True):
             at = found.setdefault((route, anchor - a, texts[k][a : b + width]), ([], [], []))
@@ -253,44 +219,57 @@ def halves(size: int, width: int):
 def _judge(width: int, shard_bytes: int):
     """Repeated runs (id, shift, starts, lengths) of contexts that come sorted by route, shard by shard."""
 
-    def flush(rows: list[tuple[bytes, bytes, int, int]]) -> pa.RecordBatch | None:
-        counts: dict[bytes, int] = {}
-        for context, _, _, n in rows:
-            counts[context] = counts.get(context, 0) + n
-        flags = dict(zip(counts, repeated_windows(list(counts), width), strict=True))
-        ids, shifts, starts, lengths = [], [], [], []
-        for context, key, shift in dict.fromkeys(r[:3] for r in rows):
-            if counts[context] > 1:
-                ids.append(key), shifts.append(shift), starts.append([0]), lengths.append([len(context) - width + 1])
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], flags[context], [0])).astype(np.int8)))
-            if len(edges):
-                ids.append(key), shifts.append(shift), starts.append(edges[::2]), lengths.append(edges[1::2] - edges[::2])
-        if not ids:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(shifts, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32()))], ["id", "shift", "starts", "lengths"])
+    columns = ("id", "shift", "starts", "lengths")
+    kinds = (pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+
+    def flush(routes: list[dict[bytes, list]]) -> pa.RecordBatch | None:
+        """routes: for each, by context, its number and the (id, shift) of those that hold it."""
+        several = [c for held in routes if len(held) > 1 for c in held]
+        flags = iter(repeated_windows(several, width) if several else [])
+        out = [[], [], [], []]
+        for held in routes:
+            for context, (n, *places) in held.items():
+                windows = len(context) - width + 1
+                # the windows of one context differ, as they lie at different distances from one anchor
+                flag = next(flags) if len(held) > 1 else None
+                if n > 1:
+                    runs = [0], [windows]
+                elif flag is None:
+                    continue
+                else:
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], flag, [0])).astype(np.int8)))
+                    runs = edges[::2], edges[1::2] - edges[::2]
+                if len(runs[0]):
+                    for key, shift in dict.fromkeys(places):
+                        for column, value in zip(out, (key, shift, *runs), strict=True):
+                            column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], columns) if out[0] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, route = [], 0, None
+        routes, held, route = [], 0, None
         for batch in batches:
             for r, context, key, shift, n in zip(*(batch.column(c).to_pylist() for c in ("route", "context", "id", "shift", "n")), strict=True):
-                if r != route and held >= shard_bytes:
-                    if (out := flush(rows)) is not None:
-                        yield out
-                    rows, held = [], 0
-                route = r
-                rows.append((context, key, shift, n))
+                if r != route or not routes:
+                    if held >= shard_bytes:
+                        if (out := flush(routes)) is not None:
+                            yield out
+                        routes, held = [], 0
+                    routes.append({})
+                    route = r
+                at = routes[-1].setdefault(context, [0])
+                at[0] += n
+                at.append((key, shift))
                 held += len(context)
-        if rows and (out := flush(rows)) is not None:
+        if routes and (out := flush(routes)) is not None:
             yield out
 
     return run
 
 
 def _judged(contexts: DataFrame, width: int) -> DataFrame:
-    """Repeated runs of contexts. Rows of one id and shift are one, with the sum of their n, before a shard is gathered."""
-    once = contexts.repartition("route").groupBy("route", "id", "shift", "context").agg(F.sum("n").alias("n"))
-    return once.sortWithinPartitions("route").mapInArrow(_judge(width, SHARD_BYTES), "id binary, shift int, starts array<int>, lengths array<int>")
+    """Repeated runs of contexts. Rows of one id and shift are one, with the sum of their n, before they go to the route's task."""
+    once = contexts.groupBy("route", "id", "shift", "context").agg(F.sum("n").alias("n"))
+    return once.repartition("route").sortWithinPartitions("route").mapInArrow(_judge(width, SHARD_BYTES), "id binary, shift int, starts array<int>, lengths array<int>")
 
 
 def _judged_once(split: DataFrame, width: int) -> DataFrame:
@@ -355,18 +334,15 @@ def cover(length: int, starts: list[int], lengths: list[int], width: int) -> np.
 def runs_by_text(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """(key, text of the texts that may lose bytes; key, starts, lengths of their repeated windows).
 
-    Of equal texts one goes on, with their number: the one with the least row number. Numbers are
-    written with the texts and read from there, as another read of docs may number its rows
-    otherwise. As the row is part of the join's key, the copies of a common text do not meet in one task.
+    Equal texts are one, with their number, before anything else: partial aggregation leaves one
+    in a task, so the copies of a common text do not meet. The exchange that brings them together is
+    used again where the repeated anchors are joined.
     """
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row"), "text").where(F.octet_length("text") >= width)
-    texts = materialise(texts, "numbered_texts")
-    flags = repeated_anchors(texts.select("key", "text"), n_parts, width)
-    copies = texts.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    chosen = materialise(flags.join(copies, "key"), "repeated_anchors")
-    held = materialise(texts.join(chosen, ["key", "row"]).select("key", "text", "ordinals", "copies"), "repeated_texts")
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= width)
+    different = texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    flags = repeated_anchors(different, width)
+    held = different.join(flags, "key", "left").where(F.col("ordinals").isNotNull() | (F.col("copies") > 1))
+    held = materialise(held.select("key", "text", "ordinals", "copies"), "repeated_texts")
     schema = f"{CONTEXTS}, keys array<binary>, starts array<long>"
     contexts = materialise(map_arrow(held, _context_batch(width), schema, TEXT_BYTES), "contexts")
     judged = repeated_runs(contexts.drop("keys", "starts"), width, max_contexts)

@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, in NumPy, and permuted common prefixes.
 
 Suffixes are classified (smaller or larger than their successor); leftmost-smaller substrings
-are sorted by one induction and named; the string of names is sorted recursively, each step
-naming pairs of names until all are different; a second induction over the sorted
-leftmost-smaller suffixes gives the suffix array. An induction goes through the buckets of
+are sorted by one induction and named; the string of names, as far as names occur again, is
+sorted recursively in the same way; a second induction over the sorted leftmost-smaller
+suffixes gives the suffix array. An induction goes through the buckets of
 first symbols in order and places all predecessors of a bucket's suffixes at once, so its
 Python steps depend on the alphabet and the longest run of a symbol, not on the length.
 
@@ -14,6 +14,8 @@ the others are compared, four symbols at a time.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 END, SEPARATOR, FIRST = 0, 1, 2  # symbols: the end, between texts, and byte b as FIRST + b
@@ -112,28 +114,33 @@ def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray)
 
 
 def _sort_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of dense names, the last of them unique and least."""
-    m = len(names)
-    rank = np.cumsum(np.bincount(names)) - np.bincount(names)
-    rank = rank[names].astype(np.int64)
-    open_ = np.flatnonzero(np.bincount(rank, minlength=m)[rank] > 1)
-    span = 1
-    while len(open_):
-        second = np.where(open_ + span < m, rank[np.minimum(open_ + span, m - 1)] + 1, 0)
-        key = rank[open_] << 32 | second
-        order = np.argsort(key)
-        key, open_ = key[order], open_[order]
-        i = np.arange(len(key))
-        new = np.append(True, key[1:] != key[:-1])
-        first = np.maximum.accumulate(np.where(new, i, 0))
-        old = key >> 32
-        old_first = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), i, 0))
-        rank[open_] = old + first - old_first
-        alone = new & np.append(new[1:], True)
-        open_ = open_[~alone]
-        span *= 2
-    order = np.empty(m, np.int64)
-    order[rank] = np.arange(m)
+    """Order of the suffixes of a string of dense names, the last of them unique and least, by the suffix array of a shorter string.
+
+    A unique name decides on its suffix, and on any that reaches it, so only names that occur again
+    and the unique ones right behind them go into that string. Names are written as two digits, so
+    that the alphabet, for which an induction takes a step a symbol, stays near the root of their number.
+    """
+    counts = np.bincount(names)
+    start = np.cumsum(counts) - counts
+    tied = counts[names] > 1
+    order = np.empty(len(names), np.int64)
+    order[start[names[~tied]]] = np.flatnonzero(~tied)
+    kept = np.flatnonzero(tied | np.append(False, tied[:-1]))
+    if not len(kept):
+        return order
+    used = np.zeros(len(counts), bool)
+    used[names[kept]] = True
+    dense = (np.cumsum(used) - 1)[names[kept]]
+    base = math.isqrt(int(used.sum())) + 1
+    digits = np.full(2 * len(dense) + 1, END, np.uint16)
+    digits[0:-1:2] = dense // base + 1
+    digits[1::2] = dense % base + 1
+    at = suffix_array(digits)[1:]
+    at = kept[at[at % 2 == 0] // 2]
+    at = at[tied[at]]
+    at = at[np.argsort(names[at], kind="stable")]
+    within = np.arange(len(at)) - np.searchsorted(names[at], names[at])
+    order[start[names[at]] + within] = at
     return order
 
 

@@ -3,7 +3,6 @@
 import hashlib
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import dedup
@@ -51,25 +50,30 @@ def test_rows_of_a_shard_do_not_grow_with_the_texts(spark, tmp_path, monkeypatch
     assert max(int(p.read_text()) for p in tmp_path.iterdir()) <= 4
 
 
-def test_ordinals_of_equal_texts_are_one(spark):
-    rows = [(i, common_passage(1)[0][1]) for i in range(50)]
+def test_anchors_of_equal_texts_are_one_row(spark):
+    """Rows on the way follow the different texts, not the copies and not the number of parts."""
+    n = len(dedup.anchors([common_passage(1)[0][1].encode()])[0])
+    rows = [(i, common_passage(1)[0][1]) for i in range(50)] + [(99, common_passage(1, 7)[0][1])]
     texts = spark.createDataFrame(rows, SCHEMA).repartition(10).select(dedup.text_key(F.col("text")).alias("key"), "text")
-    [found] = dedup.repeated_anchors(texts, 4, dedup.WIDTH).collect()
-    assert len(found["ordinals"]) == len(set(found["ordinals"])) == len(dedup.anchors([rows[0][1].encode()])[0])
+    different = texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    made = dedup.map_arrow(different, dedup._anchor_batch(dedup.WIDTH), "anchor long, key binary, ordinal int, sure boolean")
+    other = len(dedup.anchors([rows[-1][1].encode()])[0])
+    assert made.count() == n + other and made.where("key is null").count() == n
+    assert dedup.repeated_anchors(different, dedup.WIDTH).count() == 0
 
 
-def test_reads_may_number_rows_differently(spark, monkeypatch):
-    """Every plan sees another numbering: as after an executor is lost, when splits change."""
-    calls = []
-    real = F.monotonically_increasing_id
+def test_a_common_anchor_is_a_row_a_batch(spark):
+    docs = spark.createDataFrame(common_passage(400), SCHEMA).select(dedup.text_key(F.col("text")).alias("key"), "text", F.lit(1).cast("long").alias("copies")).coalesce(1)
+    made = dedup.map_arrow(docs, dedup._anchor_batch(dedup.WIDTH), "anchor long, key binary, ordinal int, sure boolean")
+    most = made.groupBy("anchor").count().agg(F.max("count")).collect()[0][0]
+    assert most <= 2
+    flagged = dedup.repeated_anchors(docs, dedup.WIDTH).collect()
+    assert len(flagged) == 400 and all(len(r["ordinals"]) >= 3 for r in flagged)
 
-    def shifting():
-        # unlike from run to run of the same plan
-        calls.append(1)
-        return (real() + (F.rand() * 1e9).cast("long") * 0 + F.expr("cast(unix_micros(current_timestamp()) as long)")).cast("long")
 
-    monkeypatch.setattr(dedup.F, "monotonically_increasing_id", shifting)
+def test_reads_in_any_order(spark):
+    """No row numbers are used: a frame whose rows come in another order at every read gives the same."""
     text = common_passage(1)[0][1]
-    docs = spark.createDataFrame([(i, text) for i in range(5)], SCHEMA)
+    docs = spark.createDataFrame([(i, text) for i in range(5)], SCHEMA).orderBy(F.rand())
     got = dedup.deduplicate(docs).collect()
-    assert calls and {(r["n_removed"], r["kept_sha256"]) for r in got} == {(len(text), hashlib.sha256(b"").hexdigest())}
+    assert {(r["n_removed"], r["kept_sha256"]) for r in got} == {(len(text), hashlib.sha256(b"").hexdigest())}
