@@ -42,8 +42,8 @@ from .suffix import repeated_windows
 WIDTH = 200
 GRAM = 64
 #: Bytes of the contexts of one suffix array, about.
-SHARD_BYTES = 1 << 20
-MAX_CONTEXTS = 4096
+SHARD_BYTES = 2 << 20
+MAX_CONTEXTS = 1024
 #: Bytes whose anchors are searched at once, and bytes of texts in a slice: arrays of eight bytes for each of them are in memory.
 BLOCK = 1 << 18
 TEXT_BYTES = 2 << 20

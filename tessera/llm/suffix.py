@@ -18,6 +18,8 @@ import math
 
 import numpy as np
 
+#: Suffixes that are placed one by one.
+FEW = 64
 END, SEPARATOR, FIRST = 0, 1, 2  # symbols: the end, between texts, and byte b as FIRST + b
 
 
@@ -33,31 +35,39 @@ def classify(s: np.ndarray) -> np.ndarray:
 class _Inducer:
     """Induces the order of all suffixes from that of the leftmost-smaller ones."""
 
-    def __init__(self, s: np.ndarray):
+    def __init__(self, s: np.ndarray, small: np.ndarray):
         self.s = s
         self.size = int(s.max()) + 1
         counts = np.bincount(s, minlength=self.size)
         self.end = np.cumsum(counts)
         self.start = self.end - counts
-
-    def _place(self, sa: np.ndarray, fill: np.ndarray, batch: np.ndarray, low: int, high: int, down: bool) -> None:
-        """Puts the predecessors whose symbol is in low..high into their buckets, in the batch's order."""
-        before = batch[batch > 0] - 1
-        symbol = self.s[before]
-        taken = (symbol >= low) & (symbol <= high)
-        before, symbol = before[taken], symbol[taken]
-        if not len(before):
+        # the symbol before each position, or -1 where the suffix there is not of the kind that a pass places
+        before = np.append(-1, s[:-1]).astype(np.int32)
+        small_before = np.append(True, small[:-1])
+        self.before_larger = np.where(small_before, -1, before)
+        small_before[0] = False
+        self.before_smaller = np.where(small_before, before, -1)
+
+    def _place(self, sa: np.ndarray, fill: np.ndarray, batch: np.ndarray, before: np.ndarray, step: int) -> None:
+        """Puts the predecessors of a batch into their buckets, in the batch's order, from fill on by step."""
+        if len(batch) <= FEW:
+            for j, c in zip(batch.tolist(), before[batch].tolist(), strict=True):
+                if c >= 0:
+                    at = fill[c]
+                    sa[at - (step < 0)] = j - 1
+                    fill[c] = at + step
+            return
+        symbol = before[batch]
+        taken = symbol >= 0
+        batch, symbol = batch[taken], symbol[taken].astype(np.uint16)
+        if not len(batch):
             return
         order = np.argsort(symbol, kind="stable")
-        before, symbol = before[order], symbol[order]
+        symbol = symbol[order]
         counts = np.bincount(symbol, minlength=self.size)
-        within = np.arange(len(before)) - (np.cumsum(counts) - counts)[symbol]
-        if down:
-            sa[fill[symbol] - 1 - within] = before
-            fill -= counts
-        else:
-            sa[fill[symbol] + within] = before
-            fill += counts
+        at = (fill - step * (np.cumsum(counts) - counts))[symbol] + step * np.arange(len(symbol))
+        sa[at if step > 0 else at - 1] = batch[order] - 1
+        fill += step * counts
 
     def __call__(self, smaller: np.ndarray) -> np.ndarray:
         """smaller: positions of the leftmost-smaller suffixes; within a bucket they keep their order."""
@@ -74,17 +84,17 @@ class _Inducer:
             at = start[c]
             while at < head[c]:
                 batch, at = sa[at : head[c]], head[c]
-                self._place(sa, head, batch, c, top, False)
+                self._place(sa, head, batch, self.before_larger, 1)
             if lms[c] < end[c]:
-                self._place(sa, head, sa[lms[c] : end[c]], c + 1, top, False)
+                self._place(sa, head, sa[lms[c] : end[c]], self.before_larger, 1)
         tail = end.copy()
         for c in range(top, -1, -1):
             at = end[c]
             while tail[c] < at:
                 batch, at = sa[tail[c] : at][::-1], tail[c]
-                self._place(sa, tail, batch, 0, c, True)
+                self._place(sa, tail, batch, self.before_smaller, -1)
             if start[c] < head[c]:
-                self._place(sa, tail, sa[start[c] : head[c]][::-1], 0, c - 1, True)
+                self._place(sa, tail, sa[start[c] : head[c]][::-1], self.before_smaller, -1)
         return sa
 
 
@@ -153,7 +163,7 @@ def suffix_array(s: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
     small = classify(s)
     is_lms = np.append(False, small[1:] & ~small[:-1])
     lms = np.flatnonzero(is_lms)
-    induce = _Inducer(s)
+    induce = _Inducer(s, small)
     if len(lms) < 2:
         return induce(lms)
     by_substring = induce(lms)
