@@ -6,10 +6,11 @@ reference fingerprints (pivots). The triangle inequality bounds a pair's distanc
 below by the largest difference of their table coordinates, so pairs that differ by more
 than 2 in any coordinate are discarded, and the others are verified bit by bit.
 
-Which pairs meet at all comes from the same table: the pivots lie in five bands of the 64
-bits. Two differing bits touch at most two bands, so in three bands at least all pivot
-distances of a linked pair are equal. Pairs are looked for among fingerprints with equal
-coordinates in one of the ten triples of bands.
+Which pairs meet at all comes from the same table. Every pivot is a reference over the whole
+fingerprint, or one with the bits of one of five blocks turned. The difference of both distances
+is decided by the block's bits alone. Two differing bits touch at most two blocks, so in three
+blocks at least the differences for all references are equal. Pairs are looked for among
+fingerprints with equal coordinates in one of the ten triples of blocks.
 
 A bucket with more than `BUCKET` distinct fingerprints is not searched by pairs. There
 each fingerprint is compared with its own 64 neighbours at one bit: two that share a
@@ -37,7 +38,9 @@ from .similar import similar_sets
 RADIUS = 2
 SEED = 42
 SHINGLE_WORDS = 3
-BANDS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: Reference fingerprints over all bits; each is also taken with the bits of one block turned.
+REFERENCES = 7
 #: Distinct fingerprints of a bucket that are still compared by pairs.
 BUCKET = 1024
 MAX_ROUNDS = 60
@@ -75,58 +78,57 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long")
 
 
-def pivots(low: int, high: int) -> list[int]:
-    """Reference fingerprints of a band: one bit each, and the first halves of halving runs."""
-    found = {1 << b for b in range(low, high)}
-    size = high - low
-    while size > 1:
-        size = (size + 1) // 2
-        found |= {sum(1 << b for b in range(a, min(a + size, high))) for a in range(low, high, size)}
-    return sorted(found)
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _distance(fp: Column, pivot: int, low: int, high: int) -> Column:
-    """Hamming distance to a pivot within its band."""
-    mask = sum(1 << b for b in range(low, high))
-    return F.bit_count(fp.bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(pivot))))
-
-
-def _reference(k: int) -> int:
-    """A fixed reference fingerprint over all 64 bits."""
-    return xxhash.xxh64_intdigest(k.to_bytes(8, "little"), SEED)
+def pivots() -> list[list[int]]:
+    """The pivots, all over the whole fingerprint: for each reference itself, and with each block's bits turned."""
+    turned = [0, *(sum(1 << b for b in range(*block)) for block in BLOCKS)]
+    return [[xxhash.xxh64_intdigest(k.to_bytes(8, "little"), SEED) ^ t for t in turned] for k in range(REFERENCES)]
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """Adds the table of an fp: b0..b4, a hash of the distances to each band's pivots, and d, the
-    distances to seven references over all bits, a byte each."""
-    fp = F.col("fp")
-    bands = [F.xxhash64(*(_distance(fp, p, *band) for p in pivots(*band))).alias(f"b{i}") for i, band in enumerate(BANDS)]
-    packed = F.lit(0).cast("long")
-    for k in range(7):
-        packed = packed.bitwiseOR(F.shiftleft(_distance(fp, _reference(k), 0, 64).cast("long"), 8 * k))
-    return fps.select("*", *bands, packed.alias("d"))
+    """Adds the distances of fp to all pivots, d0..d5: the k-th byte of d0 is that to the k-th reference,
+    and of d1..d5 those to the reference with that block turned."""
+    columns = {}
+    for i in range(len(BLOCKS) + 1):
+        packed = F.lit(0).cast("long")
+        for k, row in enumerate(pivots()):
+            packed = packed.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(row[i])))).cast("long"), 8 * k))
+        columns[f"d{i}"] = packed
+    return fps.withColumns(columns)
+
+
+def coordinates(i: int) -> Column:
+    """What turning a block does to the distances to all references, as one number.
+
+    A distance and that to the turned pivot differ by a number that only the bits of the block decide,
+    so fingerprints that differ elsewhere alone have equal coordinates. (Bytes of d0 and d1..d5 are 64
+    at most; 128 in each keeps them from borrowing.)
+    """
+    high = F.lit(0x80808080808080)
+    return F.col("d0").bitwiseOR(high) - F.col(f"d{i + 1}")
 
 
 def _close(a: str, b: str) -> Column:
-    """No coordinate differs by more than RADIUS, and neither do the fingerprints themselves."""
+    """No distance to a pivot differs by more than RADIUS, and neither do the fingerprints themselves."""
 
-    def at(side: str, k: int) -> Column:
-        return F.shiftright(F.col(f"{side}.d"), 8 * k).bitwiseAND(F.lit(255))
+    def at(side: str, i: int, k: int) -> Column:
+        return F.shiftrightunsigned(F.col(f"{side}.d{i}"), 8 * k).bitwiseAND(F.lit(255))
 
     kept = F.lit(True)
-    for k in range(7):
-        kept = kept & (F.abs(at(a, k) - at(b, k)) <= RADIUS)
+    for i in range(len(BLOCKS) + 1):
+        for k in range(REFERENCES):
+            kept = kept & (F.abs(at(a, i, k) - at(b, i, k)) <= RADIUS)
     return kept & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints fps.fp that connect all those within RADIUS."""
-    keys = F.array(*(F.xxhash64(F.lit(t), *(f"b{i}" for i in triple)) for t, triple in enumerate(combinations(range(len(BANDS)), 3))))
-    rows = materialise(pivot_table(fps.select("fp")).select("fp", "d", F.explode(keys).alias("key")), "pivot_rows")
+    keys = F.array(*(F.xxhash64(F.lit(t), *(coordinates(i) for i in triple)) for t, triple in enumerate(combinations(range(len(BLOCKS)), 3))))
+    table = pivot_table(fps.select("fp"))
+    rows = materialise(table.select(*table.columns, F.explode(keys).alias("key")), "pivot_rows")
     sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "pivot_buckets")
     small = rows.join(sizes.where(F.col("n") <= bucket).select("key"), "key", "left_semi")
     found = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _close("x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
