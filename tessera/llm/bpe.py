@@ -6,6 +6,11 @@ boundary of its own lies on a boundary of the chunk before, both are in step aga
 the text is cut there. Each piece between two cuts is then encoded by itself, and the
 ids are put together in order. Decoding concatenates the raw bytes of the ids.
 
+How far a chunk reaches into the next is settled where the text is cut up: far enough that the
+next chunk has some boundaries of its own there. A match that covers the usual overlap (a run
+of letters, say) widens the overlap of its chunk alone, and where a whole chunk has no
+boundaries it is no chunk of its own. So one long match costs no cut but those within it.
+
 Null and empty texts have no ids. Rows are told apart by an internal row id, so repeated
 rows and null doc_ids each keep their own result; other columns are ignored.
 """
@@ -28,6 +33,8 @@ from .common import map_arrow
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
+#: Boundaries that an overlap holds at least.
+MIN_EDGES = 4
 #: A match that ends so near to the end of a chunk may look different in the whole text.
 MARGIN = 4
 
@@ -72,29 +79,51 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def chunk_spans(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of the chunks of a text; each but the last reaches `overlap` into the next."""
-    return [(at, min(length, at + chunk + overlap)) for at in range(0, max(length, 1), chunk)]
-
-
-def chunk_edges(vocab: Vocabulary, text: str, start: int, chunk: int, overlap: int, last: bool) -> tuple[list[int], list[int]]:
-    """Boundaries in the whole text's positions, in the chunk's first `overlap` characters and beyond its own end.
+def edges_of(vocab: Vocabulary, text: str, last: bool) -> list[int]:
+    """Boundaries of a stretch of text that a cut may lie on.
 
     Only those after a character that is no white space count: a piece cut there splits into
-    the same pre-tokens as it does within the text. What the end of the chunk may have
-    changed does not count.
+    the same pre-tokens as it does within the text. What the end of the stretch may have
+    changed does not count, unless the text ends there.
     """
     trusted = len(text) if last else len(text) - MARGIN
-    ends = [e for e in vocab.boundaries(text) if e <= trusted and not text[e - 1].isspace()]
-    return [start + e for e in ends if e <= overlap], [start + e for e in ends if e >= chunk]
+    return [e for e in vocab.boundaries(text) if e <= trusted and not text[e - 1].isspace()]
+
+
+def chunk_spans(vocab: Vocabulary, text: str, chunk: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, head, tail) of the chunks of a text: up to head the chunk before reaches into it, from tail on it reaches into the next."""
+    out = []
+    n, start, head = len(text), 0, 0
+    while True:
+        tail, width = start + chunk, overlap
+        while tail < n:
+            end = min(n, tail + width)
+            if len(edges_of(vocab, text[tail:end], end == n)) >= MIN_EDGES:
+                break
+            if end == n or width >= chunk:  # nothing to come into step by: the chunk goes on
+                tail, width = tail + width, overlap
+            else:
+                width *= 2
+        if tail >= n:
+            out.append((start, n, head, n))
+            return out
+        end = min(n, tail + width)
+        out.append((start, end, head, tail))
+        start, head = tail, end
+
+
+def chunk_edges(vocab: Vocabulary, text: str, start: int, head: int, tail: int, last: bool) -> tuple[list[int], list[int]]:
+    """Boundaries of a chunk, in the whole text's positions: those up to head, and those from tail on."""
+    ends = [start + e for e in edges_of(vocab, text, last)]
+    return [e for e in ends if e <= head], [e for e in ends if e >= tail]
 
 
 def stitch(edges: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
     """(host, cut) of each chunk: where its piece begins, or the host chunk whose piece it continues.
 
     The boundaries behind a chunk's own end are right if the chunk came into step before; it did at
-    its cut, or it goes on from its host. Two chunks that never agree within their overlap (one
-    match covers it) make one piece.
+    its cut, or it goes on from its host. Two chunks whose boundaries never agree within their
+    overlap make one piece with all that follows: which boundaries are right is then not known.
     """
     out = [(0, 0)]
     tail = edges[0][1]
@@ -111,8 +140,7 @@ def stitch(edges: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
 
 def encode_chunked(vocab: Vocabulary, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     """The method on one text, in one place."""
-    spans = chunk_spans(len(text), chunk, overlap)
-    edges = [chunk_edges(vocab, text[a:b], a, chunk, overlap, b == len(text)) for a, b in spans]
+    edges = [chunk_edges(vocab, text[a:b], a, head, tail, b == len(text)) for a, b, head, tail in chunk_spans(vocab, text, chunk, overlap)]
     cuts = [c for _, c in stitch(edges) if c >= 0] + [len(text)]
     return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in vocab.encode(text[a:b])]
 
@@ -146,16 +174,16 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS, overl
 
 def _encode_long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     def cut_up(batches):
+        vocab = vocabulary(path)
         for batch in batches:
             for rid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                spans = chunk_spans(len(text), chunk, overlap)
-                for i, (a, b) in enumerate(spans):
-                    yield pa.RecordBatch.from_pylist([{"rid": rid, "doc_id": doc_id, "idx": i, "last": b == len(text), "start": a, "text": text[a:b]}], schema)
+                for i, (a, b, head, tail) in enumerate(chunk_spans(vocab, text, chunk, overlap)):
+                    yield pa.RecordBatch.from_pylist([{"rid": rid, "doc_id": doc_id, "idx": i, "last": b == len(text), "start": a, "head_end": head, "tail_start": tail, "text": text[a:b]}], schema)
 
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("idx", pa.int32()), ("last", pa.bool_()), ("start", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("idx", pa.int32()), ("last", pa.bool_()), ("start", pa.int64()), ("head_end", pa.int64()), ("tail_start", pa.int64()), ("text", pa.string())])
     chunks = (
         docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-        .mapInArrow(cut_up, "rid long, doc_id long, idx int, last boolean, start long, text string")
+        .mapInArrow(cut_up, "rid long, doc_id long, idx int, last boolean, start long, head_end long, tail_start long, text string")
         .repartition("rid", "idx")
     )
 
@@ -163,7 +191,7 @@ def _encode_long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
         vocab = vocabulary(path)
         for batch in batches:
             x = batch.to_pydict()
-            found = [chunk_edges(vocab, t, s, chunk, overlap, z) for t, s, z in zip(x["text"], x["start"], x["last"], strict=True)]
+            found = [chunk_edges(vocab, *row) for row in zip(x["text"], x["start"], x["head_end"], x["tail_start"], x["last"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("idx"), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([t for _, t in found], pa.list_(pa.int64()))], ["rid", "idx", "head", "tail"])
 
     def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +206,7 @@ def _encode_long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
         vocab = vocabulary(path)
         pdf = pdf.sort_values("idx")
         first = pdf.iloc[0]
-        whole = "".join(t[:chunk] for t in pdf["text"].iloc[:-1]) + pdf["text"].iloc[-1]
+        whole = "".join(t[: end - at] for t, at, end in zip(pdf["text"].iloc[:-1], pdf["start"], pdf["tail_start"], strict=False)) + pdf["text"].iloc[-1]
         a = int(first["cut"]) - int(first["start"])
         b = int(first["until"]) - int(first["start"]) if first["until"] >= 0 else len(whole)
         ids = vocab.encode(whole[a:b])

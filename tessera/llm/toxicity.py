@@ -10,7 +10,7 @@ phrase does not count. The score is the matched weight by length, carried to 0..
 The lexicon is learned: document counts of words and stems among labelled rows give weights
 (log odds), a likelihood-ratio test decides which are kept, and contexts in which an entry
 occurs only in clean rows become exception phrases. At most `MAX_TRAIN` labelled rows are
-used, by the order of a hash of their doc_id.
+used, by the order of a hash of their doc_id; all entries and phrases that they bear out are kept.
 
 Null and empty texts score 0. A null doc_id is not held out and has no label; repeated rows
 score alike; columns other than doc_id and text are ignored. With no labels every score is 0.
@@ -29,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, materialise
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 4_000
 STEMS = (4, 5, 6, 7, 8, 9)
 #: Least likelihood ratio (chi-squared, one degree of freedom) and least share of toxic rows of an entry.
 MIN_G2 = 22.0
@@ -155,19 +154,19 @@ def _features(folded: str) -> set[str]:
     return out
 
 
-def _g2(t: int, c: int, toxic: int, clean: int) -> float:
+def _g2(toxic: int, clean: int) -> Column:
     """Likelihood ratio of a feature in t of `toxic` and c of `clean` rows."""
-    total, rows = 0.0, toxic + clean
-    for seen, size in ((t, toxic), (c, clean)):
-        for x, share in ((seen, (t + c) / rows), (size - seen, 1 - (t + c) / rows)):
-            if x:
-                total += x * math.log(x / (size * share))
+    share = (F.col("t") + F.col("c")) / (toxic + clean)
+    total = F.lit(0.0)
+    for seen, size in ((F.col("t"), toxic), (F.col("c"), clean)):
+        for x, expected in ((seen, size * share), (size - seen, size * (1 - share))):
+            total = total + F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     return 2 * total
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Lexicon:
-    """A lexicon from the labels. What reaches the driver is bounded: MAX_TERMS entries, `limit` densities."""
-    train = training_rows(docs, labels, limit)
+    """A lexicon from the labels. What reaches the driver is the lexicon and `limit` densities, which the training rows bound."""
+    train = materialise(training_rows(docs, labels, limit), "training_rows")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen = (Counter(), Counter())
@@ -177,19 +176,17 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Lexicon
         terms = list(seen[0].keys() | seen[1].keys())
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][x] for x in terms], pa.int64()), pa.array([seen[0][x] for x in terms], pa.int64())], ["term", "t", "c"])
 
-    counts = map_arrow(train, count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    best = counts.where((F.col("term") == "") | ((F.col("t") >= 4) & (F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("c"))))).orderBy(F.col("term") != "", F.desc("t"), "c", "term").limit(MAX_TERMS * 5).collect()
-    if not best or best[0]["term"] or not best[0]["t"] or not best[0]["c"]:
+    counts = materialise(map_arrow(train, count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "term_counts")
+    rows = counts.where("term = ''").collect()
+    if not rows or not rows[0]["t"] or not rows[0]["c"]:
         return Lexicon({})
-    toxic, clean = best[0]["t"], best[0]["c"]
-    odds = {}
-    for x in best[1:]:
-        if _g2(x["t"], x["c"], toxic, clean) >= MIN_G2:
-            odds[x["term"]] = (math.log((x["t"] + 0.5) / (toxic + 1)) - math.log((x["c"] + 0.5) / (clean + 1)), x["t"])
+    toxic, clean = rows[0]["t"], rows[0]["c"]
+    telling = (F.col("term") != "") & (F.col("t") >= 4) & (F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("c"))) & (_g2(toxic, clean) >= MIN_G2)
+    odds = {x["term"]: (math.log((x["t"] + 0.5) / (toxic + 1)) - math.log((x["c"] + 0.5) / (clean + 1)), x["t"]) for x in counts.where(telling).collect()}
     # a stem stands for all its words; of nested stems the shortest is enough
     stems = {s for s in odds if not s.endswith(" ")}
     kept = {}
-    for term, (w, t) in sorted(odds.items(), key=lambda x: (-x[1][1], x[0]))[:MAX_TERMS]:
+    for term, (w, t) in sorted(odds.items(), key=lambda x: (-x[1][1], x[0])):
         word = term.strip()
         if not any(f" {word[:n]}" in stems and f" {word[:n]}" != term and odds[f" {word[:n]}"][0] >= w - 1.5 for n in STEMS if n < len(word) + term.endswith(" ")):
             kept[term] = w
@@ -210,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Lexicon
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][x] for x in terms], pa.int64()), pa.array([seen[0][x] for x in terms], pa.int64())], ["term", "t", "c"])
 
     phrases = map_arrow(train, contexts, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(f"t = 0 AND c >= {MIN_EXCEPTION}")
-    lexicon.exceptions = [x["term"] for x in phrases.orderBy(F.desc("c"), "term").limit(MAX_TERMS).collect()]
+    lexicon.exceptions = [x["term"] for x in phrases.orderBy(F.desc("c"), "term").collect()]
 
     def densities(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = lexicon.automaton()

@@ -2,7 +2,7 @@
 
 List entries are dated events (a key is added or removed). Per list and key they become
 validity intervals, closed on the left. Every capture is looked up under each key that could
-list it (its host and all parent domains; its host with each path prefix), and an as-of join
+list it (its host and all parent domains; its host with each path prefix, the empty one too), and an as-of join
 keeps the entries whose interval holds the fetch date. The interval side has few rows a key,
 and the capture side is what may be skewed, so the join is an equi-join on the key with a range
 condition: a hot host's captures can be split over tasks, and no key's rows are gathered.
@@ -38,12 +38,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("day").over(by_key)).where("listed").select("list", "key", F.col("day").alias("since"), F.coalesce("until", F.lit(OPEN_END).cast("date")).alias("until"))
 
 
-def keys(url: Column) -> Column:
-    """All keys that could list a URL: "domain:..." of its host and parents, "prefix:..." of its paths."""
+def keys(url: Column, single_labels: bool = True) -> Column:
+    """All keys that could list a URL: "domain:..." of its host and parents, "prefix:..." of its paths, from "prefix:host/" on.
+
+    Without single_labels, top-level domains of longer hosts are left out.
+    """
     labels = F.split(host(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels) if single_labels else F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     steps = F.array_remove(F.split(F.regexp_extract(F.lower(url), PATH, 1), "/"), "")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: F.concat(F.lit("prefix:"), host(url), F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.concat(F.lit("prefix:"), host(url), F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))
     return F.when(host(url) != "", F.array_distinct(F.concat(domains, prefixes)))
 
 
@@ -54,7 +57,9 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     captures = captures.select("page_id", "url", "fetched")
     active = materialise(intervals(entries), "intervals")
-    probes = captures.where(F.col("url").isNotNull() & F.col("fetched").isNotNull()).select("url", "fetched", F.explode(keys(F.col("url"))).alias("key"))
+    # every capture has a top-level domain, so those are looked for only if a list holds one
+    single_labels = not active.where(~F.col("key").contains(".")).isEmpty()
+    probes = captures.where(F.col("url").isNotNull() & F.col("fetched").isNotNull()).select("url", "fetched").distinct().select("url", "fetched", F.explode(keys(F.col("url"), single_labels)).alias("key"))
     hits = probes.alias("p").join(active.alias("a"), (F.col("p.key") == F.col("a.key")) & (F.col("fetched") >= F.col("since")) & (F.col("fetched") < F.col("until")))
     found = hits.select("url", "fetched", "list", "p.key").distinct().groupBy("url", "fetched").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
     found = materialise(found.withColumnsRenamed({"url": "_url", "fetched": "_fetched"}), "matches")
@@ -102,7 +107,7 @@ c AS (SELECT *, lag(listed, 1, false) OVER (PARTITION BY list, key ORDER BY day)
 i AS (SELECT * FROM (SELECT list, key, listed, day AS since, lead(day, 1, DATE '{OPEN_END}') OVER (PARTITION BY list, key ORDER BY day) AS until FROM c WHERE listed <> before) WHERE listed),
 s AS (SELECT DISTINCT url, fetched, host, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps FROM p WHERE host <> ''),
 q AS (SELECT url, fetched, 'domain:' || array_to_string(labels[n:], '.') AS key FROM s, range(1, 200) r(n) WHERE n <= len(labels)
-  UNION SELECT url, fetched, 'prefix:' || host || '/' || array_to_string(steps[:n], '/') FROM s, range(1, 200) r(n) WHERE n <= greatest(len(steps), 1)),
+  UNION SELECT url, fetched, 'prefix:' || host || '/' || array_to_string(steps[:n], '/') FROM s, range(0, 200) r(n) WHERE n <= len(steps)),
 m AS (SELECT url, fetched, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM q JOIN i ON q.key = i.key AND fetched >= since AND fetched < until GROUP BY ALL)
 SELECT page_id, url, fetched, coalesce(n, 0)::BIGINT AS n_entries, coalesce(lists, '') AS lists, n IS NOT NULL AS blocked
 FROM p LEFT JOIN m USING (url, fetched)

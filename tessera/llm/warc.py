@@ -8,19 +8,25 @@ keep its payload digest, so a derivative can be traced to its source and checked
 
 Record ids are UUIDs of the source's id and the kind, so a task that runs again makes the same
 records. A null URL becomes an empty target and a null body an empty payload; pages are told
-apart by page_id and url; repeated rows give repeated records. Columns other than page_id, url,
-html are ignored. A record that cannot be parsed or fails its digest gives one row of kind
-"error" and no derivatives.
+apart by page_id, url and payload; repeated rows give repeated records. Columns other than
+page_id, url, html are ignored. A record that cannot be parsed or decoded or fails its digest
+gives one row of kind "error" and no derivatives.
+
+The payload is decoded before it is read: chunked transfer, gzip or deflate, then the character
+set that the HTTP header, a byte order mark or the page names, UTF-8 otherwise. Markup is walked
+once, from tag to tag; a comment, script or style that is never closed takes the rest of the page.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
@@ -33,15 +39,19 @@ VERSION = b"WARC/1.1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tessera:warc")
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
-DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>", re.DOTALL | re.IGNORECASE)
-BLOCK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|article|section|nav|footer|header|title|head|body)\b[^>]*>", re.IGNORECASE)
-TAG = re.compile(r"<[a-zA-Z/][^>]*>")
+BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol tr table br article section nav footer header title head body".split())
+#: Elements whose content is not shown, by what closes them.
+HIDDEN = ("script", "style", "noscript", "template")
+LINKS = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+ATTRIBUTE = re.compile(r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 BLANKS = re.compile(r"[ \t\r\f\v]+")
 LINES = re.compile(r" ?\n[ \n]*")
-LINK = re.compile(r"""<(a|img|link|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.DOTALL | re.IGNORECASE)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.IGNORECASE)
-CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.IGNORECASE)
+CHARSET = re.compile(rb"""<meta\b[^>]{0,500}?\bcharset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.IGNORECASE)
+HEADER_CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.IGNORECASE)
+#: Bytes at the start of a page among which it can name its character set.
+DECLARED_WITHIN = 4096
+BYTE_ORDER_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
 
 def digest(data: bytes) -> str:
@@ -70,27 +80,133 @@ def response(page_id: int | None, url: str | None, body: bytes) -> bytes:
     """The response record of a captured page."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body
     date = (EPOCH + timedelta(seconds=abs(page_id or 0) % 31_536_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", str(page_id), url or "")), ("WARC-Date", date), ("WARC-Target-URI", url or ""), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body))]
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", str(page_id), url or "", digest(body))), ("WARC-Date", date), ("WARC-Target-URI", url or ""), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body))]
     return record(fields, http)
 
 
-def plain_text(page: str) -> str:
-    """Visible text, a line for each block."""
-    text = DROPPED.sub(" ", page)
-    text = TAG.sub(" ", BLOCK.sub("\n", text))
-    return LINES.sub("\n", BLANKS.sub(" ", html.unescape(text))).strip()
+def dechunked(data: bytes) -> bytes:
+    """The content of a chunked transfer."""
+    out, at = [], 0
+    while True:
+        end = data.index(b"\r\n", at)
+        size = int(data[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        if size < 0 or end + 2 + size > len(data):
+            raise ValueError("wrong chunk")
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def content(body: bytes, http: dict[str, str]) -> bytes:
+    """A payload without transfer and content encodings; http has lower-case names."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        body = dechunked(body)
+    for coding in reversed([x.strip().lower() for x in http.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            body = zlib.decompress(body, 31)
+        elif coding == "deflate":
+            body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+        elif coding not in ("", "identity"):
+            raise ValueError(f"unknown content encoding {coding}")
+    return body
+
+
+def declared_charset(data: bytes) -> str | None:
+    m = CHARSET.search(data, 0, DECLARED_WITHIN)
+    return m[1].decode() if m else None
+
+
+def decoded(data: bytes, http: dict[str, str]) -> str:
+    """The characters of a page."""
+    for mark, charset in BYTE_ORDER_MARKS:
+        if data.startswith(mark):
+            return data[len(mark) :].decode(charset, "replace")
+    m = HEADER_CHARSET.search(http.get("content-type", ""))
+    for charset in (m[1] if m else None, declared_charset(data)):
+        try:
+            if charset and codecs.lookup(charset)._is_text_encoding:
+                return data.decode(charset, "replace")
+        except LookupError:
+            pass
+    return data.decode("utf-8", "replace")
+
+
+class Markup:
+    """What one walk over the markup of a page finds: visible text, title, language and links."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.lower = page.encode("utf-8", "replace").lower().decode()  # of bytes: A-Z only, so places stay
+        self.parts: list[str] = []
+        self.links: list[dict[str, str]] = []
+        self.title: str | None = None
+        self.lang: str | None = None
+        self._walk()
+
+    def text(self) -> str:
+        """Visible text, a line for each block."""
+        return LINES.sub("\n", BLANKS.sub(" ", html.unescape("".join(self.parts)))).strip()
+
+    def _after(self, closer: str, at: int) -> int:
+        end = self.lower.find(closer, at)
+        return len(self.page) if end < 0 else end
+
+    def _walk(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            tag = page.find("<", at)
+            if tag < 0:
+                tag = n
+            self.parts.append(page[at:tag])
+            if tag == n:
+                return
+            if page.startswith("<!--", tag):
+                self.parts.append(" ")
+                at = self._after("-->", tag + 4) + 3
+                continue
+            closing = page.startswith("/", tag + 1)
+            m = NAME.match(page, tag + 1 + closing)
+            if m is None and not closing and not page.startswith("!", tag + 1):
+                self.parts.append("<")
+                at = tag + 1
+                continue
+            end = page.find(">", tag)
+            if end < 0:  # a tag that is never closed is text, and so is all behind it
+                self.parts.append(page[tag:])
+                return
+            at = end + 1
+            name = m[0].lower() if m else ""
+            self.parts.append("\n" if name in BLOCKS else " ")
+            if closing or not name:
+                continue
+            if name in LINKS or name == "html":
+                self._attributes(name, page[m.end() : end])
+            if name == "title" and self.title is None:
+                self.title = html.unescape(page[at : self._after("</title", at)]).strip()
+            if name in HIDDEN:
+                close = self._after(f"</{name}", at)
+                at = self._after(">", close) + 1
+
+    def _attributes(self, name: str, inside: str) -> None:
+        found: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(inside):
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        if name == "html":
+            self.lang = self.lang or found.get("lang")
+        elif LINKS[name] in found:
+            self.links.append({"tag": name, "url": found[LINKS[name]]})
 
 
-def envelope(page: str, fields: dict[str, str], http: list[tuple[str, str]], status: str) -> bytes:
-    """What a metadata record holds, as JSON."""
+def plain_text(page: str) -> str:
+    return Markup(page).text()
 
-    def first(pattern: re.Pattern) -> str | None:
-        m = pattern.search(page)
-        return html.unescape(m[1]).strip() if m else None
 
-    links = [{"tag": m[1].lower(), "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in LINK.finditer(page)]
-    what = {"source": {k: fields.get(k) for k in ("WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Block-Digest", "WARC-Payload-Digest")}, "http": {"status": status, "headers": http}, "html": {"title": first(TITLE), "lang": first(LANG), "charset": first(CHARSET), "links": links}}
-    return json.dumps(what, ensure_ascii=False, separators=(",", ":")).encode()
+def envelope(markup: Markup, charset: str | None, fields: dict[str, str], http: list[tuple[str, str]], status: str) -> bytes:
+    """What a metadata record holds, as JSON."""
+    source = {k: fields.get(k) for k in ("WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Block-Digest", "WARC-Payload-Digest")}
+    page = {"title": markup.title, "lang": markup.lang, "charset": charset, "links": markup.links}
+    return json.dumps({"source": source, "http": {"status": status, "headers": http}, "html": page}, ensure_ascii=False, separators=(",", ":")).encode()
 
 
 def derive(source: bytes) -> list[tuple[str, dict[str, str], bytes]]:
@@ -107,10 +223,12 @@ def derive(source: bytes) -> list[tuple[str, dict[str, str], bytes]]:
     payload = digest(body)
     if payload != fields.get("WARC-Payload-Digest", payload):
         raise ValueError("wrong payload digest")
-    page = body.decode("utf-8", "replace")
+    by_name = {k.lower(): v for k, v in http}
+    data = content(body, by_name)
+    markup = Markup(decoded(data, by_name))
     status = block[: block.index(b"\r\n")].decode("latin-1")
     out = []
-    for kind, mime, made in (("metadata", "application/json", envelope(page, fields, http, status)), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
+    for kind, mime, made in (("metadata", "application/json", envelope(markup, declared_charset(data), fields, http, status)), ("conversion", "text/plain; charset=utf-8", markup.text().encode("utf-8", "replace"))):
         own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, fields["WARC-Record-ID"])), ("WARC-Date", fields["WARC-Date"]), ("WARC-Target-URI", fields.get("WARC-Target-URI", "")), ("WARC-Refers-To", fields["WARC-Record-ID"]), ("WARC-Refers-To-Target-URI", fields.get("WARC-Target-URI", "")), ("WARC-Refers-To-Date", fields["WARC-Date"]), ("WARC-Source-Payload-Digest", payload), ("Content-Type", mime)]
         full = record(own, made)
         out.append((kind, dict(own) | {"WARC-Block-Digest": digest(made), "Content-Length": str(len(made))}, full))
@@ -126,7 +244,7 @@ def _derive_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         try:
             made = derive(source or b"")
-        except (ValueError, KeyError):
+        except (ValueError, KeyError, zlib.error):
             made = [("error", {}, b"")]
         for kind, fields, full in made:
             for column, value in zip(out, (page_id, kind, *(fields.get(n) for n in names), int(fields.get("Content-Length", 0)), full), strict=True):

@@ -41,6 +41,24 @@ def test_chunks_agree_with_whole_text(parts, chunk, overlap):
     assert vocab.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("run", [0, 900, 5000])
+def test_a_long_match_costs_no_other_cut(run):
+    """17 chunks of prose, with one run of letters over the first cut."""
+    vocab, rng = bpe.vocabulary(MULTI), random.Random(run)
+    prose = " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9))) for _ in range(7000))[: 17 * 2048]
+    text = prose[:2000] + "x" * run + prose[2000:]
+    spans = bpe.chunk_spans(vocab, text, 2048, 128)
+    pieces = bpe.stitch([bpe.chunk_edges(vocab, text[a:b], a, head, tail, b == len(text)) for a, b, head, tail in spans])
+    assert sum(cut >= 0 for _, cut in pieces) >= 15 and all(host == i for i, (host, _) in enumerate(pieces))
+    assert bpe.encode_chunked(vocab, text, 2048, 128) == vocab.encoding.encode_ordinary(text)
+
+
+def test_text_without_boundaries():
+    vocab, text = bpe.vocabulary(MULTI), "中" * 5000
+    assert len(bpe.chunk_spans(vocab, text, 256, 32)) == 1
+    assert bpe.encode_chunked(vocab, text, 256, 32) == vocab.encoding.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("chunk", [64, 1 << 15])
 def test_documents(spark, chunk):
     docs = spark.createDataFrame(ROWS, SCHEMA)

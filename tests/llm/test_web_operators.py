@@ -1,7 +1,12 @@
 import base64
 import datetime
+import gzip
 import hashlib
 import json
+import time
+import zlib
+
+import pytest
 
 from tessera.llm import urlfilter, warc
 
@@ -39,6 +44,54 @@ def test_broken_records_are_errors(spark):
     assert sorted(got) == sorted([(1, "metadata"), (1, "conversion")] * 2 + [(2, "error"), (3, "error"), (4, "error"), (5, "error")])
 
 
+def encoded(body, *headers):
+    http = b"\r\n".join([b"HTTP/1.1 200 OK", *headers]) + b"\r\n\r\n" + body
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", warc.digest(body))], http)
+
+
+def converted(source):
+    [full] = [full for kind, _, full in warc.derive(source) if kind == "conversion"]
+    return full[warc.headers_of(full)[1] :].decode().strip()
+
+
+def test_payloads_are_decoded():
+    page = "<title>é</title><p>Größe ñ</p>"
+    utf8, latin = page.encode(), page.encode("latin-1")
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(utf8[i : i + 7]), utf8[i : i + 7]) for i in range(0, len(utf8), 7)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    want = "é\nGröße ñ"
+    assert converted(encoded(utf8)) == want
+    assert converted(encoded(gzip.compress(utf8), b"Content-Encoding: gzip")) == want
+    assert converted(encoded(zlib.compress(utf8), b"content-encoding: deflate")) == want
+    assert converted(encoded(raw.compress(utf8) + raw.flush(), b"content-encoding: deflate")) == want
+    assert converted(encoded(chunked, b"Transfer-Encoding: chunked")) == want
+    assert converted(encoded(latin, b"Content-Type: text/html; charset=ISO-8859-1")) == want
+    assert converted(encoded(b'<meta charset="latin1">' + latin)) == want
+    assert converted(encoded(b"\xff\xfe" + page.encode("utf-16-le"))) == want
+    assert converted(encoded(utf8, b"Content-Type: text/html; charset=nonsense")) == want
+    for bad in (encoded(b"plain", b"Content-Encoding: gzip"), encoded(b"zz\r\n", b"Transfer-Encoding: chunked"), encoded(utf8, b"Content-Encoding: br")):
+        with pytest.raises((ValueError, zlib.error)):
+            warc.derive(bad)
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<p", "<title>", "<a href=x ", "<", "&", "</", "a" * 40])
+def test_markup_is_walked_once(piece):
+    page = piece * (160_000 // len(piece))
+    began = time.process_time()
+    warc.Markup(f"<a {page}>{page}").text()
+    assert time.process_time() - began < 2
+
+
+def test_hidden_and_broken_markup():
+    assert warc.plain_text("a<style>x</STYLE >b<br/>c<template>d</template>1 < 2 <3 <!doctype x>e<script>never closed") == "a b\nc 1 < 2 <3 e"
+
+
+def test_pages_of_one_id(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>b"), (1, "u", "<p>" + "long text " * 100_000)], "page_id long, url string, html string")
+    rows = warc.derivatives(warc.responses(pages)).collect()
+    assert len({r["record_id"] for r in rows}) == len(rows) == 6
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(None, None, None, "x"), (1, "http://a/", "<p>x", "y")], "page_id long, url string, html string, record string")
     rows = warc.derivatives(warc.responses(pages)).collect()
