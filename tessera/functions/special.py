@@ -113,8 +113,8 @@ def rank_sum_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
         for j in range(1, a + 1):  # the Gaussian binomial coefficient
             num = ways.copy()
             num[b + j :] -= ways[: len(ways) - b - j] if b + j < len(ways) else 0
-            for s in range(j, len(num)):
-                num[s] += num[s - j]
+            for s in range(j):
+                num[s::j] = np.cumsum(num[s::j])
             ways = num
         total = ways.sum()
         low = ways[: int(math.floor(min(x, a * b - x))) + 1].sum() / total

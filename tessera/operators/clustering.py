@@ -257,19 +257,23 @@ def dendrogram(emb: DataFrame, labels: DataFrame, label: str, method: str = "war
     return emb.sparkSession.createDataFrame(rows, "step int, a int, b int, distance double, size int")
 
 
+#: A prime beyond any number of cells, so that every cell may be a parent.
+PLACES = 281_474_976_710_597
+
+
 def simulate_doublets(emb: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """cell_id (negative), v: means of two different cells, chosen by arithmetic on their positions by id."""
     m = emb.count()
     x = with_positions(emb.select("cell_id", "v"), "cell_id").select("v", "pos")
-    pick = emb.sparkSession.range(n).select("id", F.pmod(F.col("id") * 2654435761 + seed * 40503, F.lit(1_000_003)).alias("h"))
+    pick = emb.sparkSession.range(n).select("id", F.pmod(F.col("id") * 2654435761 + seed * 40503, F.lit(PLACES)).alias("h"))
     pick = pick.select("id", (F.col("h") % m).alias("a"), ((F.col("h") % m + 1 + F.pmod(F.col("h") * 31 + F.col("id"), F.lit(max(1, m - 1)))) % m).alias("b"))
     two = pick.join(x.select(F.col("pos").alias("a"), F.col("v").alias("va")), "a").join(x.select(F.col("pos").alias("b"), F.col("v").alias("vb")), "b")
     return two.select((-F.col("id") - 1).alias("cell_id"), F.zip_with("va", "vb", lambda p, q: (p + q) / 2).alias("v"))
 
 
 def detect_doublets(emb: DataFrame, rate: float = 0.05, k: int = 30, n_simulated: int | None = None, seed: int = 42) -> DataFrame:
-    """cell_id, doublet_score (share of simulated cells among the k nearest), is_doublet."""
-    n_simulated = n_simulated or min(2 * emb.count(), 10_000)
+    """cell_id, doublet_score (share of simulated cells among the k nearest), is_doublet; two are simulated for each cell, unless told otherwise."""
+    n_simulated = n_simulated or 2 * emb.count()
     both = emb.select(F.col("cell_id").cast("long").alias("cell_id"), "v").unionByName(simulate_doublets(emb, n_simulated, seed))
     s = knn(emb, k, both).groupBy(F.col("src").alias("cell_id")).agg((F.count_if(F.col("dst") < 0) / float(k)).alias("doublet_score"))
     limit = s.agg(F.greatest(F.percentile("doublet_score", F.lit(1 - rate)), F.lit(0.1)).alias("limit"))

@@ -13,20 +13,23 @@ METHODS = ("wilcoxon", "t-test", "negbinom", "logistic")
 
 
 def _logistic(values: DataFrame, *keys: str) -> DataFrame:
-    """Wald statistic of the slope of a logistic regression of the group on the value, by Newton steps."""
+    """Wald statistic of the slope of a logistic regression of the group on the value, by Newton steps.
+
+    Cells are counted by group and value first, so a gene's task holds its different values.
+    """
     import numpy as np
     import pandas as pd
     from math import erfc
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["value"].to_numpy(float), pdf["g"].to_numpy(float)
+        x, y, n = pdf["value"].to_numpy(float), pdf["g"].to_numpy(float), pdf["n"].to_numpy(float)
         design = np.column_stack([np.ones_like(x), x])
         beta, z, p = np.zeros(2), 0.0, 1.0
-        if x.std() > 0 and 0 < y.sum() < len(y):
+        if np.ptp(x) > 0 and 0 < (n * y).sum() < n.sum():
             for _ in range(50):
                 mu = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-                information = (design * (mu * (1 - mu))[:, None]).T @ design + 1e-10 * np.eye(2)
-                step = np.linalg.solve(information, design.T @ (y - mu))
+                information = (design * (n * mu * (1 - mu))[:, None]).T @ design + 1e-10 * np.eye(2)
+                step = np.linalg.solve(information, design.T @ (n * (y - mu)))
                 beta = beta + step
                 if np.abs(step).max() < 1e-10:
                     break
@@ -35,7 +38,7 @@ def _logistic(values: DataFrame, *keys: str) -> DataFrame:
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "statistic": z, "pvalue": p}])
 
     schema = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys) + ", statistic double, pvalue double"
-    return values.select(*keys, "value", "g").groupBy(*keys).applyInPandas(fit, schema)
+    return values.groupBy(*keys, "value", "g").agg(F.count("*").alias("n")).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def test_groups(values: DataFrame, *keys: str, method: str = "wilcoxon", min_cells: int = 3, min_pct: float = 0.1, pseudocount: float = 1.0) -> DataFrame:

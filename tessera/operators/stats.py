@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.special import normal_two_sided, t_two_sided
+from ..functions.special import normal_two_sided, rank_sum_exact, t_two_sided
+
+
+#: Cells of the smaller group up to which a rank sum without ties has its exact tail.
+EXACT_CELLS = 8
 
 
 def with_ranks(values: DataFrame, *keys: str) -> DataFrame:
@@ -36,7 +40,7 @@ def rank_sum(values: DataFrame, *keys: str) -> DataFrame:
 
 
 def finish_rank_sum(s: DataFrame) -> DataFrame:
-    """From r1, n1, n and ties to the statistics."""
+    """From r1, n1, n and ties to the statistics. The tail is exact where a group has EXACT_CELLS at most and no values tie."""
     n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
     n2 = n - n1
     s = s.withColumn("u", F.coalesce("r1", F.lit(0.0)) - n1 * (n1 + 1) / 2).withColumn("n2", F.col("n") - F.col("n1"))
@@ -46,7 +50,10 @@ def finish_rank_sum(s: DataFrame) -> DataFrame:
     usable = (n1 > 0) & (n2 > 0)
     z = F.when(usable & (plain > 0), (F.col("u") - mu) / plain).otherwise(0.0)
     zc = F.when(usable & (tied > 0), F.greatest(F.abs(F.col("u") - mu) - 0.5, F.lit(0.0)) / tied)
-    return s.withColumn("z", z).withColumn("zc", F.coalesce(zc, F.lit(0.0))).withColumn("pvalue", F.when(zc.isNull(), 1.0).otherwise(normal_two_sided(zc))).drop("r1", "ties", "n")
+    exact = usable & (F.least(n1, n2) <= EXACT_CELLS) & (F.col("ties") == 0)
+    # the others go in as empty groups, which cost nothing
+    tail = rank_sum_exact(*(F.when(exact, x).otherwise(0.0) for x in (F.col("u"), n1, n2)))
+    return s.withColumn("z", z).withColumn("zc", F.coalesce(zc, F.lit(0.0))).withColumn("pvalue", F.when(exact, tail).when(zc.isNull(), 1.0).otherwise(normal_two_sided(zc))).drop("r1", "ties", "n")
 
 
 def moments(values: DataFrame, *keys: str) -> DataFrame:

@@ -16,8 +16,9 @@ from . import metrics
 from .matrix import pca
 from .neighbors import knn, paga_connectivity
 
-#: Cells up to which the spectrum of a neighbour graph is computed directly.
-DIRECT = 5_000
+
+#: Change of the leading values, by the greatest, below which the iteration ends.
+TOLERANCE = 1e-3
 
 
 def rescale(x: DataFrame, column: str = "pseudotime") -> DataFrame:
@@ -30,7 +31,7 @@ def diffusion_pseudotime(emb: DataFrame, root: int | None = None, k: int = 15, n
     """cell_id, pseudotime: distance to the root in diffusion space.
 
     The affinity of the symmetric neighbour graph is normalised on both sides, which has the spectrum of
-    the random walk. Beyond DIRECT cells the leading components come from power iterations over joins.
+    the random walk. The leading components come from power iterations over joins.
     """
     near = knn(emb, k)
     sigma = near.agg(F.median("d").alias("sigma"))
@@ -38,19 +39,7 @@ def diffusion_pseudotime(emb: DataFrame, root: int | None = None, k: int = 15, n
     a = w.unionAll(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg((F.sum("w") / 2).alias("w"))
     deg = a.groupBy("src").agg(F.sum("w").alias("deg"))
     norm = cut(a.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w")))
-    spark = emb.sparkSession
-    n = emb.count()
-    if n <= DIRECT:
-        ids = [r[0] for r in emb.select("cell_id").orderBy("cell_id").collect()]
-        at = {c: i for i, c in enumerate(ids)}
-        m = np.zeros((n, n))
-        for r in norm.collect():
-            m[at[r["src"]], at[r["dst"]]] = r["w"]
-        values, vectors = np.linalg.eigh((m + m.T) / 2)
-        take = np.argsort(-values)[1 : n_components + 1]
-        space = spark.createDataFrame([(c, [float(v) for v in row]) for c, row in zip(ids, vectors[:, take] * np.abs(values[take]) ** alpha, strict=True)], "cell_id long, v array<double>")
-    else:
-        space = _power_iteration(norm, deg, n_components, alpha)
+    space = _power_iteration(norm, deg, n_components, alpha)
     if root is None:
         mean = metrics.centroids(space, space.select("cell_id").withColumn("c", F.lit(1)), "c").select("center")
         root = space.crossJoin(F.broadcast(mean)).select("cell_id", metrics.squared(F.col("v"), F.col("center")).alias("d")).orderBy(F.desc("d"), "cell_id").first()[0]
@@ -59,7 +48,7 @@ def diffusion_pseudotime(emb: DataFrame, root: int | None = None, k: int = 15, n
 
 
 def _power_iteration(norm: DataFrame, deg: DataFrame, n_components: int, alpha: float, rounds: int = 30, seed: int = 0) -> DataFrame:
-    """Leading components by orthogonal iteration: each round one join, and a small matrix of inner products.
+    """Leading components by orthogonal iteration: each round two joins, and a small matrix of inner products, until that settles.
 
     The last round's small matrix is diagonalised, which turns the basis into the components.
     """
@@ -73,13 +62,20 @@ def _power_iteration(norm: DataFrame, deg: DataFrame, n_components: int, alpha:
     def inner(y: DataFrame, a: str, b: str) -> np.ndarray:
         return np.array(y.agg(*(F.sum(F.col(a)[i] * F.col(b)[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(m))).first(), float).reshape(m, m)
 
-    for r in range(rounds + 1):
-        moved = norm.join(x.select(F.col("cell_id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(m))).alias("v"))
-        if r == rounds:
-            break
-        y = cut(moved)
+    def times(y: DataFrame) -> DataFrame:
+        return norm.join(y.select(F.col("cell_id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.array(*(F.sum(F.col("w") * F.col("v")[i]) for i in range(m))).alias("v"))
+
+    before = np.zeros(m)
+    for _ in range(rounds):
+        y = cut(times(times(x)))
         gram = inner(y, "v", "v")
         x = cut(turned(y, np.linalg.inv(np.linalg.cholesky(gram + 1e-14 * np.trace(gram) * np.eye(m))).T))
+        found = np.sqrt(np.maximum(np.linalg.eigvalsh(gram)[::-1], 0))
+        settled = np.abs(found - before)[: n_components + 1].max() <= TOLERANCE * found[0]
+        before = found
+        if settled:
+            break
+    moved = times(x)
     small = inner(x.join(moved.withColumnRenamed("v", "av"), "cell_id"), "v", "av")
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     take = np.argsort(-values)[1 : n_components + 1]

@@ -204,7 +204,14 @@ def de_compare(s: SparkSession, d: str) -> DataFrame:
     return rounded(x, *x.columns[1:])
 
 
-@query()
+NEGBINOM = two_group_sql("gene", "SELECT gene, condition, value FROM expr JOIN cells USING (cell_id)", "condition = 'neg'")
+NEGBINOM = NEGBINOM[: NEGBINOM.index("zs AS (")] + f"""kn AS (SELECT gene, sum(CASE WHEN g THEN round(value) ELSE 0 END)::BIGINT AS k, sum(round(value))::BIGINT AS n, avg(g::INT) AS share FROM rk GROUP BY gene),
+li AS (SELECT gene, k, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(share) + (n - i) * ln(1 - share) AS lp FROM kn, LATERAL (SELECT unnest(range(0, n + 1)) AS i)),
+pb AS (SELECT li.gene, any_value(li.k) AS k, least(1.0, sum(exp(lp))) AS pvalue FROM li JOIN (SELECT gene, lp AS seen FROM li WHERE i = k) USING (gene) WHERE lp <= seen + 1e-7 GROUP BY li.gene),
+ps AS (SELECT ok.*, k, pvalue FROM ok JOIN pb USING (gene)""" + NEGBINOM[NEGBINOM.index(")\nSELECT gene") :].replace("u AS statistic", "k::DOUBLE AS statistic")
+
+
+@query(f"WITH {EXPR}, {NEGBINOM}")
 def de_negbinom(s: SparkSession, d: str) -> DataFrame:
     return rounded(expression.differential_expression(*first_two(s, d), "condition", "neg", "pos", method="negbinom"), *DE_COLUMNS)
 
@@ -214,6 +221,17 @@ def de_logistic(s: SparkSession, d: str) -> DataFrame:
     return rounded(expression.differential_expression(*first_two(s, d), "condition", "neg", "pos", method="logistic"), *DE_COLUMNS, "statistic")
 
 
+DE_TWO = two_group_sql("gene", "SELECT gene, condition, value FROM expr JOIN cells USING (cell_id)", "condition = 'neg'").replace("x AS (", "WITH x AS (", 1)
+
+
+@query(f"""WITH {EXPR}, de AS ({DE_TWO}) SELECT 'significant' AS kind, gene, padj FROM de WHERE padj < 0.9 AND abs("log2FC") > 0.001
+  UNION ALL SELECT 'up', gene, padj FROM de WHERE padj < 0.9 AND "log2FC" > 0.001 UNION ALL SELECT 'down', gene, padj FROM de WHERE padj < 0.9 AND "log2FC" < -0.001""")
+def de_significant(s: SparkSession, d: str) -> DataFrame:
+    de = de_two_group(s, d)
+    parts = [f(de, 0.9, 0.001).select(F.lit(k).alias("kind"), "gene", "padj") for k, f in (("significant", expression.significant), ("up", expression.upregulated), ("down", expression.downregulated))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 MARKERS = f"""{ONE_REST}, mk AS (SELECT cluster, gene, z AS score, pvalue AS pval, log2((mean1 + 1) / (mean2 + 1)) AS logfoldchange FROM ps),
 ad AS (SELECT * FROM {bh('mk', 'pval', 'cluster', 'gene', 'pval_adj')})"""
 MARKER_OUT = f"cluster, gene, {q6('score')} AS score, {q6('pval')} AS pval, {q6('logfoldchange')} AS logfoldchange, {q6('pval_adj')} AS pval_adj"
@@ -573,7 +591,31 @@ def consensus(s: SparkSession, d: str) -> DataFrame:
     return x.groupBy("i").agg(r6(F.avg("consensus")).alias("mean_consensus"), F.count("*").alias("n"))
 
 
-DOUBLETS = f"""{EMB}, n AS (SELECT count(*) AS n FROM emb), po AS (SELECT v, row_number() OVER (ORDER BY cell_id) - 1 AS pos FROM emb), h AS (SELECT i, (i * 2654435761 + 42 * 40503) % 1000003 AS h FROM range(0, 200) r(i)),
+#: Labels by rule in place of clusterings, so that SQL has the same.
+RUNS = f"{EMB}, runs AS (SELECT i AS iter, cell_id, ((label + (cell_id * (i + 1) % 7 = 0)::INT) % 5)::INT AS label, (cell_id * 31 + i * 17) % 10 < 8 AS sampled, label AS given FROM emb, range(0, 4) r(i))"
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    x = inputs.emb(s, d).select("cell_id", "label", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("iter"))
+    label = (F.col("label") + F.when(F.col("cell_id") * (F.col("iter") + 1) % 7 == 0, 1).otherwise(0)) % 5
+    return x.select("iter", "cell_id", label.cast("int").alias("label"), ((F.col("cell_id") * 31 + F.col("iter") * 17) % 10 < 8).alias("sampled"))
+
+
+@query(f"""WITH {RUNS}, c AS (SELECT a.cell_id AS i, b.cell_id AS j, avg((a.label = b.label)::INT) AS c FROM runs a JOIN runs b ON a.iter = b.iter AND a.sampled AND b.sampled GROUP BY ALL)
+  SELECT i, {q6('avg(c)')} AS mean_consensus, count(*) AS n FROM c GROUP BY i""")
+def consensus_of_runs(s: SparkSession, d: str) -> DataFrame:
+    return clustering.consensus(_runs(s, d)).groupBy("i").agg(r6(F.avg("consensus")).alias("mean_consensus"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {RUNS}, v AS (SELECT iter, label, given, row_number() OVER (PARTITION BY iter, label ORDER BY n DESC, given) AS r FROM (SELECT iter, label, given, count(*) AS n FROM runs GROUP BY ALL)),
+raw AS (SELECT cell_id, max(n) / sum(n) AS s FROM (SELECT cell_id, label, count(*) AS n FROM runs GROUP BY ALL) GROUP BY cell_id),
+al AS (SELECT cell_id, max(n) / sum(n) AS s FROM (SELECT cell_id, v.given, count(*) AS n FROM runs JOIN v ON v.iter = runs.iter AND v.label = runs.label AND r = 1 GROUP BY ALL) GROUP BY cell_id)
+  SELECT cell_id, {q6('raw.s')} AS cell_stability_raw, {q6('al.s')} AS cell_stability FROM raw JOIN al USING (cell_id)""")
+def stability_of_runs(s: SparkSession, d: str) -> DataFrame:
+    return rounded(clustering.stability(_runs(s, d), inputs.emb(s, d), "label"), "cell_stability", "cell_stability_raw")
+
+
+DOUBLETS = f"""{EMB}, n AS (SELECT count(*) AS n FROM emb), po AS (SELECT v, row_number() OVER (ORDER BY cell_id) - 1 AS pos FROM emb), h AS (SELECT i, (i * 2654435761 + 42 * 40503) % 281474976710597 AS h FROM range(0, 200) r(i)),
 pk AS (SELECT i, h % n AS a, (h % n + 1 + (h * 31 + i) % greatest(1, n - 1)) % n AS b FROM h, n), sim AS (SELECT -i - 1 AS cell_id, [(x + y) / 2 for x, y in list_zip(p.v, q.v)] AS v FROM pk JOIN po p ON p.pos = a JOIN po q ON q.pos = b)"""
 DOUBLETS = DOUBLETS.replace("[(x + y) / 2 for x, y in list_zip(p.v, q.v)]", "list_transform(list_zip(p.v, q.v), lambda z: (z[1] + z[2]) / 2)")
 
@@ -681,6 +723,11 @@ def marker_heatmap(s: SparkSession, d: str) -> DataFrame:
     return rounded(plots.marker_heatmap(annotation.marker_expression(e, c, inputs.markers(s)), 2), "z_score")
 
 
+@query(f"WITH {EXPR}, {MARKERS} SELECT cluster, gene, {q6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, gene) AS k FROM ad) WHERE k <= 5")
+def marker_bars(s: SparkSession, d: str) -> DataFrame:
+    return rounded(plots.marker_bars(expression.rank_genes(*first_two(s, d)), 5), "score")
+
+
 @query("WITH b AS (SELECT min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 20 AS w FROM part), x AS (SELECT least(floor((p_retailprice - lo) / w), 19)::INT AS bin, lo, w FROM part, b) SELECT bin, (round(any_value(lo) + bin * any_value(w), 6) + 0.0) AS low, (round(any_value(lo) + (bin + 1) * any_value(w), 6) + 0.0) AS high, count(*) AS n FROM x GROUP BY bin")
 def value_histogram(s: SparkSession, d: str) -> DataFrame:
     return rounded(plots.histogram(inputs.read(s, d, "part"), "p_retailprice", 20), "low", "high")
@@ -716,11 +763,25 @@ def edge_attention(s: SparkSession, d: str) -> DataFrame:
     return rounded(losses.edge_softmax(near.select("src", "dst", (-F.col("d")).alias("e"))), "a")
 
 
-@query()
+_RNG = np.random.default_rng(0)
+ATTENTION = (_RNG.normal(0, 0.2, (64, 8)), _RNG.normal(0, 0.2, (64, 8)), _RNG.normal(0, 0.2, 8))
+
+
+def _vector(x: np.ndarray) -> str:
+    return f"[{', '.join(repr(float(v)) for v in x)}]::DOUBLE[]"
+
+
+def _product(w: np.ndarray) -> str:
+    return f"[{', '.join(f'list_dot_product(v, {_vector(c)})' for c in w.T)}]"
+
+
+@query(f"""WITH {EMB}, {nearest(5)}, e AS (SELECT src, dst FROM nn UNION SELECT cell_id, cell_id FROM emb), st AS (SELECT cell_id, {_product(ATTENTION[0])} AS s, {_product(ATTENTION[1])} AS t FROM emb),
+x AS (SELECT src, dst, a.s, list_dot_product(list_transform(list_zip(a.s, b.t), lambda z: CASE WHEN z[1] + z[2] > 0 THEN z[1] + z[2] ELSE 0.2 * (z[1] + z[2]) END), {_vector(ATTENTION[2])}) AS e FROM e JOIN st a ON a.cell_id = src JOIN st b ON b.cell_id = dst),
+p AS (SELECT *, exp(e - max(e) OVER (PARTITION BY dst)) AS p FROM x), q AS (SELECT *, p / sum(p) OVER (PARTITION BY dst) AS a FROM p)
+SELECT dst AS cell_id, {', '.join(f"{q6(f'sum(a * s[{i + 1}])')} AS v{i}" for i in range(5))} FROM q GROUP BY dst""")
 def graph_attention(s: SparkSession, d: str) -> DataFrame:
     e = inputs.emb(s, d).select("cell_id", "v")
-    rng = np.random.default_rng(0)
-    return _flat(encoders.graph_attention(e, neighbors.knn(e, 5), rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, (64, 8)), rng.normal(0, 0.2, 8)))
+    return _flat(encoders.graph_attention(e, neighbors.knn(e, 5), *ATTENTION))
 
 
 # --- iterative ---

@@ -176,3 +176,20 @@ def test_cell_cycle_phases(spark):
     got = {r["cell_id"]: r["phase"] for r in cell_ops.cell_cycle(long(spark, m), names[:5], names[5:10], 10, 5).collect()}
     assert all(got[i] == "S" for i in range(20)) and all(got[i] == "G2M" for i in range(20, 40)) and set(got.values()) <= {"S", "G2M", "G1"}
     assert cell_ops.gene_set_score(long(spark, m), ["absent"]).agg(F.max(F.abs("score"))).first()[0] >= 0
+
+
+def test_small_groups_have_exact_tails(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for gene, (a, b) in enumerate([(3, 5), (8, 4), (2, 9), (9, 9)]):
+        x = rng.permutation(a + b).astype(float)
+        rows += [(gene, float(v), i < a) for i, v in enumerate(x)]
+        u = lambda idx, a=a: sum(sorted(idx)) - a * (a - 1) / 2
+        seen = u([int(v) for v in x[:a]])
+        every = [u(c) for c in combinations(range(a + b), a)]
+        want[gene] = min(1.0, 2 * min(np.mean([e <= seen for e in every]), np.mean([e >= seen for e in every])))
+    rows += [(9, 1.0, True), (9, 1.0, False), (9, 2.0, False)]
+    got = {r["gene"]: r["pvalue"] for r in stats.rank_sum(spark.createDataFrame(rows, "gene int, value double, g boolean"), "gene").collect()}
+    assert all(abs(got[g] - want[g]) < 1e-12 for g in (0, 1, 2)) and abs(got[3] - want[3]) < 0.05 and 0 < got[9] <= 1
