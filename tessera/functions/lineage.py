@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir. A temporary one where none is set, but only where all run on one machine."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. A temporary one where none is set, but only where all run on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

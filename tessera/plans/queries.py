@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_dir
 from ..functions.special import erfc_sql
 from ..operators import annotation, cells as cell_ops, clustering, encoders, expression, integration, losses, matrix, metrics, neighbors, plots, stats, trajectory
 from ..operators.estimator import GraphClustering
@@ -70,6 +72,11 @@ def qc_overall(s: SparkSession, d: str) -> DataFrame:
     return rounded(cell_ops.overall_qc(_qc(s, d)), "mean_cluster_size", "mean_counts")
 
 
+@query(f"WITH {EXPR} SELECT cell_id, gene, value FROM expr")
+def validate(s: SparkSession, d: str) -> DataFrame:
+    return matrix.validate(*first_two(s, d))
+
+
 @query(f"""WITH {RAW}, g AS (SELECT gene FROM raw WHERE value > 0 GROUP BY gene HAVING count(*) >= 3), c AS (SELECT cell_id FROM raw WHERE value > 0 GROUP BY cell_id HAVING count(*) >= 10)
   SELECT cell_id, gene, value FROM raw WHERE gene IN (FROM g) AND cell_id IN (FROM c)""")
 def filter_cells_genes(s: SparkSession, d: str) -> DataFrame:
@@ -354,6 +361,20 @@ def enrich_hypergeom(s: SparkSession, d: str) -> DataFrame:
     return rounded(x.select("cluster", "term", "overlap_count", "term_size", "query_size", "odds_ratio", "pvalue", "adjusted_pvalue"), "odds_ratio", "pvalue", "adjusted_pvalue")
 
 
+@query(ORACLES["enrich_hypergeom"].replace("WITH ", "WITH en AS (WITH ", 1) + """) SELECT cluster, term, (round(-log10(greatest(adjusted_pvalue, 1e-300)), 6) + 0.0) AS neg_log10_padj
+  FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY adjusted_pvalue, pvalue, term) AS k FROM en) WHERE k <= 5""")
+def enrichment_bars(s: SparkSession, d: str) -> DataFrame:
+    return rounded(plots.enrichment_bars(enrich_hypergeom(s, d), 5), "neg_log10_padj")
+
+
+@query(f"WITH {TOP_PARTS} SELECT 'Cluster_' || cluster AS term, gene FROM q")
+def gmt_load(s: SparkSession, d: str) -> DataFrame:
+    """Written as GMT, and read again."""
+    path = f"{shared_dir(s)}/gmt-{uuid.uuid4().hex}"
+    io.export_gmt(_top_parts(s, d).withColumn("ord", F.lit(0)), path, "parts")
+    return io.load_gmt(s, path)
+
+
 @query(f"WITH {TOP_PARTS} SELECT 'Cluster_' || cluster || chr(9) || 'parts' || chr(9) || string_agg(gene, chr(9) ORDER BY gene) AS value FROM q GROUP BY cluster")
 def gmt_export(s: SparkSession, d: str) -> DataFrame:
     return io.gmt_lines(_top_parts(s, d).withColumn("ord", F.lit(0)), "parts")
