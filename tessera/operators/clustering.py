@@ -9,12 +9,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tiles
 from ..functions.lineage import cut
 from ..functions.order import with_positions
 from . import matrix, metrics
@@ -98,23 +100,44 @@ def cluster_distances(emb: DataFrame, labels: DataFrame, label: str, method: str
         return c.alias("a").join(c.alias("b"), F.col("a.c") < F.col("b.c")).select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"), F.sqrt(metrics.squared(F.col("a.center"), F.col("b.center"))).alias("d"))
     if method not in ("nearest", "farthest"):
         raise ValueError("method is centroid, nearest or farthest")
-    x = emb.join(labels.select("cell_id", F.col(label).alias("c")), "cell_id")
-    parts = x.groupBy("c", F.pmod(F.xxhash64("cell_id"), F.lit(max(1, -(-x.count() // 1024)))).alias("part")).agg(F.collect_list("v").alias("vs"))
-    pairs = parts.alias("a").join(parts.alias("b"), F.col("a.c") < F.col("b.c")).select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"), F.col("a.vs").alias("x"), F.col("b.vs").alias("y"))
-    kind = x.schema["c"].dataType.simpleString()
-    reduce = "min" if method == "nearest" else "max"
-
-    def extreme(frames):
-        for f in frames:
-            d = []
-            for a, b in zip(f["x"], f["y"], strict=True):
-                p, q = np.array([*map(np.asarray, a)], float), np.array([*map(np.asarray, b)], float)
-                d.append(min if reduce == "min" else max)
-                values = [getattr(np.sqrt(((p[:, None, :] - q[None, i : i + 64, :]) ** 2).sum(2)), reduce)() for i in range(0, len(q), 64)]
-                d[-1] = float(min(values) if reduce == "min" else max(values))
-            yield pd.DataFrame({"c1": f["c1"], "c2": f["c2"], "d": d})
-
-    return pairs.mapInPandas(extreme, f"c1 {kind}, c2 {kind}, d double").groupBy("c1", "c2").agg(getattr(F, reduce)("d").alias("d"))
+    x = emb.select("cell_id", "v").join(labels.select("cell_id", F.col(label).alias("c")), "cell_id").select(F.col("cell_id").cast("long").alias("id"), "v", F.col("c").alias("x"))
+    kind = x.schema["x"].dataType.simpleString()
+    near = method == "nearest"
+    found = tiles.tiled(x, x, lambda ids, v, c: _Extremes(v, c, near), f"c1 {kind}, c2 {kind}, d double")
+    return found.groupBy("c1", "c2").agg((F.min if near else F.max)("d").alias("d"))
+
+
+class _Extremes:
+    """The least or greatest distance of the held cells to the streamed ones, for each two clusters."""
+
+    def __init__(self, v: np.ndarray, clusters: pa.Array, near: bool):
+        self.v, self.type, self.near = v, clusters.type, near
+        self.clusters, self.best = clusters.to_pylist(), {}
+
+    def add(self, ids: np.ndarray, v: np.ndarray, clusters: pa.Array) -> None:
+        streamed = _members(clusters.to_pylist())
+        for rows in tiles.pieces(len(self.v)):
+            x = self.v[rows]
+            d2, slack = tiles.squared_distances(x, v), tiles.slack(x, v).max(initial=0.0)
+            for a, i in _members(self.clusters[rows]).items():
+                for b, j in streamed.items():
+                    if a < b:
+                        part = d2[np.ix_(i, j)]
+                        row, col = np.nonzero(part <= part.min() + slack if self.near else part >= part.max() - slack)
+                        d = tiles.exact_distances(x, v, i[row], j[col])
+                        self.best[a, b] = min(self.best.get((a, b), np.inf), d.min()) if self.near else max(self.best.get((a, b), 0.0), d.max())
+
+    def rows(self) -> pa.RecordBatch:
+        ends = [pa.array([pair[i] for pair in self.best], self.type) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*ends, pa.array(list(self.best.values()), pa.float64())], ["c1", "c2", "d"])
+
+
+def _members(clusters: list) -> dict:
+    """Positions of each cluster."""
+    out = {}
+    for i, c in enumerate(clusters):
+        out.setdefault(c, []).append(i)
+    return {c: np.array(i) for c, i in out.items()}
 
 
 def _mapping(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:

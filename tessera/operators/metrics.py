@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tiles
+
 
 def contingency(pairs: DataFrame, true: str, pred: str) -> DataFrame:
     return pairs.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").cast("double").alias("n"))
@@ -82,31 +84,37 @@ def centroids(emb: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return x.groupBy("c", "i").agg(F.avg("x").alias("m"), F.count("*").alias("size")).groupBy("c").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("center"))
 
 
-def silhouette(emb: DataFrame, labels: DataFrame, label: str, rows: int = 1024) -> DataFrame:
+class _ClusterSums:
+    """Sums of the held vectors' distances to the streamed ones of each cluster."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray):
+        self.ids, self.v, self.total = ids, v, {}
+
+    def add(self, ids: np.ndarray, v: np.ndarray, clusters: pa.Array) -> None:
+        names, code = np.unique(np.array(clusters.to_pylist(), object).astype(str), return_inverse=True)
+        member = np.eye(len(names))[code]
+        for rows in tiles.pieces(len(self.ids)):
+            x = self.v[rows]
+            d2 = tiles.squared_distances(x, v)
+            row, col = np.nonzero(d2 <= 1e3 * tiles.slack(x, v)[:, None])
+            d = np.sqrt(np.maximum(d2, 0))
+            d[row, col] = tiles.exact_distances(x, v, row, col)
+            for name, sums in zip(names, (d @ member).T, strict=True):
+                self.total.setdefault(str(name), np.zeros(len(self.ids)))[rows] += sums
+
+    def rows(self) -> pa.RecordBatch:
+        names = np.repeat(np.array(list(self.total), object), len(self.ids))
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(self.ids, len(self.total))), pa.array(names, pa.string()), pa.array(np.concatenate(list(self.total.values())))], ["cell_id", "c", "total"])
+
+
+def silhouette(emb: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """cell_id, c, s: Euclidean silhouette of each cell; a cell alone in its cluster has 0.
 
-    Distances are summed by cluster, block against block, and never listed.
+    Distances are summed by cluster within tasks, and never listed.
     """
-    from .neighbors import _blocks
-
-    marked = emb.join(labels.select("cell_id", F.col(label).cast("string").alias("c")), "cell_id")
-    left = _blocks(emb.select("cell_id", "v"), rows).select(F.col("rows").alias("a"))
-    by_cluster = marked.withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.lit(max(1, -(-marked.count() // rows))))).groupBy("c", "_part").agg(F.collect_list("v").alias("b"))
-
-    def sums(batches):
-        for batch in batches:
-            out = []
-            for a, c, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x, y = np.array([r["v"] for r in a], float), np.array(b, float)
-                total = np.zeros(len(x))
-                for at in range(0, len(y), 128):
-                    total += np.sqrt(((x[:, None, :] - y[None, at : at + 128, :]) ** 2).sum(2)).sum(1)
-                out.append(pd.DataFrame({"cell_id": [r["id"] for r in a], "c": c, "total": total}))
-            import pyarrow as pa
-
-            yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-
-    summed = left.crossJoin(by_cluster.select("c", "b")).mapInArrow(sums, "cell_id long, c string, total double").groupBy("cell_id", "c").agg(F.sum("total").alias("total"))
+    marked = emb.select("cell_id", "v").join(labels.select("cell_id", F.col(label).cast("string").alias("c")), "cell_id")
+    side = marked.select(F.col("cell_id").cast("long").alias("id"), "v", F.col("c").alias("x"))
+    summed = tiles.tiled(side, side, lambda ids, v, _: _ClusterSums(ids, v), "cell_id long, c string, total double").groupBy("cell_id", "c").agg(F.sum("total").alias("total"))
     sizes = marked.groupBy("c").agg(F.count("*").alias("size"))
     x = summed.join(F.broadcast(sizes), "c").join(marked.select("cell_id", F.col("c").alias("own")), "cell_id")
     s = x.groupBy("cell_id", "own").agg(F.max(F.when((F.col("c") == F.col("own")) & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"), F.min(F.when(F.col("c") != F.col("own"), F.col("total") / F.col("size"))).alias("b"))

@@ -1,61 +1,63 @@
 """Exact nearest neighbours, the graphs built on them, and mixing metrics.
 
-An embedding is rows (cell_id, v array<double>). Neighbour search is blocked: vectors are packed
-into blocks of bounded size, every task compares two blocks with matrix products and keeps the
-best k of each row, and a second step merges these. Distances of what is kept are computed again
-by differences, so ties (equal vectors) are ties, and go by the smaller id.
+An embedding is rows (cell_id, v array<double>). A task of the neighbour search holds some query
+vectors and their best k so far, and streams points past them (functions.tiles). What may be among
+the best by products is compared by differences, so equal vectors tie, and go by the smaller id.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tiles
 from ..functions.lineage import cut
 
-BLOCK_ROWS = 1024
-#: Candidates kept beyond k before distances are computed again.
-SPARE = 8
 
+class _Nearest:
+    """The best k of each held vector, by distance and then id."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+        self.ids, self.v, self.k = ids, v, k
+        self.d, self.to = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
 
-def _blocks(emb: DataFrame, rows: int) -> DataFrame:
-    n = emb.count()
-    n_blocks = max(1, math.ceil(n / rows))
-    return emb.select(F.pmod(F.xxhash64("cell_id"), F.lit(n_blocks)).alias("block"), F.struct(F.col("cell_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("rows"))
+    def add(self, ids: np.ndarray, v: np.ndarray, _: pa.Array) -> None:
+        for rows in tiles.pieces(len(self.ids)):
+            x, own, limit = self.v[rows], self.ids[rows], self.d[rows, -1] ** 2
+            d2 = tiles.squared_distances(x, v)
+            d2[own[:, None] == ids[None]] = np.inf
+            if len(ids) > self.k and np.isinf(limit).any():
+                limit = np.minimum(limit, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
+            row, col = np.nonzero(d2 <= (limit + tiles.slack(x, v))[:, None])
+            other = own[row] != ids[col]
+            row, col = row[other], col[other]
+            if len(row):
+                self._merge(rows, row, ids[col], tiles.exact_distances(x, v, row, col))
 
+    def _merge(self, rows: slice, row: np.ndarray, to: np.ndarray, d: np.ndarray) -> None:
+        n = len(self.d[rows])
+        row = np.concatenate([np.repeat(np.arange(n), self.k), row])
+        to, d = np.concatenate([self.to[rows].ravel(), to]), np.concatenate([self.d[rows].ravel(), d])
+        order = np.lexsort((to, d, row))
+        sizes = np.bincount(row, minlength=n)
+        first = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < self.k
+        self.to[rows], self.d[rows] = to[order][first].reshape(n, -1), d[order][first].reshape(n, -1)
 
-def _unpack(rows) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)
+    def rows(self) -> pa.RecordBatch:
+        row, col = np.nonzero(np.isfinite(self.d))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.to[row, col]), pa.array(self.d[row, col])], ["src", "dst", "d"])
 
 
-def knn(queries: DataFrame, k: int, points: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """src, dst, rank, d: the k nearest points of each query, itself (its id) left out."""
-    keep = k + SPARE
-    left = _blocks(queries, block_rows).select(F.col("rows").alias("a"))
-    right = _blocks(points if points is not None else queries, block_rows).select(F.col("rows").alias("b"))
+def knn(queries: DataFrame, k: int, points: DataFrame | None = None, block_rows: int = tiles.HOLD) -> DataFrame:
+    """src, dst, rank, d: the k nearest points of each query, itself (its id) left out. A task holds block_rows queries at most."""
 
-    def compare(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                (ids, x), (others, y) = _unpack(batch.column(0)[at].as_py()), _unpack(batch.column(1)[at].as_py())
-                d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-                d2[ids[:, None] == others[None, :]] = np.inf
-                m = min(keep, len(others))
-                best = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < len(others) else np.tile(np.arange(len(others)), (len(ids), 1))
-                row = np.repeat(np.arange(len(ids)), m)
-                col = best.ravel()
-                d = np.sqrt(((x[row] - y[col]) ** 2).sum(1))
-                ok = ids[row] != others[col]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row][ok]), pa.array(others[col][ok]), pa.array(d[ok])], ["src", "dst", "d"])
+    def side(emb: DataFrame) -> DataFrame:
+        return emb.select(F.col("cell_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("int").alias("x"))
 
-    # blocks against blocks, not rows against rows: their number is small and each pair is one task's matrix product
-    pairs = left.crossJoin(right).repartition(max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    near = pairs.mapInArrow(compare, "src long, dst long, d double")
+    near = tiles.tiled(side(queries), side(queries if points is None else points), lambda ids, v, _: _Nearest(ids, v, k), "src long, dst long, d double", block_rows)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "d")
 
 
