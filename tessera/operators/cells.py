@@ -237,9 +237,7 @@ def trajectory_genes(expr: DataFrame, pseudotime: DataFrame, n_top: int | None =
     """gene, correlation, score: Spearman with pseudotime, or the share of variance between time bins."""
     x = expr.join(pseudotime.select("cell_id", "pseudotime"), "cell_id")
     if method == "correlation":
-        x = stats.with_ranks(x.select("cell_id", "gene", "value", "pseudotime"), "gene").select("gene", "cell_id", F.col("rk").alias("rv"), F.col("pseudotime").alias("value"))
-        x = stats.with_ranks(x, "gene")
-        r = x.groupBy("gene").agg(F.coalesce(F.corr("rv", "rk"), F.lit(0.0)).alias("correlation")).withColumn("score", F.abs("correlation"))
+        r = stats.rank_correlation(x, "value", "pseudotime", "gene").withColumn("score", F.abs("correlation"))
     else:
         span = pseudotime.agg(F.min("pseudotime").alias("lo"), F.max("pseudotime").alias("hi"))
         x = x.crossJoin(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col("pseudotime") - F.col("lo")) * n_bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-10))), F.lit(n_bins - 1)))

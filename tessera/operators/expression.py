@@ -12,7 +12,7 @@ from . import stats
 METHODS = ("wilcoxon", "t-test", "negbinom", "logistic")
 
 
-def _logistic(values: DataFrame, *keys: str) -> DataFrame:
+def _logistic(counts: DataFrame, *keys: str) -> DataFrame:
     """Wald statistic of the slope of a logistic regression of the group on the value, by Newton steps.
 
     Cells are counted by group and value first, so a gene's task holds its different values.
@@ -22,7 +22,7 @@ def _logistic(values: DataFrame, *keys: str) -> DataFrame:
     from math import erfc
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, n = pdf["value"].to_numpy(float), pdf["g"].to_numpy(float), pdf["n"].to_numpy(float)
+        x, y, n = pdf["value"].to_numpy(float), pdf["g"].to_numpy(float), pdf["c"].to_numpy(float)
         design = np.column_stack([np.ones_like(x), x])
         beta, z, p = np.zeros(2), 0.0, 1.0
         if np.ptp(x) > 0 and 0 < (n * y).sum() < n.sum():
@@ -37,36 +37,43 @@ def _logistic(values: DataFrame, *keys: str) -> DataFrame:
             p = erfc(abs(z) / np.sqrt(2))
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "statistic": z, "pvalue": p}])
 
-    schema = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys) + ", statistic double, pvalue double"
-    return values.groupBy(*keys, "value", "g").agg(F.count("*").alias("n")).groupBy(*keys).applyInPandas(fit, schema)
+    schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys) + ", statistic double, pvalue double"
+    return counts.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def test_groups(values: DataFrame, *keys: str, method: str = "wilcoxon", min_cells: int = 3, min_pct: float = 0.1, pseudocount: float = 1.0) -> DataFrame:
     """DE of two groups for every combination of keys, the last of which is the gene.
 
     values: keys, value, g (true: group 1). Genes that too few cells of either group express are
-    left out before the correction, which runs over the genes of the other keys.
+    left out before the correction, which runs over the genes of the other keys. All methods work on
+    counts of equal rows.
     """
+    return test_counted(stats.counted(values, *keys), *keys, method=method, min_cells=min_cells, min_pct=min_pct, pseudocount=pseudocount)
+
+
+def test_counted(counts: DataFrame, *keys: str, method: str = "wilcoxon", min_cells: int = 3, min_pct: float = 0.1, pseudocount: float = 1.0) -> DataFrame:
+    """test_groups of rows keys, value, g and their number c."""
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     *outer, gene = keys
-    positive = F.col("value") > 0
-    m = values.groupBy(*keys).agg(
-        F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n2"),
-        F.avg(F.when(F.col("g"), F.col("value"))).alias("mean_group1"), F.avg(F.when(~F.col("g"), F.col("value"))).alias("mean_group2"),
-        F.count_if(F.col("g") & positive).alias("e1"), F.count_if(~F.col("g") & positive).alias("e2"),
+    value, positive = F.col("value"), F.col("value") > 0
+    c1, c2 = F.when(F.col("g"), F.col("c")).otherwise(0.0), F.when(F.col("g"), 0.0).otherwise(F.col("c"))
+    m = counts.groupBy(*keys).agg(
+        F.sum(c1).alias("n1"), F.sum(c2).alias("n2"),
+        F.try_divide(F.sum(c1 * value), F.sum(c1)).alias("mean_group1"), F.try_divide(F.sum(c2 * value), F.sum(c2)).alias("mean_group2"),
+        F.sum(F.when(positive, c1).otherwise(0.0)).alias("e1"), F.sum(F.when(positive, c2).otherwise(0.0)).alias("e2"),
     )
     m = m.where("n1 > 0 AND n2 > 0").withColumns({"pct_group1": F.col("e1") / F.col("n1"), "pct_group2": F.col("e2") / F.col("n2")})
     m = m.where(((F.col("e1") >= min_cells) | (F.col("e2") >= min_cells)) & ((F.col("pct_group1") >= min_pct) | (F.col("pct_group2") >= min_pct)))
     m = m.withColumn("log2FC", stats.log_fold_change(F.col("mean_group2"), F.col("mean_group1"), pseudocount))
     if method == "wilcoxon":
-        tests = stats.rank_sum(values, *keys).select(*keys, F.col("u").alias("statistic"), "pvalue")
+        tests = stats.rank_sum_counted(counts, *keys).select(*keys, F.col("u").alias("statistic"), "pvalue")
     elif method == "t-test":
-        tests = stats.welch_t(values, *keys).select(*keys, F.col("t").alias("statistic"), "pvalue")
+        tests = stats.welch_counted(counts, *keys).select(*keys, F.col("t").alias("statistic"), "pvalue")
     elif method == "logistic":
-        tests = _logistic(values, *keys)
+        tests = _logistic(counts, *keys)
     else:  # counts of group 1 among all, against its share of the cells
-        total = values.groupBy(*keys).agg(F.sum(F.when(F.col("g"), F.round("value"))).alias("k"), F.sum(F.round("value")).alias("n"), F.avg(F.col("g").cast("double")).alias("share"))
+        total = counts.groupBy(*keys).agg(F.sum(F.when(F.col("g"), F.col("c") * F.round("value"))).alias("k"), F.sum(F.col("c") * F.round("value")).alias("n"), F.try_divide(F.sum(c1), F.sum("c")).alias("share"))
         tests = total.select(*keys, F.coalesce("k", F.lit(0.0)).alias("statistic"), binomial_two_sided(F.coalesce("k", F.lit(0.0)), "n", "share").alias("pvalue"))
     out = stats.adjust(m.join(tests, list(keys)), "pvalue", *outer, order=(gene,))
     return out.select(*keys, "mean_group1", "mean_group2", "log2FC", "pct_group1", "pct_group2", "statistic", "pvalue", "padj")
@@ -85,13 +92,14 @@ def differential_expression(expr: DataFrame, groups: DataFrame, group: str, grou
 
 
 def pairwise(expr: DataFrame, groups: DataFrame, group: str, **options) -> DataFrame:
-    """Every pair of groups g1 < g2, in one plan."""
+    """Every pair of groups g1 < g2, in one plan: rows are counted by gene, group and value once, and the counts form the pairs."""
     labels = groups.select("cell_id", F.col(group).cast("string").alias("_group"))
     kinds = labels.select("_group").distinct()
     pairs = kinds.select(F.col("_group").alias("g1")).join(kinds.select(F.col("_group").alias("g2")), F.col("g1") < F.col("g2"))
     of_pair = pairs.select("g1", "g2", F.explode(F.array("g1", "g2")).alias("_group"))
-    x = expr.join(labels, "cell_id").join(F.broadcast(of_pair), "_group").withColumn("g", F.col("_group") == F.col("g1"))
-    return test_groups(x, "g1", "g2", "gene", **options)
+    counts = expr.join(labels, "cell_id").groupBy("gene", "_group", "value").agg(F.count("*").cast("double").alias("c"))
+    x = counts.join(F.broadcast(of_pair), "_group").select("g1", "g2", "gene", "value", (F.col("_group") == F.col("g1")).alias("g"), "c")
+    return test_counted(x, "g1", "g2", "gene", **options)
 
 
 def one_vs_rest(expr: DataFrame, groups: DataFrame, group: str, min_cells: int = 3, min_pct: float = 0.1, pseudocount: float = 1.0) -> DataFrame:

@@ -17,24 +17,44 @@ from ..functions.special import normal_two_sided, rank_sum_exact, t_two_sided
 EXACT_CELLS = 8
 
 
-def with_ranks(values: DataFrame, *keys: str) -> DataFrame:
-    """Adds rk (ties share their mean rank) and t (size of the tie)."""
-    tie = Window.partitionBy(*keys, "value")
-    return values.withColumn("t", F.count("*").over(tie)).withColumn("rk", F.rank().over(Window.partitionBy(*keys).orderBy("value")) + (F.col("t") - 1) / 2.0)
-
-
-def _mean_rank(c: str, *keys: str) -> Column:
+def _mean_rank(c: str, *keys: str, by: str = "value") -> Column:
     """Mean rank of a value that c rows share: what lies below it, and half of its own."""
-    below = F.sum(c).over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.sum(c).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return below - (F.col(c) - 1) / 2.0
 
 
+def rank_correlation(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """keys, correlation: Spearman's of two columns, 0 where either is constant.
+
+    Rows are counted by either column's values and by both, and only different values are ranked.
+    """
+    both = df.groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").cast("double").alias("c"))
+    ranks = lambda x: both.groupBy(*keys, x).agg(F.sum("c").alias("c")).withColumn(f"r{x}", _mean_rank("c", *keys, by=x)).drop("c")
+    x = both.join(ranks("_a"), [*keys, "_a"]).join(ranks("_b"), [*keys, "_b"])
+    weighted = lambda e: F.sum(F.col("c") * e)
+    # ranks are taken from the middle rank, so nothing large cancels
+    middle = both.groupBy(*keys).agg(((F.sum("c") + 1) / 2).alias("mid"))
+    x = x.join(middle, list(keys)).withColumns({"ra": F.col("r_a") - F.col("mid"), "rb": F.col("r_b") - F.col("mid")}).groupBy(*keys)
+    s = x.agg(weighted(F.col("ra") * F.col("rb")).alias("ab"), weighted(F.col("ra") * F.col("ra")).alias("aa"), weighted(F.col("rb") * F.col("rb")).alias("bb"))
+    return s.select(*keys, F.coalesce(F.try_divide(F.col("ab"), F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))), F.lit(0.0)).alias("correlation"))
+
+
 def rank_sum(values: DataFrame, *keys: str) -> DataFrame:
     """keys, n1, n2, u, z (no tie correction), zc (tie-corrected, continuity), pvalue.
 
     Rows are counted by value first, in partial aggregates, and only different values are ranked.
     """
-    c = values.groupBy(*keys, "value").agg(F.count("*").cast("double").alias("c"), F.count_if("g").alias("c1")).withColumn("rk", _mean_rank("c", *keys))
+    return rank_sum_counted(counted(values, *keys), *keys)
+
+
+def counted(values: DataFrame, *keys: str) -> DataFrame:
+    """keys, value, g and the number c of such rows."""
+    return values.groupBy(*keys, "value", "g").agg(F.count("*").cast("double").alias("c"))
+
+
+def rank_sum_counted(counts: DataFrame, *keys: str) -> DataFrame:
+    """rank_sum of counted rows."""
+    c = counts.groupBy(*keys, "value").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("g"), F.col("c")).otherwise(0.0)).cast("long").alias("c1")).withColumn("rk", _mean_rank("c", *keys))
     s = c.groupBy(*keys).agg(F.sum(F.col("c1") * F.col("rk")).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").cast("long").alias("n"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     return finish_rank_sum(s)
 
@@ -69,9 +89,23 @@ def _t(m: DataFrame, se2: Column, df: Column) -> DataFrame:
 
 def welch_t(values: DataFrame, *keys: str) -> DataFrame:
     """Unequal variances: keys, moments, t, df, pvalue."""
+    return _welch(moments(values, *keys))
+
+
+def _welch(m: DataFrame) -> DataFrame:
     a, b = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
-    df = F.try_divide((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
-    return _t(moments(values, *keys), a + b, df)
+    df = F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n2") - 1))
+    return _t(m, a + b, df)
+
+
+def welch_counted(counts: DataFrame, *keys: str) -> DataFrame:
+    """welch_t of counted rows."""
+    c1, c2, v = F.when(F.col("g"), F.col("c")).otherwise(0.0), F.when(F.col("g"), 0.0).otherwise(F.col("c")), F.col("value")
+    m = counts.groupBy(*keys).agg(F.sum(c1).alias("n1"), F.sum(c2).alias("n2"), F.sum(c1 * v).alias("s1"), F.sum(c2 * v).alias("s2"))
+    m = m.withColumns({"mean1": F.try_divide("s1", "n1"), "mean2": F.try_divide("s2", "n2")}).drop("s1", "s2")
+    from_mean = lambda mean: (v - F.col(mean)) * (v - F.col(mean))
+    spread = counts.join(m, list(keys)).groupBy(*keys).agg(F.sum(c1 * from_mean("mean1")).alias("q1"), F.sum(c2 * from_mean("mean2")).alias("q2"))
+    return _welch(m.join(spread, list(keys)).withColumns({f"var{i}": F.try_divide(F.col(f"q{i}"), F.col(f"n{i}") - 1) for i in (1, 2)}))
 
 
 def student_t(values: DataFrame, *keys: str) -> DataFrame:

@@ -193,3 +193,21 @@ def test_small_groups_have_exact_tails(spark):
     rows += [(9, 1.0, True), (9, 1.0, False), (9, 2.0, False)]
     got = {r["gene"]: r["pvalue"] for r in stats.rank_sum(spark.createDataFrame(rows, "gene int, value double, g boolean"), "gene").collect()}
     assert all(abs(got[g] - want[g]) < 1e-12 for g in (0, 1, 2)) and abs(got[3] - want[3]) < 0.05 and 0 < got[9] <= 1
+
+
+def test_rank_correlation_by_counts(spark):
+    """Against Pearson's correlation of mean ranks, with ties on both sides."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 6, 80).astype(float), rng.integers(0, 9, 80) / 4
+    mean_ranks = lambda x: np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+    rows = [("g", float(p), float(q)) for p, q in zip(a, b)] + [("flat", 1.0, float(q)) for q in b]
+    got = {r["gene"]: r["correlation"] for r in stats.rank_correlation(spark.createDataFrame(rows, "gene string, x double, y double"), "x", "y", "gene").collect()}
+    assert got["g"] == pytest.approx(np.corrcoef(mean_ranks(a), mean_ranks(b))[0, 1]) and got["flat"] == 0.0
+
+
+def test_welch_of_counts_equals_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [("g", float(v), i % 3 == 0) for i, v in enumerate(1e6 + rng.integers(0, 4, 60))] + [("one", 2.0, True), ("one", 3.0, False)]
+    x = spark.createDataFrame(rows, "gene string, value double, g boolean")
+    one, two = (sorted(f.select("gene", "t", "pvalue").collect()) for f in (stats.welch_t(x, "gene"), stats.welch_counted(stats.counted(x, "gene"), "gene")))
+    assert one[0]["t"] == pytest.approx(two[0]["t"], rel=1e-9) and one[0]["pvalue"] == pytest.approx(two[0]["pvalue"], rel=1e-6) and one[1] == two[1]
