@@ -854,7 +854,7 @@ def kmeans(s: SparkSession, d: str) -> DataFrame:
 @query()
 def graph_clustering(s: SparkSession, d: str) -> DataFrame:
     e = inputs.emb(s, d).select("cell_id", "v")
-    estimator = GraphClustering(n_clusters=5, hidden_dim=16, proj_dim=8, k_neighbors=8, pretrain_epochs=5, ssc_epochs=5)
+    estimator = GraphClustering(n_clusters=5, pretrain_epochs=20, ssc_epochs=10)
     model = estimator.fit(e)
     return rounded(model.predict(model.embeddings(e, estimator.graph(e))), "confidence")
 
