@@ -1,6 +1,6 @@
 """Clustering, refinement, stability and doublets over embeddings (cell_id, v).
 
-Tables of clusters (k x k) are gathered; k is the number of clusters. Cells never are.
+Tables of clusters (k x k) are gathered; k is the number of clusters. Cells never are, nor pairs of them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 from ..functions import tiles
@@ -47,14 +48,14 @@ def tune_n_clusters(emb: DataFrame, k_min: int = 2, k_max: int = 20, method: str
     return max(scores, key=lambda k: (scores[k], -k))
 
 
-def linkage(distance: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
-    """Merges (a, b, distance, size) of a distance matrix by Lance and Williams' formula; new clusters count on from n."""
+def linkage(distance: np.ndarray, method: str = "average", sizes: list[int] | None = None) -> list[tuple[int, int, float, int]]:
+    """Merges (a, b, distance, size) of a distance matrix by Lance and Williams' formula; new clusters count on from n. An item may stand for several (sizes)."""
     if method not in ("single", "complete", "average", "ward"):
         raise ValueError("method is single, complete, average or ward")
     n = len(distance)
     d = np.array(distance, float)
     np.fill_diagonal(d, np.inf)
-    name, size = list(range(n)), np.ones(n)
+    name, size = list(range(n)), np.array([1] * n if sizes is None else sizes, float)
     out = []
     for new in range(n, 2 * n - 1):
         flat = int(d.argmin())
@@ -251,22 +252,37 @@ def consensus(runs: DataFrame) -> DataFrame:
     return s.alias("a").join(s.alias("b"), F.col("a.iter") == F.col("b.iter")).groupBy(F.col("a.cell_id").alias("i"), F.col("b.cell_id").alias("j")).agg(F.avg((F.col("a.label") == F.col("b.label")).cast("double")).alias("consensus"))
 
 
-#: Cells up to which a consensus matrix is gathered for linkage.
-CONSENSUS_CELLS = 2_000
+#: Different histories of labels whose consensus matrix is gathered for linkage.
+CONSENSUS_ITEMS = 2_000
 
 
 def consensus_labels(runs: DataFrame, n_clusters: int) -> DataFrame:
-    """cell_id, label: average linkage of 1 - consensus; pairs never sampled together count as apart."""
-    c = consensus(runs)
-    ids = [r[0] for r in c.select("i").distinct().orderBy("i").limit(CONSENSUS_CELLS + 1).collect()]
-    if len(ids) > CONSENSUS_CELLS:
-        raise ValueError(f"a consensus matrix is gathered for {CONSENSUS_CELLS} cells at most")
-    at = {c: k for k, c in enumerate(ids)}
-    m = np.ones((len(ids),) * 2)
-    for r in c.toLocalIterator():
-        m[at[r["i"]], at[r["j"]]] = 1 - r["consensus"]
-    labels = flat_clusters(linkage((m + m.T) / 2), len(ids), n_clusters=n_clusters)
-    return runs.sparkSession.createDataFrame(list(zip(ids, labels, strict=True)), "cell_id long, label int")
+    """cell_id, label: average linkage of 1 - consensus; pairs never sampled together count as apart.
+
+    Cells of one history (the labels of the runs that sampled them) are at distance 0 and have equal
+    distances to all others, so each history is linked once, with its number of cells. Cells that no
+    run sampled are items of their own. Raises for over CONSENSUS_ITEMS items.
+    """
+    seen = F.array_sort(F.collect_list(F.when(F.col("sampled"), F.struct("iter", "label"))))
+    cells = cut(runs.groupBy("cell_id").agg(seen.alias("seen")).withColumn("lone", F.when(F.size("seen") == 0, F.col("cell_id"))))
+    items = cells.groupBy("seen", "lone").agg(F.min("cell_id").alias("first"), F.count("*").alias("n")).orderBy("first").limit(CONSENSUS_ITEMS + 1).collect()
+    if len(items) > CONSENSUS_ITEMS:
+        raise ValueError(f"a consensus matrix is gathered for {CONSENSUS_ITEMS} histories of labels at most")
+    column = {k: i for i, k in enumerate(dict.fromkeys(e["iter"] for r in items for e in r["seen"]))}
+    code = {k: i for i, k in enumerate(dict.fromkeys(e["label"] for r in items for e in r["seen"]))}
+    labels = np.full((len(items), len(column)), -1)
+    for i, r in enumerate(items):
+        for e in r["seen"]:
+            labels[i, column[e["iter"]]] = code[e["label"]]
+    together, both = np.zeros((len(items),) * 2), np.zeros((len(items),) * 2)
+    for run in labels.T:
+        sampled = run >= 0
+        both += sampled[:, None] & sampled[None]
+        together += (run[:, None] == run[None]) & sampled[:, None]
+    flat = flat_clusters(linkage(1 - together / np.maximum(both, 1), sizes=[r["n"] for r in items]), len(items), n_clusters=n_clusters)
+    named = runs.sparkSession.createDataFrame([(r["seen"], r["lone"], label) for r, label in zip(items, flat, strict=True)], cells.select("seen", "lone").schema.add("label", IntegerType()))
+    same = cells["seen"].eqNullSafe(named["seen"]) & cells["lone"].eqNullSafe(named["lone"])
+    return cells.join(F.broadcast(named), same).select(cells["cell_id"].cast("long").alias("cell_id"), named["label"])
 
 
 def dendrogram(emb: DataFrame, labels: DataFrame, label: str, method: str = "ward") -> DataFrame:

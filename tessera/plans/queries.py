@@ -223,6 +223,15 @@ def de_negbinom(s: SparkSession, d: str) -> DataFrame:
     return rounded(expression.differential_expression(*first_two(s, d), "condition", "neg", "pos", method="negbinom"), *DE_COLUMNS)
 
 
+@query(f"""WITH a AS ({ORACLES['de_two_group']}), b AS ({ORACLES['de_negbinom']})
+SELECT gene, a."log2FC" AS "log2FC_wilcoxon", a.padj AS padj_wilcoxon, b."log2FC" AS "log2FC_negbinom", b.padj AS padj_negbinom FROM a LEFT JOIN b USING (gene)""")
+def de_compare_counts(s: SparkSession, d: str) -> DataFrame:
+    """de_compare of the two methods whose tails SQL can express."""
+    e, c = first_two(s, d)
+    x = expression.compare_methods(e, c, "condition", ("wilcoxon", "negbinom"), group1="neg", group2="pos")
+    return rounded(x, *x.columns[1:])
+
+
 @query()
 def de_logistic(s: SparkSession, d: str) -> DataFrame:
     return rounded(expression.differential_expression(*first_two(s, d), "condition", "neg", "pos", method="logistic"), *DE_COLUMNS, "statistic")

@@ -193,3 +193,22 @@ def test_markdown():
     body = r.sections[0].body
     assert "<h3>Head</h3>" in body and "<b>bold</b>" in body and "<i>lean</i>" in body and "snake_case_name" in body
     assert "<ul><li>one</li><li><code>two</code></li></ul>" in body and "&lt;b&gt;" in body
+
+
+def test_consensus_of_histories_equals_consensus_of_cells(spark):
+    """Against linkage of the whole matrix of cells, with histories that several share and a cell that no run sampled."""
+    rng = np.random.default_rng(8)
+    groups = np.repeat(np.arange(4), 10)
+    rows = []
+    for run in range(4):
+        for i, g in enumerate(groups):
+            label = int(g) if rng.random() > 0.1 else int(rng.integers(0, 4))
+            rows.append((run, i, label, bool(rng.random() > 0.2) and i != 39))
+    runs = spark.createDataFrame(rows, "iter int, cell_id long, label int, sampled boolean")
+    m = np.ones((40, 40))
+    for r in clustering.consensus(runs).collect():
+        m[r["i"], r["j"]] = 1 - r["consensus"]
+    want = clustering.flat_clusters(clustering.linkage(m), 40, threshold=0.6)
+    got = [r["label"] for r in clustering.consensus_labels(runs, len(set(want))).orderBy("cell_id").collect()]
+    assert len(got) == 40 and got[39] not in got[:39]
+    assert len({*zip(want, got)}) == len(set(want)) == len(set(got))
