@@ -107,14 +107,14 @@ class _ClusterSums:
         return pa.RecordBatch.from_arrays([pa.array(np.tile(self.ids, len(self.total))), pa.array(names, pa.string()), pa.array(np.concatenate(list(self.total.values())))], ["cell_id", "c", "total"])
 
 
-def silhouette(emb: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+def silhouette(emb: DataFrame, labels: DataFrame, label: str, rows: int = tiles.HOLD) -> DataFrame:
     """cell_id, c, s: Euclidean silhouette of each cell; a cell alone in its cluster has 0.
 
-    Distances are summed by cluster within tasks, and never listed.
+    Distances are summed by cluster within tasks that hold `rows` cells at most, and never listed.
     """
     marked = emb.select("cell_id", "v").join(labels.select("cell_id", F.col(label).cast("string").alias("c")), "cell_id")
     side = marked.select(F.col("cell_id").cast("long").alias("id"), "v", F.col("c").alias("x"))
-    summed = tiles.tiled(side, side, lambda ids, v, _: _ClusterSums(ids, v), "cell_id long, c string, total double").groupBy("cell_id", "c").agg(F.sum("total").alias("total"))
+    summed = tiles.tiled(side, side, lambda ids, v, _: _ClusterSums(ids, v), "cell_id long, c string, total double", rows).groupBy("cell_id", "c").agg(F.sum("total").alias("total"))
     sizes = marked.groupBy("c").agg(F.count("*").alias("size"))
     x = summed.join(F.broadcast(sizes), "c").join(marked.select("cell_id", F.col("c").alias("own")), "cell_id")
     s = x.groupBy("cell_id", "own").agg(F.max(F.when((F.col("c") == F.col("own")) & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"), F.min(F.when(F.col("c") != F.col("own"), F.col("total") / F.col("size"))).alias("b"))
