@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, media, packing, quality, secrets, simhash, toxicity, urlfilter, warc
+from . import bpe, dedup, licenses, media, packing, phrases, quality, secrets, simhash, toxicity, trie, urlfilter, warc
 from .common import table
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(SINGLE), added=packing.added_tokens(public_tokenizers.path(SINGLE_FILE)))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -73,5 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlfilter": op8_urlfilter,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_phrases": op11_phrases,
+    "op12_licenses": op12_licenses,
+    "op13_trie": op13_trie,
 }
-ORACLES: dict[str, str] = {"op4_quality": quality.SQL, "op8_urlfilter": urlfilter.SQL}
+ORACLES: dict[str, str] = {"op4_quality": quality.SQL, "op8_urlfilter": urlfilter.SQL, "op11_phrases": phrases.SQL, "op13_trie": trie.SQL}
