@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +40,27 @@ def release(spark: SparkSession) -> int:
     """Deletes the tables that materialise() has written, once their results are no longer needed; returns their number."""
     n = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return n
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """df, written as by materialise() and deleted at the end of the block, by when all that reads it must have run."""
+    known = len(_WRITTEN)
+    table = materialise(df, name)
+    path = _WRITTEN.pop(known)
+    try:
+        yield table
+    finally:
+        _delete(df.sparkSession, path)
+
+
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors. release() deletes it unless keep is set."""
     spark = df.sparkSession

@@ -31,17 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, slices
+from .common import materialise, passing, slices
 
 #: Bounds of the number of buckets, as powers of two, and the bytes of text for a bucket.
 MIN_BITS, MAX_BITS, BUCKET_BYTES = 16, 26, 64
-#: Buckets in a row of a table of counts, at most, and rows of a block that are merged at first.
-BLOCK, SALTS = 1 << 18, 64
+#: Buckets in a row of a table of counts, at most.
+BLOCK = 1 << 16
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: ASCII bytes: letters in lower case, separators as line ends, tabs as blanks.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in SEPARATORS else 32 if c == 9 else c for c in range(256))
 BREAK = -1
-RAW = "lang string, phrase string, c long, block int, salt int, counts binary"
+RAW = "lang string, phrase string, c long, block int, counts binary"
 SCORE = 1_000_000
 
 
@@ -78,17 +78,17 @@ class Buckets:
         which, n = np.unique(buckets, return_counts=True)
         self.counts[which] = np.minimum(self.counts[which] + n, self.full)
 
-    def blocks(self, salt: int) -> Iterator[pa.RecordBatch]:
+    def blocks(self) -> Iterator[pa.RecordBatch]:
         size = min(BLOCK, len(self.counts))
         for at in range(0, len(self.counts), size):
             if (part := self.counts[at : at + size]).any():
-                yield _rows(None, [None], [None], at // size, salt, zlib.compress(part.tobytes(), 1))
+                yield _rows(None, [None], [None], at // size, zlib.compress(part.tobytes(), 1))
 
 
-def _rows(lang: str | None, phrases: list, c: list | np.ndarray, block: int | None = None, salt: int | None = None, counts: bytes | None = None) -> pa.RecordBatch:
+def _rows(lang: str | None, phrases: list, c: list | np.ndarray, block: int | None = None, counts: bytes | None = None) -> pa.RecordBatch:
     n = len(phrases)
-    columns = [pa.array([lang] * n, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array([block] * n, pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([counts] * n, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "c", "block", "salt", "counts"])
+    columns = [pa.array([lang] * n, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array([block] * n, pa.int32()), pa.array([counts] * n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "c", "block", "counts"])
 
 
 def has_bit(bitmap: np.ndarray, buckets: np.ndarray) -> np.ndarray:
@@ -136,9 +136,6 @@ def _pass(docs: DataFrame, n: int, bits: int, min_count: int, full: np.ndarray |
     sent = docs.sparkSession.sparkContext.broadcast((full, parts))
 
     def run(batches):
-        from pyspark import TaskContext
-
-        salt = TaskContext.get().partitionId() % SALTS
         longer = None if last else Buckets(bits, min_count)
         for batch in slices(batches):
             langs = batch.column(1).to_pylist()
@@ -150,43 +147,41 @@ def _pass(docs: DataFrame, n: int, bits: int, min_count: int, full: np.ndarray |
                 if found is not None:
                     yield found
         if longer is not None:
-            yield from longer.blocks(salt)
+            yield from longer.blocks()
+
+    return docs.mapInArrow(run, RAW)
 
-    return materialise(docs.mapInArrow(run, RAW), f"phrases{n}")
 
+def _merged(blocks: DataFrame, full: int) -> DataFrame:
+    """block, bits: which buckets are full when equal blocks are added. A task holds one at a time."""
+    kind = np.uint8 if full < 256 else np.uint32
 
-def _merged(blocks: DataFrame, full: int, *keys: str) -> DataFrame:
-    """The blocks of equal keys, added; a task holds one at a time."""
-    names = ["block", "salt", "counts"]
+    def packed(block: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= full, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     def run(batches):
-        key, total = None, None
+        block, total = None, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                part = np.frombuffer(zlib.decompress(row[2]), np.uint8 if full < 256 else np.uint32)
-                if row[: len(keys)] != key:
-                    if key is not None:
-                        yield out(key, total)
-                    key, total = row[: len(keys)], part
-                else:
-                    total = np.minimum(total.astype(np.int64) + part, full).astype(part.dtype)
-        if key is not None:
-            yield out(key, total)
+            for at, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "counts")), strict=True):
+                part = np.frombuffer(zlib.decompress(counts), kind)
+                if at == block:
+                    total = np.minimum(total.astype(np.int64) + part, full).astype(kind)
+                    continue
+                if block is not None:
+                    yield packed(block, total)
+                block, total = at, part
+        if block is not None:
+            yield packed(block, total)
 
-    def out(key: tuple, total: np.ndarray) -> pa.RecordBatch:
-        block, salt = (*key, 0)[:2]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names)
-
-    return blocks.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "block int, salt int, counts binary")
+    return blocks.select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary")
 
 
 def bitmap(raw: DataFrame, bits: int, full: int) -> np.ndarray:
-    """One bit for each full bucket, in 2 ** bits / 8 bytes."""
+    """One bit for each full bucket: 2 ** bits / 8 bytes."""
     out = np.zeros((1 << bits) // 8, np.uint8)
     size = min(BLOCK, 1 << bits) // 8
-    for row in _merged(_merged(raw.where("block IS NOT NULL"), full, "block", "salt"), full, "block").toLocalIterator():
-        counts = np.frombuffer(zlib.decompress(row["counts"]), np.uint8 if full < 256 else np.uint32)
-        out[row["block"] * size : (row["block"] + 1) * size] = np.packbits(counts >= full, bitorder="little")
+    for row in _merged(raw.where("block IS NOT NULL"), full).collect():
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
@@ -194,8 +189,6 @@ def _marked(frequent: DataFrame, n: int, bits: int) -> np.ndarray:
     """The bitmap of the buckets of frequent phrases of n words."""
 
     def run(batches):
-        from pyspark import TaskContext
-
         marks = Buckets(bits, 1)
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
@@ -204,7 +197,7 @@ def _marked(frequent: DataFrame, n: int, bits: int) -> np.ndarray:
             for lang, phrases in by_lang.items():
                 columns = zip(*(p.split(b" ") for p in phrases), strict=True)
                 marks.add(bucket_of(lang, [word_hashes(list(c)) for c in columns], bits))
-        yield from marks.blocks(TaskContext.get().partitionId() % SALTS)
+        yield from marks.blocks()
 
     return bitmap(frequent.select("lang", F.col("phrase").cast("binary")).mapInArrow(run, RAW), bits, 1)
 
@@ -218,13 +211,13 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, b
     full = parts = totals = None
     found: list[DataFrame] = []
     for n in range(1, max_words + 1):
-        raw = _pass(x, n, bits, min_count, full, parts, n == max_words)
-        counted = raw.where("block IS NULL").groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
-        if n == 1:
-            totals = materialise(raw.where("block IS NULL").groupBy("lang").agg(F.sum("c").alias("n")), "totals")
-        found.append(materialise(counted.where(F.col("c") >= min_count), f"frequent{n}"))
-        if n < max_words:
-            full, parts = bitmap(raw, bits, min_count), _marked(found[-1], n, bits)
+        with passing(_pass(x, n, bits, min_count, full, parts, n == max_words), f"phrases{n}") as raw:
+            rows = raw.where("block IS NULL")
+            if n == 1:
+                totals = materialise(rows.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
+            found.append(materialise(rows.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count), f"frequent{n}"))
+            if n < max_words:
+                full, parts = bitmap(raw, bits, min_count), _marked(found[-1], n, bits)
     return totals, found
 
 

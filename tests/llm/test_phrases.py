@@ -80,6 +80,6 @@ def test_buckets_merge_and_no_frequent_phrase_is_lost(spark):
     phrases.count_texts(texts, "en", 1, None, None, 10, whole)
     for i, b in enumerate(halves):
         phrases.count_texts(texts[i::2], "en", 1, None, None, 10, b)
-    table = pa.Table.from_batches([x for b in halves for x in b.blocks(0)])
+    table = pa.Table.from_batches([x for b in halves for x in b.blocks()])
     merged = phrases.bitmap(spark.createDataFrame(table), 10, 10)
     assert phrases.has_bit(merged, __import__("numpy").arange(1024)).tolist() == (whole.counts >= 10).tolist()
