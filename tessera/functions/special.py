@@ -7,6 +7,9 @@ code; t, F and small-sample rank tails are vectorised Arrow UDFs.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import lru_cache
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -88,65 +91,174 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: log(n!) less Stirling's formula, by its asymptotic series from here on.
+SERIES_FROM = 16
+
+
+def _stirling_error(n: float) -> float:
+    """log(n!) - log(sqrt(2 pi n) (n / e)^n)."""
+    if n < SERIES_FROM:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    n2 = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / n2) / n2) / n2) / n2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation where they are close."""
+    d = x - mean
+    if abs(d) > 0.1 * (x + mean):
+        return x * math.log(x / mean) - d
+    v = d / (x + mean)
+    total, term, k = d * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        k += 2
+        if total + term / k == total:
+            return total
+        total += term / k
+
+
+def log_binomial(x: int, n: int, p: float) -> float:
+    """log P(X = x) of n draws, by the saddle point: accurate for any n."""
+    if x == 0:
+        return n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    errors = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x)
+    return errors - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def log_hypergeometric(x: int, marked: int, others: int, drawn: int) -> float:
+    """log P(X = x) when `drawn` of marked + others are taken."""
+    if drawn == 0 or drawn == marked + others or marked == 0 or others == 0:
+        return 0.0
+    p = drawn / (marked + others)
+    return log_binomial(x, marked, p) + log_binomial(drawn - x, others, p) - log_binomial(drawn, marked + others, p)
+
+
+def _outward(first: float, ratio: Callable[[np.ndarray], np.ndarray], count: int) -> float:
+    """Sum of `count` terms, the log of the first and each one's ratio to the one before; ends where terms vanish."""
+    total, term, at, block = 1.0, 1.0, 1, 256
+    while at < count and term > 1e-18 * total:
+        terms = term * np.cumprod(ratio(np.arange(at, min(at + block, count), dtype=float)))
+        total, term, at, block = total + float(terms.sum()), float(terms[-1]), at + block, min(2 * block, 65_536)
+    return math.exp(first) * total
+
+
+def _two_sided(x: int, low: int, high: int, mode: int, log_p: Callable[[int], float], up: Callable[[np.ndarray], np.ndarray], down: Callable[[np.ndarray], np.ndarray]) -> float:
+    """Sum over the outcomes in low..high that are no likelier than x; up(i) is P(i) / P(i - 1), down(i) is P(i) / P(i + 1)."""
+    limit = log_p(x) + 1e-7
+    if log_p(mode) <= limit:
+        return 1.0
+
+    def edge(likely: int, step: int, end: int) -> int | None:
+        """The first outcome from `likely` on to `end` that counts."""
+        if log_p(end) > limit:
+            return None
+        near, far = 0, abs(end - likely)
+        while far - near > 1:
+            mid = (near + far) // 2
+            near, far = (near, mid) if log_p(likely + step * mid) <= limit else (mid, far)
+        return likely + step * far
+
+    total = 0.0
+    if (a := edge(mode, 1, high)) is not None:
+        total += _outward(log_p(a), lambda i: up(a + i), high - a + 1)
+    if (b := edge(mode, -1, low)) is not None:
+        total += _outward(log_p(b), lambda i: down(b - i), b - low + 1)
+    return min(1.0, total)
+
+
+def binomial_test(x: int, n: int, p: float) -> float:
+    if n <= 0 or not 0 < p < 1:
+        return 1.0
+    odds = p / (1 - p)
+    return _two_sided(x, 0, n, min(n, int((n + 1) * p)), lambda i: log_binomial(i, n, p), lambda i: (n - i + 1) / i * odds, lambda i: (i + 1) / (n - i) / odds)
+
+
 @F.pandas_udf(DoubleType())
 def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """Exact two-sided binomial test: outcomes no likelier than the one seen."""
-    out = []
-    for x, m, q in zip(k.astype(int), n.astype(int), p.astype(float), strict=True):
-        if m <= 0 or not 0 < q < 1:
-            out.append(1.0)
-            continue
-        i = np.arange(m + 1)
-        lg = np.array([math.lgamma(v + 1) for v in range(m + 1)])
-        logs = lg[m] - lg[i] - lg[m - i] + i * math.log(q) + (m - i) * math.log1p(-q)
-        out.append(float(min(1.0, np.exp(logs[logs <= logs[x] + 1e-7]).sum())))
-    return pd.Series(out)
+    return pd.Series([binomial_test(int(x), int(m), float(q)) for x, m, q in zip(k, n, p, strict=True)], dtype=float)
+
+
+@lru_cache(maxsize=16)
+def _partitions(m: int) -> tuple[int, list[list[int]]]:
+    """Period, and for each remainder of x the differences from which the number of partitions of 0..x into parts up to m follows.
+
+    That number is a polynomial of degree m in the quotient of x by the least common multiple of the parts.
+    """
+    period = math.lcm(*range(1, m + 1))
+    ways = [1] * (period * (m + 1))  # one part that takes what is left, as all totals up to x count
+    for part in range(1, m + 1):
+        for i in range(part, len(ways)):
+            ways[i] += ways[i - part]
+    rows = []
+    for r in range(period):
+        column, row = ways[r::period], []
+        while column:
+            row.append(column[0])
+            column = [b - a for a, b in pairwise(column)]
+        rows.append(row)
+    return period, rows
+
+
+def rank_sum_tail(u: float, n1: int, n2: int) -> float:
+    """Exact two-sided P of a Mann-Whitney U without ties, where the smaller group is small; the larger one may be of any size.
+
+    Counts the rank sums of the smaller group by inclusion and exclusion of ranks beyond the larger one.
+    """
+    m, n = sorted((n1, n2))
+    if m == 0:
+        return 1.0
+    period, rows = _partitions(m)
+    top = int(math.floor(min(u, n1 * n2 - u)))
+    low = 0
+    for size in range(m + 1):
+        for taken in combinations(range(1, m + 1), size):
+            x = top - size * n - sum(taken)
+            if x >= 0:
+                quotient, r = divmod(x, period)
+                low += (-1) ** size * sum(d * math.comb(quotient, i) for i, d in enumerate(rows[r]))
+    return min(1.0, 2 * low / math.comb(m + n, m))
 
 
 @F.pandas_udf(DoubleType())
 def rank_sum_exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """Exact two-sided P of a Mann-Whitney U without ties."""
-    out = []
-    for x, a, b in zip(u.astype(float), n1.astype(int), n2.astype(int), strict=True):
-        ways = np.zeros(a * b + 1)
-        ways[0] = 1
-        for j in range(1, a + 1):  # the Gaussian binomial coefficient
-            num = ways.copy()
-            num[b + j :] -= ways[: len(ways) - b - j] if b + j < len(ways) else 0
-            for s in range(j):
-                num[s::j] = np.cumsum(num[s::j])
-            ways = num
-        total = ways.sum()
-        low = ways[: int(math.floor(min(x, a * b - x))) + 1].sum() / total
-        out.append(float(min(1.0, 2 * low)))
-    return pd.Series(out)
+    return pd.Series([rank_sum_tail(float(x), int(a), int(b)) for x, a, b in zip(u, n1, n2, strict=True)], dtype=float)
+
+
+def hypergeometric_tail(x: int, population: int, marked: int, drawn: int) -> float:
+    """P(X >= x)."""
+    low, high = max(0, marked + drawn - population), min(marked, drawn)
+    if x > high:
+        return 0.0
+    if x <= low or marked > population or drawn > population:
+        return 1.0
+    others = population - marked
+    up = lambda i: (marked - i + 1) * (drawn - i + 1) / (i * (others - drawn + i))
+    down = lambda i: (i + 1) * (others - drawn + i + 1) / ((marked - i) * (drawn - i))
+    if x * (population + 2) >= (marked + 1) * (drawn + 1):  # beyond the mode terms fall
+        return min(1.0, _outward(log_hypergeometric(x, marked, others, drawn), lambda i: up(x + i), high - x + 1))
+    return max(0.0, 1.0 - _outward(log_hypergeometric(x - 1, marked, others, drawn), lambda i: down(x - 1 - i), x - low))
 
 
 @F.pandas_udf(DoubleType())
 def hypergeometric_sf(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     """P(X >= k) when `drawn` of `population` are taken and `marked` are marked."""
-    out = []
-    for x, m, t, q in zip(*(c.astype(int) for c in (k, population, marked, drawn)), strict=True):
-        top = min(t, q)
-        if x > top or t > m or q > m:
-            out.append(0.0 if x > top else 1.0)
-            continue
-        lg = math.lgamma
-        base = lg(t + 1) + lg(m - t + 1) + lg(q + 1) + lg(m - q + 1) - lg(m + 1)
-        out.append(min(1.0, sum(math.exp(base - lg(i + 1) - lg(t - i + 1) - lg(q - i + 1) - lg(m - t - q + i + 1)) for i in range(max(x, t + q - m, 0), top + 1))))
-    return pd.Series(out)
+    return pd.Series([hypergeometric_tail(*map(int, row)) for row in zip(k, population, marked, drawn, strict=True)], dtype=float)
+
+
+def fisher_test(a: int, b: int, c: int, d: int) -> float:
+    marked, others, drawn = a + b, c + d, a + c
+    low, high = max(0, drawn - others), min(marked, drawn)
+    mode = min(high, max(low, (marked + 1) * (drawn + 1) // (marked + others + 2)))
+    up = lambda i: (marked - i + 1) * (drawn - i + 1) / (i * (others - drawn + i))
+    down = lambda i: (i + 1) * (others - drawn + i + 1) / ((marked - i) * (drawn - i))
+    return _two_sided(a, low, high, mode, lambda i: log_hypergeometric(i, marked, others, drawn), up, down)
 
 
 @F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Fisher's exact test of a 2 x 2 table: tables no likelier than the one seen."""
-    out = []
-    lg = math.lgamma
-    for w, x, y, z in zip(*(v.astype(int) for v in (a, b, c, d)), strict=True):
-        r, s, t = w + x, y + z, w + y
-        lo, hi = max(0, t - s), min(r, t)
-        base = lg(r + 1) + lg(s + 1) + lg(t + 1) + lg(r + s - t + 1) - lg(r + s + 1)
-        logs = [base - lg(i + 1) - lg(r - i + 1) - lg(t - i + 1) - lg(s - t + i + 1) for i in range(lo, hi + 1)]
-        seen = logs[w - lo]
-        out.append(min(1.0, sum(math.exp(v) for v in logs if v <= seen + 1e-7)))
-    return pd.Series(out)
+    return pd.Series([fisher_test(*map(int, row)) for row in zip(a, b, c, d, strict=True)], dtype=float)

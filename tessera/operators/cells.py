@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import medians
 from ..functions.special import chi2_1_sf, fisher_two_sided
 from . import stats
 
@@ -26,7 +27,12 @@ def cell_qc(expr: DataFrame, cells: DataFrame, mt_prefix: str = "MT-", rb_prefix
 
 def cluster_qc(qc: DataFrame) -> DataFrame:
     """Sizes, means, medians and population deviations by cluster."""
-    return qc.groupBy("cluster").agg(F.count("*").alias("n_cells"), *(f(c).alias(f"{name}_{short}") for c, short in (("total_counts", "counts"), ("n_genes", "n_genes")) for name, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop))), *(f(c).alias(f"{name}_{c}") for c in ("pct_mt", "pct_rb") for name, f in (("mean", F.avg), ("median", F.median))))
+    names = {"total_counts": "counts", "n_genes": "n_genes", "pct_mt": "pct_mt", "pct_rb": "pct_rb"}
+    deviations = [F.stddev_pop(c).alias(f"std_{names[c]}") for c in ("total_counts", "n_genes")]
+    whole = qc.groupBy("cluster").agg(F.count("*").alias("n_cells"), *(F.avg(c).alias(f"mean_{n}") for c, n in names.items()), *deviations)
+    measures = qc.select("cluster", F.inline(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(c).cast("double").alias("value")) for c, n in names.items()))))
+    middle = medians(measures, "value", "cluster", "measure").groupBy("cluster").agg(*(F.max(F.when(F.col("measure") == n, F.col("median"))).alias(f"median_{n}") for n in names.values()))
+    return stats.joined(whole, middle, ["cluster"], "left")
 
 
 def overall_qc(qc: DataFrame) -> DataFrame:
@@ -233,16 +239,16 @@ def regress_scores(expr: DataFrame, scores: DataFrame, columns: tuple[str, ...]
     return y.select("cell_id", "gene", (F.col("value") - fitted).alias("value"))
 
 
-def trajectory_genes(expr: DataFrame, pseudotime: DataFrame, n_top: int | None = 100, method: str = "correlation", n_bins: int = 10) -> DataFrame:
-    """gene, correlation, score: Spearman with pseudotime, or the share of variance between time bins."""
-    x = expr.join(pseudotime.select("cell_id", "pseudotime"), "cell_id")
+def trajectory_genes(expr: DataFrame, pseudotime: DataFrame, n_top: int | None = 100, method: str = "correlation", n_bins: int = 10, genes: DataFrame | None = None) -> DataFrame:
+    """gene, correlation, score: Spearman with pseudotime, or the share of variance between time bins. Rows that the matrix lacks are zeros."""
     if method == "correlation":
-        r = stats.rank_correlation(x, "value", "pseudotime", "gene").withColumn("score", F.abs("correlation"))
+        r = stats.gene_correlation(expr, pseudotime, "pseudotime", genes).withColumn("score", F.abs("correlation"))
     else:
         span = pseudotime.agg(F.min("pseudotime").alias("lo"), F.max("pseudotime").alias("hi"))
-        x = x.crossJoin(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col("pseudotime") - F.col("lo")) * n_bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-10))), F.lit(n_bins - 1)))
-        between = x.groupBy("gene", "bin").agg(F.avg("value").alias("m")).groupBy("gene").agg(F.var_pop("m").alias("b"))
-        r = between.join(x.groupBy("gene").agg(F.var_pop("value").alias("v")), "gene").select("gene", F.lit(0.0).alias("correlation"), (F.col("b") / (F.col("v") + 1e-10)).alias("score"))
+        bins = pseudotime.crossJoin(F.broadcast(span)).select("cell_id", F.least(F.floor((F.col("pseudotime") - F.col("lo")) * n_bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-10))), F.lit(n_bins - 1)).alias("bin"))
+        between = stats.moments_of_cells(expr, bins, "bin", genes=genes).groupBy("gene").agg(F.var_pop("mean").alias("b"))
+        whole = stats.moments_of_cells(expr, pseudotime, genes=genes).select("gene", (F.col("q") / F.col("n")).alias("v"))
+        r = between.join(whole, "gene").select("gene", F.lit(0.0).alias("correlation"), (F.col("b") / (F.col("v") + 1e-10)).alias("score"))
     return r if n_top is None else r.orderBy(F.desc("score"), "gene").limit(n_top)
 
 

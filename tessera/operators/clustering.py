@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tiles
 from ..functions.lineage import cut
-from ..functions.order import with_positions
+from ..functions.order import quantiles, with_positions
 from . import matrix, metrics
 from .cells import expression_bins
 from .neighbors import knn
@@ -315,7 +315,7 @@ def detect_doublets(emb: DataFrame, rate: float = 0.05, k: int = 30, n_simulated
     n_simulated = n_simulated or 2 * emb.count()
     both = emb.select(F.col("cell_id").cast("long").alias("cell_id"), "v").unionByName(simulate_doublets(emb, n_simulated, seed))
     s = knn(emb, k, both).groupBy(F.col("src").alias("cell_id")).agg((F.count_if(F.col("dst") < 0) / float(k)).alias("doublet_score"))
-    limit = s.agg(F.greatest(F.percentile("doublet_score", F.lit(1 - rate)), F.lit(0.1)).alias("limit"))
+    limit = quantiles(s, "doublet_score", shares=(1 - rate,)).select(F.greatest(F.col("q")[0], F.lit(0.1)).alias("limit"))
     return s.crossJoin(F.broadcast(limit)).select("cell_id", "doublet_score", (F.col("doublet_score") > F.col("limit")).alias("is_doublet"))
 
 
@@ -334,7 +334,7 @@ def detect_doublets_counts(expr: DataFrame, rate: float = 0.05, min_counts: int
     in_bin = Window.partitionBy("bin")
     sd = F.stddev_pop("fano").over(in_bin)
     g = cut(g.withColumn("d", (F.col("fano") - F.avg("fano").over(in_bin)) / F.when(F.coalesce(sd, F.lit(0.0)) == 0, 1.0).otherwise(sd)))
-    at = g.agg(F.percentile("d", F.lit(percentile / 100)), F.median("d")).first()
+    at = quantiles(g, "d", shares=(percentile / 100, 0.5)).first()["q"]
     picked = g.where(F.col("d") >= at[0])
     if picked.count() < 50:
         picked = g.where(F.col("d") >= at[1])

@@ -1,13 +1,21 @@
-"""Matrix preprocessing. A matrix is long rows (cell_id, gene, value); absent rows are zeros unless it is dense."""
+"""Matrix preprocessing. A matrix is long rows (cell_id, gene, value); absent rows are zeros, and no step here makes rows of them but densify()."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
+from ..functions.order import medians
+from ..functions.vectors import arrays_of
+from .stats import moments_of_cells
+
 
 def clean(expr: DataFrame) -> DataFrame:
     """NaN, infinite and null values become 0."""
@@ -30,25 +38,55 @@ def filter_cells_genes(expr: DataFrame, min_cells: int = 3, min_genes: int = 200
     return expr.join(genes, "gene", "left_semi").join(cells, "cell_id", "left_semi").select("cell_id", "gene", "value")
 
 
-def normalize_log1p(expr: DataFrame, log: bool = True) -> DataFrame:
-    """Library sizes brought to their median, then log1p."""
-    size = expr.groupBy("cell_id").agg(F.greatest(F.sum("value"), F.lit(1.0)).alias("_size"))
-    target = size.agg(F.median("_size").alias("_target"))
+def normalize_log1p(expr: DataFrame, log: bool = True, cells: DataFrame | None = None) -> DataFrame:
+    """Library sizes brought to their median, then log1p; zeros stay zeros. cells: all cells, by default those that have rows."""
+    size = expr.groupBy("cell_id").agg(F.sum("value").alias("_size"))
+    if cells is not None:
+        size = cells.select("cell_id").join(size, "cell_id", "left")
+    size = size.withColumn("_size", F.greatest(F.coalesce("_size", F.lit(0.0)), F.lit(1.0)))
+    target = medians(size, "_size").withColumnRenamed("median", "_target")
     scaled = F.col("value") / F.col("_size") * F.col("_target")
     return expr.join(size, "cell_id").crossJoin(F.broadcast(target)).select("cell_id", "gene", (F.log1p(scaled) if log else scaled).alias("value"))
 
 
-def variable_genes(expr: DataFrame, n_top: int = 2000) -> DataFrame:
-    """gene, variance, rank of the n_top most variable genes of a dense matrix."""
-    v = expr.groupBy("gene").agg(F.var_pop("value").alias("variance"))
+def variable_genes(expr: DataFrame, n_top: int = 2000, cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
+    """gene, variance, rank of the n_top most variable genes. cells, genes: all there are, by default those that have rows."""
+    v = moments_of_cells(expr, expr.select("cell_id").distinct() if cells is None else cells, genes=genes).select("gene", (F.col("q") / F.col("n")).alias("variance"))
     return v.orderBy(F.desc("variance"), "gene").limit(n_top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance"), "gene")))
 
 
 def scale_clip(expr: DataFrame, limit: float = 10.0) -> DataFrame:
-    """z-scores by gene (population deviation, 0 counts as 1), clipped."""
+    """z-scores by gene of a dense matrix (population deviation, 0 counts as 1), clipped."""
     stats = expr.groupBy("gene").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    z = (F.col("value") - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    return expr.join(stats, "gene").select("cell_id", "gene", F.greatest(F.least(z, F.lit(limit)), F.lit(-limit)).alias("z"))
+    return expr.join(stats, "gene").select("cell_id", "gene", _z(F.col("value"), limit).alias("z"))
+
+
+def _z(value: Column, limit: float) -> Column:
+    z = (value - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
+    return F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))
+
+
+def scaled_rows(expr: DataFrame, cells: DataFrame, limit: float = 10.0) -> DataFrame:
+    """cell_id, v: the clipped z-scores of every gene by name, of a sparse matrix.
+
+    A cell's vector starts as that of a cell of zeros, which is as wide as the matrix, and takes the
+    scores of the rows there are.
+    """
+    genes = moments_of_cells(expr, cells).select("gene", F.col("mean").alias("_m"), F.sqrt(F.col("q") / F.col("n")).alias("_s"))
+    genes = cut(genes.select("gene", "_m", "_s", _z(F.lit(0.0), limit).alias("_zero"), (F.row_number().over(Window.orderBy("gene")) - 1).alias("_at")))
+    base = np.array([r[0] for r in genes.orderBy("_at").select("_zero").collect()])
+    x = expr.join(F.broadcast(genes), "gene").groupBy("cell_id").agg(F.collect_list("_at").alias("at"), F.collect_list(_z(F.col("value"), limit)).alias("z"))
+    x = cells.select("cell_id").join(x, "cell_id", "left").select(F.col("cell_id").cast("long").alias("cell_id"), "at", "z")
+
+    def fill(batches):
+        for batch in batches:
+            m = np.tile(base, (batch.num_rows, 1))
+            at, z = batch.column(1), batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(at), 0).to_numpy())
+            m[row, at.flatten().to_numpy(zero_copy_only=False)] = z.flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), arrays_of(m)], ["cell_id", "v"])
+
+    return x.mapInArrow(fill, "cell_id long, v array<double>")
 
 
 def to_rows(expr: DataFrame) -> DataFrame:
@@ -80,12 +118,13 @@ def pca(emb: DataFrame, k: int) -> DataFrame:
 
 def preprocess(expr: DataFrame, n_top: int = 2000, n_components: int = 50, min_cells: int = 3, min_genes: int = 200) -> DataFrame:
     """Filter, normalise, log, pick variable genes, scale, PCA: cell_id, v."""
-    x = normalize_log1p(filter_cells_genes(clean(expr), min_cells, min_genes))
-    if x.isEmpty():
+    x = cut(filter_cells_genes(clean(expr), min_cells, min_genes))
+    cells = cut(x.select("cell_id").distinct())
+    if cells.isEmpty():
         raise ValueError("no cell or gene is left after filtering")
-    x = densify(x, x.select("cell_id").distinct(), x.select("gene").distinct())
-    x = x.join(variable_genes(x, n_top).select("gene"), "gene", "left_semi")
-    rows = to_rows(scale_clip(x).withColumnRenamed("z", "value"))
+    x = normalize_log1p(x, cells=cells)
+    x = cut(x.join(F.broadcast(variable_genes(x, n_top, cells).select("gene")), "gene", "left_semi"))
+    rows = cut(scaled_rows(x, cells))
     width = rows.select(F.size("v")).first()[0]
     return pca(rows, min(n_components, width))
 

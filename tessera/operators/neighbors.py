@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from ..functions import tiles
 from ..functions.lineage import cut
+from ..functions.order import medians
+from .stats import joined
 
 
 class _Nearest:
@@ -117,7 +119,9 @@ def batch_mixing(near: DataFrame, labels: DataFrame, label: str, k: int) -> Data
 
 def mixing_summary(mixing: DataFrame) -> DataFrame:
     """batch, mean, median of the entropy; the row without a batch is over all."""
-    return mixing.rollup("batch").agg(F.avg("entropy").alias("mean"), F.median("entropy").alias("median"))
+    means = mixing.rollup("batch").agg(F.avg("entropy").alias("mean"))
+    middle = medians(mixing, "entropy", "batch").unionByName(medians(mixing, "entropy").withColumn("batch", F.lit(None).cast(mixing.schema["batch"].dataType)))
+    return joined(means, middle, ["batch"])
 
 
 def kbet(near: DataFrame, labels: DataFrame, label: str, k: int) -> DataFrame:

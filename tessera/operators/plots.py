@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import quantiles
 from . import matrix, metrics
 from .expression import top_markers
 from .neighbors import knn
+from .stats import joined
 
 
 def confidence_distribution(cells: DataFrame, value: str = "confidence", by: str = "cluster") -> DataFrame:
     """by, n, min, q1, median, q3, max of a value: a box for each cluster."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    x = cells.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
+    x = cells.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    x = joined(x, quantiles(cells, value, by, shares=(0.25, 0.5, 0.75)), [by], "left")
     return x.select(by, "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 

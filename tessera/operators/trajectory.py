@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
+from ..functions.order import medians
 from ..functions.vectors import gathered, keyed_sums, matrix_of
 from . import metrics
 from .matrix import pca
@@ -33,8 +34,8 @@ def diffusion_pseudotime(emb: DataFrame, root: int | None = None, k: int = 15, n
     The affinity of the symmetric neighbour graph is normalised on both sides, which has the spectrum of
     the random walk. The leading components come from power iterations over joins.
     """
-    near = knn(emb, k)
-    sigma = near.agg(F.median("d").alias("sigma"))
+    near = cut(knn(emb, k))
+    sigma = medians(near, "d").withColumnRenamed("median", "sigma")
     w = near.crossJoin(F.broadcast(sigma)).select("src", "dst", F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma") + 1e-10)).alias("w"))
     a = w.unionAll(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg((F.sum("w") / 2).alias("w"))
     deg = a.groupBy("src").agg(F.sum("w").alias("deg"))

@@ -41,6 +41,11 @@ def first_two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return inputs.expr(s, d), inputs.cells(s, d)
 
 
+def sparse(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matrix without its zeros, all cells and all genes."""
+    return inputs.counts(s, d), inputs.cells(s, d), inputs.read(s, d, "part").select(F.col("p_brand").alias("gene"))
+
+
 # --- quality control and preprocessing ---
 
 CELL_QC = f"""qc AS (SELECT c.cell_id, cluster, coalesce(sum(value), 0.0) AS total_counts, count(CASE WHEN value > 0 THEN 1 END) AS n_genes,
@@ -97,7 +102,8 @@ def normalize_log1p(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EXPR}, {NORM}, v AS (SELECT gene, var_pop(value) AS variance FROM norm GROUP BY gene), t AS (SELECT gene, variance, row_number() OVER (ORDER BY variance DESC, gene) AS rank FROM v) SELECT gene, {q6('variance')} AS variance, rank::INT AS rank FROM t WHERE rank <= 10")
 def hvg(s: SparkSession, d: str) -> DataFrame:
-    return rounded(matrix.variable_genes(_norm(s, d), 10), "variance")
+    e, c, g = sparse(s, d)
+    return rounded(matrix.variable_genes(matrix.normalize_log1p(e, cells=c), 10, c, g), "variance")
 
 
 @query(f"WITH {EXPR}, {NORM}, m AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS sd FROM norm GROUP BY gene) SELECT cell_id, gene, {q6('greatest(least((value - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 10), -10)')} AS z FROM norm JOIN m USING (gene)")
@@ -138,32 +144,42 @@ def bh(table: str, p: str, key: str, order: str, out: str) -> str:
 
 @query(f"WITH {EXPR}, {ONE_REST} SELECT cluster, gene, {q6('log2((mean1 + 1) / (mean2 + 1))')} AS lfc FROM st")
 def logfc(s: SparkSession, d: str) -> DataFrame:
-    x = stats.one_vs_rest(*first_two(s, d), "cluster")
+    e, c, g = sparse(s, d)
+    x = stats.one_vs_rest(e, c, "cluster", g)
     return x.select(F.col("group").alias("cluster"), "gene", r6(stats.log_fold_change(F.col("mean1"), F.col("mean2"))).alias("lfc"))
 
 
 @query(f"WITH {EXPR}, {ONE_REST} SELECT cluster, gene, u, {q6('z')} AS z, {q6('pvalue')} AS pvalue FROM ps")
 def rank_sum_u(s: SparkSession, d: str) -> DataFrame:
-    x = stats.one_vs_rest(*first_two(s, d), "cluster")
+    e, c, g = sparse(s, d)
+    x = stats.one_vs_rest(e, c, "cluster", g)
     return x.select(F.col("group").alias("cluster"), "gene", "u", r6("z").alias("z"), r6("pvalue").alias("pvalue"))
 
 
+@query(f"WITH {EXPR}, {NORM}, {ONE_REST.replace('FROM expr', 'FROM norm')} SELECT cluster, gene, u, {q6('z')} AS z, {q6('pvalue')} AS pvalue, {q6('log2((mean1 + 1) / (mean2 + 1))')} AS lfc FROM ps")
+def rank_sum_log(s: SparkSession, d: str) -> DataFrame:
+    """Rank sums and fold changes of log-normalised values, of which hardly two are equal."""
+    e, c, g = sparse(s, d)
+    x = stats.one_vs_rest(matrix.normalize_log1p(e, cells=c), c, "cluster", g)
+    return x.select(F.col("group").alias("cluster"), "gene", "u", r6("z").alias("z"), r6("pvalue").alias("pvalue"), r6(stats.log_fold_change(F.col("mean1"), F.col("mean2"))).alias("lfc"))
+
+
 MOMENTS = "mo AS (SELECT gene, count(CASE WHEN condition = 'neg' THEN 1 END) AS n1, count(CASE WHEN condition = 'pos' THEN 1 END) AS n2, avg(CASE WHEN condition = 'neg' THEN value END) AS mean1, avg(CASE WHEN condition = 'pos' THEN value END) AS mean2, var_samp(CASE WHEN condition = 'neg' THEN value END) AS var1, var_samp(CASE WHEN condition = 'pos' THEN value END) AS var2 FROM expr JOIN cells USING (cell_id) GROUP BY gene)"
 
 
 def _two(s: SparkSession, d: str) -> DataFrame:
-    e, c = first_two(s, d)
-    return e.join(c.select("cell_id", (F.col("condition") == "neg").alias("g")), "cell_id")
+    e, c, g = sparse(s, d)
+    return stats.counted_cells(e, c.withColumn("g", F.col("condition") == "neg"), "g", genes=g)
 
 
 @query(f"WITH {EXPR}, {MOMENTS} SELECT gene, {q6('(mean1 - mean2) / sqrt(var1 / n1 + var2 / n2)')} AS t, {q6('(var1 / n1 + var2 / n2) ** 2 / ((var1 / n1) ** 2 / (n1 - 1) + (var2 / n2) ** 2 / (n2 - 1))')} AS df FROM mo")
 def welch_t(s: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.welch_t(_two(s, d), "gene").select("gene", "t", "df"), "t", "df")
+    return rounded(stats.welch_counted(_two(s, d), "gene").select("gene", "t", "df"), "t", "df")
 
 
 @query(f"WITH {EXPR}, {MOMENTS} SELECT gene, {q6('(mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2))')} AS t, (n1 + n2 - 2)::DOUBLE AS df FROM mo")
 def student_t(s: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.student_t(_two(s, d), "gene").select("gene", "t", "df"), "t")
+    return rounded(stats.student_counted(_two(s, d), "gene").select("gene", "t", "df"), "t")
 
 
 def two_group_sql(keys: str, source: str, g: str, extra: str = "") -> str:
@@ -186,28 +202,32 @@ DE_COLUMNS = ("mean_group1", "mean_group2", "log2FC", "pct_group1", "pct_group2"
 
 @query(f"WITH {EXPR}, " + two_group_sql("gene", "SELECT gene, condition, value FROM expr JOIN cells USING (cell_id)", "condition = 'neg'"))
 def de_two_group(s: SparkSession, d: str) -> DataFrame:
-    return rounded(expression.differential_expression(*first_two(s, d), "condition", "neg", "pos"), *DE_COLUMNS)
+    e, c, g = sparse(s, d)
+    return rounded(expression.differential_expression(e, c, "condition", "neg", "pos", genes=g), *DE_COLUMNS)
 
 
 @query(f"WITH {EXPR}, " + two_group_sql("g1, g2, gene", "SELECT a.cluster AS g1, b.cluster AS g2, gene, c.cluster, value FROM (SELECT DISTINCT cluster FROM cells) a JOIN (SELECT DISTINCT cluster FROM cells) b ON a.cluster < b.cluster JOIN cells c ON c.cluster IN (a.cluster, b.cluster) JOIN expr USING (cell_id)", "cluster = g1"))
 def de_pairwise(s: SparkSession, d: str) -> DataFrame:
-    return rounded(expression.pairwise(*first_two(s, d), "cluster"), *DE_COLUMNS)
+    e, c, g = sparse(s, d)
+    return rounded(expression.pairwise(e, c, "cluster", g), *DE_COLUMNS)
 
 
 @query(f"WITH {EXPR}, " + two_group_sql('"group", gene', 'SELECT k.cluster AS "group", gene, c.cluster, value FROM (SELECT DISTINCT cluster FROM cells) k CROSS JOIN cells c JOIN expr USING (cell_id)', 'cluster <> "group"'))
 def de_one_vs_rest(s: SparkSession, d: str) -> DataFrame:
-    return rounded(expression.one_vs_rest(*first_two(s, d), "cluster"), *DE_COLUMNS)
+    e, c, g = sparse(s, d)
+    return rounded(expression.one_vs_rest(e, c, "cluster", genes=g), *DE_COLUMNS)
 
 
 @query(f"WITH {EXPR}, " + two_group_sql("cluster, gene", "SELECT cluster, gene, condition, value FROM expr JOIN cells USING (cell_id)", "condition = 'neg'"))
 def de_within_cluster(s: SparkSession, d: str) -> DataFrame:
-    return rounded(expression.within_cluster(*first_two(s, d), "condition", "cluster", "neg", "pos"), *DE_COLUMNS)
+    e, c, g = sparse(s, d)
+    return rounded(expression.within_cluster(e, c, "condition", "cluster", "neg", "pos", g), *DE_COLUMNS)
 
 
 @query()
 def de_compare(s: SparkSession, d: str) -> DataFrame:
-    e, c = first_two(s, d)
-    x = expression.compare_methods(e, c, "condition", group1="neg", group2="pos")
+    e, c, g = sparse(s, d)
+    x = expression.compare_methods(e, c, "condition", group1="neg", group2="pos", genes=g)
     return rounded(x, *x.columns[1:])
 
 
@@ -220,21 +240,23 @@ ps AS (SELECT ok.*, k, pvalue FROM ok JOIN pb USING (gene)""" + NEGBINOM[NEGBINO
 
 @query(f"WITH {EXPR}, {NEGBINOM}")
 def de_negbinom(s: SparkSession, d: str) -> DataFrame:
-    return rounded(expression.differential_expression(*first_two(s, d), "condition", "neg", "pos", method="negbinom"), *DE_COLUMNS)
+    e, c, g = sparse(s, d)
+    return rounded(expression.differential_expression(e, c, "condition", "neg", "pos", g, method="negbinom"), *DE_COLUMNS)
 
 
 @query(f"""WITH a AS ({ORACLES['de_two_group']}), b AS ({ORACLES['de_negbinom']})
 SELECT gene, a."log2FC" AS "log2FC_wilcoxon", a.padj AS padj_wilcoxon, b."log2FC" AS "log2FC_negbinom", b.padj AS padj_negbinom FROM a LEFT JOIN b USING (gene)""")
 def de_compare_counts(s: SparkSession, d: str) -> DataFrame:
     """de_compare of the two methods whose tails SQL can express."""
-    e, c = first_two(s, d)
-    x = expression.compare_methods(e, c, "condition", ("wilcoxon", "negbinom"), group1="neg", group2="pos")
+    e, c, g = sparse(s, d)
+    x = expression.compare_methods(e, c, "condition", ("wilcoxon", "negbinom"), group1="neg", group2="pos", genes=g)
     return rounded(x, *x.columns[1:])
 
 
 @query()
 def de_logistic(s: SparkSession, d: str) -> DataFrame:
-    return rounded(expression.differential_expression(*first_two(s, d), "condition", "neg", "pos", method="logistic"), *DE_COLUMNS, "statistic")
+    e, c, g = sparse(s, d)
+    return rounded(expression.differential_expression(e, c, "condition", "neg", "pos", g, method="logistic"), *DE_COLUMNS, "statistic")
 
 
 DE_TWO = two_group_sql("gene", "SELECT gene, condition, value FROM expr JOIN cells USING (cell_id)", "condition = 'neg'").replace("x AS (", "WITH x AS (", 1)
@@ -255,13 +277,14 @@ MARKER_OUT = f"cluster, gene, {q6('score')} AS score, {q6('pval')} AS pval, {q6(
 
 @query(f"WITH {EXPR}, {MARKERS} SELECT {MARKER_OUT} FROM ad")
 def rank_genes(s: SparkSession, d: str) -> DataFrame:
-    return rounded(expression.rank_genes(*first_two(s, d)), "score", "pval", "logfoldchange", "pval_adj")
+    e, c, g = sparse(s, d)
+    return rounded(expression.rank_genes(e, c, genes=g), "score", "pval", "logfoldchange", "pval_adj")
 
 
 @query(f"WITH {EXPR}, {MARKERS} SELECT {MARKER_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, gene) AS k FROM ad WHERE pval_adj < 0.9 AND abs(logfoldchange) >= 0.001) WHERE k <= 5")
 def markers_top(s: SparkSession, d: str) -> DataFrame:
-    e, c = first_two(s, d)
-    return rounded(expression.find_markers(e, c, n_markers=5, p=0.9, lfc=0.001), "score", "pval", "logfoldchange", "pval_adj")
+    e, c, g = sparse(s, d)
+    return rounded(expression.find_markers(e, c, n_markers=5, p=0.9, lfc=0.001, genes=g), "score", "pval", "logfoldchange", "pval_adj")
 
 
 @query(f"""WITH {EXPR}, de AS ({two_group_sql('gene', "SELECT gene, condition, value FROM expr JOIN cells USING (cell_id)", "condition = 'neg'").replace('x AS (', 'WITH x AS (', 1)})
@@ -467,7 +490,15 @@ def _time(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EXPR}, {TIME}, {RANKS}, rt AS (SELECT cell_id, rank() OVER (ORDER BY pt) + (count(*) OVER (PARTITION BY pt) - 1) / 2.0 AS rt FROM pt), c AS (SELECT gene, coalesce(CASE WHEN isnan(corr(rk, rt)) THEN 0 ELSE corr(rk, rt) END, 0) AS r FROM rk JOIN rt USING (cell_id) GROUP BY gene)
   SELECT gene, {q6('r')} AS correlation, {q6('abs(r)')} AS score FROM c""")
 def trajectory_genes(s: SparkSession, d: str) -> DataFrame:
-    return rounded(cell_ops.trajectory_genes(inputs.expr(s, d), _time(s, d), None), "correlation", "score")
+    e, _, g = sparse(s, d)
+    return rounded(cell_ops.trajectory_genes(e, _time(s, d), None, genes=g), "correlation", "score")
+
+
+@query(ORACLES["trajectory_genes"].replace(RANKS, f"{NORM}, {RANKS.replace('FROM expr', 'FROM norm')}"))
+def trajectory_genes_log(s: SparkSession, d: str) -> DataFrame:
+    """The same of log-normalised values, of which hardly two are equal."""
+    e, c, g = sparse(s, d)
+    return rounded(cell_ops.trajectory_genes(matrix.normalize_log1p(e, cells=c), _time(s, d), None, genes=g), "correlation", "score")
 
 
 @query(f"WITH {EXPR}, {TIME}, m AS (SELECT least(floor(pt * 10), 9)::INT AS bin, gene, avg(value) AS mean FROM expr JOIN pt USING (cell_id) GROUP BY ALL), z AS (SELECT *, avg(mean) OVER (PARTITION BY gene) AS mm, stddev_pop(mean) OVER (PARTITION BY gene) AS sd FROM m) SELECT bin, gene, {q6('mean')} AS mean, {q6('(mean - mm) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS z FROM z")
