@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from ..functions import tiles
 from ..functions.lineage import cut
 from ..functions.order import quantiles, with_positions
-from . import matrix, metrics
+from . import matrix, metrics, stats
 from .cells import expression_bins
 from .neighbors import knn
 
@@ -175,13 +175,21 @@ def auto_merge(emb: DataFrame, labels: DataFrame, label: str, min_size: int = 10
     return _mapping(emb.sparkSession, [(c, number[g]) for c, g in sorted(goes.items())], labels.schema[label].dataType.simpleString())
 
 
-def merge_by_markers(expr: DataFrame, cells: DataFrame, n_top: int = 10, threshold: float = 0.8) -> DataFrame:
-    """old, new: clusters whose top varying genes correlate above the threshold are merged (average linkage of 1 - r)."""
-    from .cells import cluster_means, top_varying
+def merge_by_markers(expr: DataFrame, cells: DataFrame, n_top: int = 10, threshold: float = 0.8, method: str = "pearson") -> DataFrame:
+    """old, new: clusters whose means correlate above the threshold are merged (average linkage of 1 - r), over the n_top most
+    varying genes for each cluster. r is Pearson's, or of the genes' ranks for spearman. Rows that the matrix lacks are zeros."""
+    from .cells import top_varying
 
-    m = top_varying(cluster_means(expr, cells), n_top)
-    r = m.alias("a").join(m.alias("b"), (F.col("a.gene") == F.col("b.gene")) & (F.col("a.cluster") < F.col("b.cluster"))).groupBy(F.col("a.cluster").alias("c1"), F.col("b.cluster").alias("c2")).agg(F.coalesce(F.corr("a.mean", "b.mean"), F.lit(0.0)).alias("r")).collect()
+    if method not in ("pearson", "spearman"):
+        raise ValueError("method is pearson or spearman")
     names = sorted(x[0] for x in cells.select("cluster").distinct().collect())
+    means = stats.moments_of_cells(expr, cells, "cluster").select("cluster", "gene", "mean")
+    m = top_varying(means, n_top * len(names))
+    if method == "spearman":
+        same = Window.partitionBy("cluster", "mean")
+        m = m.withColumn("mean", F.rank().over(Window.partitionBy("cluster").orderBy("mean")) + (F.count("*").over(same) - 1) / 2)
+    m = cut(m)
+    r = m.alias("a").join(m.alias("b"), (F.col("a.gene") == F.col("b.gene")) & (F.col("a.cluster") < F.col("b.cluster"))).groupBy(F.col("a.cluster").alias("c1"), F.col("b.cluster").alias("c2")).agg(F.coalesce(F.corr("a.mean", "b.mean"), F.lit(0.0)).alias("r")).collect()
     at = {c: i for i, c in enumerate(names)}
     d = np.zeros((len(names),) * 2)
     for x in r:

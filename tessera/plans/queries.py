@@ -617,7 +617,20 @@ for _method, _sql in (
 # --- refinement, stability, doublets ---
 
 
-@query()
+def average_linkage_sql(distances: str, items: str, steps: int, enough: str) -> str:
+    """Tables that merge items by the mean distance of their members while `enough` holds (of k groups and their least distance d): items(c), distances(c1, c2, d), and old, new of the last."""
+    out = [f"m0 AS (SELECT c, c AS g FROM {items})"]
+    for i in range(steps):
+        out.append(f"""q{i} AS (SELECT g1, g2, avg(d) AS d, any_value(k) AS k FROM (SELECT least(a.g, b.g) AS g1, greatest(a.g, b.g) AS g2, d, (SELECT count(DISTINCT g) FROM m{i}) AS k FROM {distances} JOIN m{i} a ON a.c = c1 JOIN m{i} b ON b.c = c2 WHERE a.g <> b.g) GROUP BY g1, g2),
+b{i} AS (SELECT * FROM q{i} WHERE {enough} ORDER BY d, g1, g2 LIMIT 1), m{i + 1} AS (SELECT c, coalesce((SELECT g1 FROM b{i} WHERE g2 = g), g) AS g FROM m{i})""")
+    return ", ".join([*out, f"merged AS (SELECT c AS old, (dense_rank() OVER (ORDER BY g) - 1)::INT AS new FROM m{steps})"])
+
+
+CENTERS = "ctr AS (SELECT label AS c, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS x FROM emb, (SELECT unnest(range(1, (SELECT max(len(v)) FROM emb) + 1)) AS i) GROUP BY ALL) GROUP BY label)"
+CENTER_PAIRS = "cd AS (SELECT a.c AS c1, b.c AS c2, list_distance(a.v, b.v) AS d FROM ctr a JOIN ctr b ON a.c < b.c)"
+
+
+@query(f"WITH {EMB}, {CENTERS}, {CENTER_PAIRS}, {average_linkage_sql('cd', 'ctr', 12, 'k > 4')} SELECT old, new FROM merged")
 def merge_clusters(s: SparkSession, d: str) -> DataFrame:
     e = inputs.emb(s, d)
     return clustering.merge_clusters(e, e, "label", n_clusters=4)
@@ -629,9 +642,19 @@ def auto_merge(s: SparkSession, d: str) -> DataFrame:
     return clustering.auto_merge(e, e, "label", 45)
 
 
-@query()
+MARKER_PAIRS = "km AS (SELECT cluster, gene, avg(value) AS mean FROM expr JOIN cells USING (cell_id) GROUP BY ALL), kt AS (SELECT gene FROM km GROUP BY gene ORDER BY var_pop(mean) DESC, gene LIMIT 3 * (SELECT count(DISTINCT cluster) FROM cells)), kp AS (SELECT * FROM km WHERE gene IN (FROM kt)), ki AS (SELECT DISTINCT cluster AS c FROM cells)"
+
+
+@query(f"WITH {EXPR}, {MARKER_PAIRS}, kd AS (SELECT a.cluster AS c1, b.cluster AS c2, 1 - corr(a.mean, b.mean) AS d FROM kp a JOIN kp b ON a.gene = b.gene AND a.cluster < b.cluster GROUP BY ALL), {average_linkage_sql('kd', 'ki', 4, 'd <= 0.5')} SELECT old, new FROM merged")
 def merge_by_markers(s: SparkSession, d: str) -> DataFrame:
-    return clustering.merge_by_markers(*first_two(s, d), 10, 0.5)
+    e, c, _ = sparse(s, d)
+    return clustering.merge_by_markers(e, c, 3, 0.5)
+
+
+@query(f"WITH {EXPR}, {MARKER_PAIRS}, kr AS (SELECT *, rank() OVER (PARTITION BY cluster ORDER BY mean) + (count(*) OVER (PARTITION BY cluster, mean) - 1) / 2.0 AS rk FROM kp), kd AS (SELECT a.cluster AS c1, b.cluster AS c2, 1 - corr(a.rk, b.rk) AS d FROM kr a JOIN kr b ON a.gene = b.gene AND a.cluster < b.cluster GROUP BY ALL), {average_linkage_sql('kd', 'ki', 4, 'd <= 0.2')} SELECT old, new FROM merged")
+def merge_by_marker_ranks(s: SparkSession, d: str) -> DataFrame:
+    e, c, _ = sparse(s, d)
+    return clustering.merge_by_markers(e, c, 3, 0.8, "spearman")
 
 
 @query()
@@ -692,7 +715,16 @@ def doublets_from_counts(s: SparkSession, d: str) -> DataFrame:
     return rounded(clustering.detect_doublets_counts(inputs.expr(s, d), n_components=5), "doublet_score")
 
 
-@query()
+def _ward_sql(steps: int) -> str:
+    out = ["w0 AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS g, 1 AS size, v FROM ctr)", "wn AS (SELECT count(*) AS n FROM ctr)"]
+    for i in range(steps):
+        out.append(f"""g{i} AS (SELECT g, max(size) AS size, list(x ORDER BY i) AS v FROM (SELECT g, size, i, avg(v[i]) AS x FROM w{i}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM emb) + 1)) AS i) GROUP BY g, size, i) GROUP BY g),
+h{i} AS (SELECT {i} AS step, a.g AS a, b.g AS b, sqrt(2.0 * a.size * b.size / (a.size + b.size)) * list_distance(a.v, b.v) AS distance, a.size + b.size AS size FROM g{i} a JOIN g{i} b ON a.g < b.g ORDER BY distance, a, b LIMIT 1),
+w{i + 1} AS (SELECT c, CASE WHEN g IN (SELECT a FROM h{i}) OR g IN (SELECT b FROM h{i}) THEN (SELECT n FROM wn) + {i} ELSE g END AS g, CASE WHEN g IN (SELECT a FROM h{i}) OR g IN (SELECT b FROM h{i}) THEN (SELECT size FROM h{i}) ELSE size END AS size, v FROM w{i})""")
+    return ", ".join([*out, "merges AS (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(steps)) + ")"])
+
+
+@query(f"WITH {EMB}, {CENTERS}, {_ward_sql(12)} SELECT step, a::INT AS a, b::INT AS b, {q6('distance')} AS distance, size::INT AS size FROM merges")
 def dendrogram(s: SparkSession, d: str) -> DataFrame:
     e = inputs.emb(s, d)
     return rounded(clustering.dendrogram(e, e, "label"), "distance")
@@ -852,7 +884,19 @@ def _flat(x: DataFrame, n: int = 5) -> DataFrame:
     return x.select("cell_id", *(r6(F.col("v")[i]).alias(f"v{i}") for i in range(n)))
 
 
-@query()
+def _mutual_step_sql(step: int, reference: str, own: str, out: str, k: int) -> str:
+    """Tables that move `own` towards `reference` by mutual pairs among k nearest, and put both together in `out`."""
+    n = f"_{step}"
+    return f"""{nearest(k, own, reference, f'qa{n}')}, {nearest(k, reference, own, f'qb{n}')},
+pr{n} AS (SELECT a.src AS q, a.dst AS r FROM qa{n} a JOIN qb{n} b ON a.src = b.dst AND a.dst = b.src),
+mv{n} AS (SELECT q.v AS at, list_transform(list_zip(r.v, q.v), lambda x: x[1] - x[2]) AS x FROM pr{n} JOIN {reference} r ON r.cell_id = pr{n}.r JOIN {own} q ON q.cell_id = pr{n}.q),
+sw{n} AS (SELECT cell_id, o.v, m.x, exp(-list_distance(o.v, m.at) ** 2 / 2) AS w FROM {own} o, mv{n} m),
+sh{n} AS (SELECT cell_id, any_value(v) AS v, i, sum(w * x[i]) / (sum(w) + 1e-10) AS s FROM sw{n}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM emb) + 1)) AS i) GROUP BY cell_id, i),
+{out} AS (SELECT cell_id, v FROM {reference} UNION ALL SELECT cell_id, list(v[i] + s ORDER BY i) FROM sh{n} GROUP BY cell_id)"""
+
+
+@query(f"""WITH {EMB}, e0 AS (SELECT cell_id, v FROM emb WHERE batch = 0), e1 AS (SELECT cell_id, v FROM emb WHERE batch = 1), e2 AS (SELECT cell_id, v FROM emb WHERE batch = 2),
+{_mutual_step_sql(1, 'e0', 'e1', 'd1', 10)}, {_mutual_step_sql(2, 'd1', 'e2', 'd2', 10)} SELECT cell_id, {', '.join(f"{q6(f'v[{i + 1}]')} AS v{i}" for i in range(5))} FROM d2""")
 def mnn_correct(s: SparkSession, d: str) -> DataFrame:
     e = inputs.emb(s, d)
     return _flat(integration.mnn_correct(e.select("cell_id", "v"), e, "batch", 10))

@@ -122,6 +122,35 @@ def test_mixing(blobs):
     assert neighbors.mutual_neighbors(emb.where("cell_id < 30"), emb.where("cell_id >= 30"), 5).where("ref >= 30 OR query < 30").count() == 0
 
 
+def test_harmony_by_whole_matrices(spark, monkeypatch):
+    """All cells in NumPy, from the same seeds; vectors of many lengths, as the original ones are corrected."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 1, (25, 3)) for c in (2, -3)]) * rng.random((50, 1)) * 4
+    x[::3] += 1.0
+    batch = (np.arange(50) % 3 == 0).astype(int)
+    seeds = np.array([[1.0, 0, 0], [-0.5, -0.5, 0.1], [0, 0, 9.0]])
+    monkeypatch.setattr(integration, "seed_centroids", lambda emb, k, seed: spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(seeds)], "c int, center array<double>"))
+    cells = spark.createDataFrame([(i, int(b)) for i, b in enumerate(batch)], "cell_id long, batch int")
+    got = {r["cell_id"]: r["v"] for r in integration.harmony(frame(spark, x), cells, "batch", 3, 4, sigma=0.5).collect()}
+    length = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    z, centers = length(x), seeds.copy()
+    for _ in range(4):
+        r = np.exp(-((z[:, None] - centers) ** 2).sum(2) / (2 * 0.5**2))
+        r /= r.sum(1, keepdims=True) + 1e-10
+        counts = np.array([r[batch == b].sum(0) for b in (0, 1)]).T
+        share = counts / (counts.sum(1, keepdims=True) + 1e-10)
+        r *= np.clip(1 - 2 * np.abs(share - [np.mean(batch == 0), np.mean(batch == 1)]), 0.1, 1)[:, batch].T
+        r /= r.sum(1, keepdims=True) + 1e-10
+        centers = np.array([(r[:, [k]] * z).sum(0) / r[:, k].sum() if r[:, k].sum() > 0 else centers[k] for k in range(3)])
+        z = x.copy()
+        for b in (0, 1):
+            for k in range(3):
+                own = np.average(x[batch == b], axis=0, weights=r[batch == b, k] + 1e-10)
+                z[batch == b] += r[batch == b, k : k + 1] * (np.average(x, axis=0, weights=r[:, k] + 1e-10) - own)
+        z = length(z)
+    assert all(got[i] == pytest.approx(z[i], abs=1e-6) for i in range(50))
+
+
 @pytest.mark.parametrize("method", ["mnn", "harmony"])
 def test_integration(spark, method):
     rng = np.random.default_rng(2)
