@@ -890,7 +890,7 @@ def _mutual_step_sql(step: int, reference: str, own: str, out: str, k: int) -> s
     return f"""{nearest(k, own, reference, f'qa{n}')}, {nearest(k, reference, own, f'qb{n}')},
 pr{n} AS (SELECT a.src AS q, a.dst AS r FROM qa{n} a JOIN qb{n} b ON a.src = b.dst AND a.dst = b.src),
 mv{n} AS (SELECT q.v AS at, list_transform(list_zip(r.v, q.v), lambda x: x[1] - x[2]) AS x FROM pr{n} JOIN {reference} r ON r.cell_id = pr{n}.r JOIN {own} q ON q.cell_id = pr{n}.q),
-sw{n} AS (SELECT cell_id, o.v, m.x, exp(-list_distance(o.v, m.at) ** 2 / 2) AS w FROM {own} o, mv{n} m),
+sw{n} AS (SELECT cell_id, o.v, m.x, exp(-(list_distance(o.v, m.at) ** 2) / 2) AS w FROM {own} o, mv{n} m),
 sh{n} AS (SELECT cell_id, any_value(v) AS v, i, sum(w * x[i]) / (sum(w) + 1e-10) AS s FROM sw{n}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM emb) + 1)) AS i) GROUP BY cell_id, i),
 {out} AS (SELECT cell_id, v FROM {reference} UNION ALL SELECT cell_id, list(v[i] + s ORDER BY i) FROM sh{n} GROUP BY cell_id)"""
 
