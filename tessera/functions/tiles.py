@@ -70,6 +70,20 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.nd
         at = F.col("other") * across + F.col("own") if streamed else F.col("own") * across + F.col("other")
         return x.select(at.cast("int").alias("tile"), F.lit(int(streamed)).alias("side"), "id", "v", "x")
 
+    both = side(left, False).unionByName(side(right, True)).repartitionById(down * across, F.col("tile"))
+    return both.sortWithinPartitions("tile", "side").mapInArrow(_folded(kernel), schema)
+
+
+def chosen(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, pa.Array], Kernel], schema: str, tiles: int) -> DataFrame:
+    """The same for tiles that the caller has chosen. Both sides: tile int, id long, v array<double>, x double, by which a tile's rows are ordered."""
+    marked = left.select("tile", F.lit(0).alias("side"), "id", "v", "x").unionByName(right.select("tile", F.lit(1).alias("side"), "id", "v", "x"))
+    parts = max(1, min(tiles, 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) + tiles // 16))
+    return marked.repartition(parts, "tile").sortWithinPartitions("tile", "side", "x").mapInArrow(_folded(kernel), schema)
+
+
+def _folded(kernel: Callable[[np.ndarray, np.ndarray, pa.Array], Kernel]) -> Callable:
+    """Rows of (tile, side, id, v, x), ordered by the first two: the held ones, then the streamed ones of each tile."""
+
     def run(batches):
         tile, held, found = None, [], None
         for batch in batches:
@@ -95,8 +109,7 @@ def tiled(left: DataFrame, right: DataFrame, kernel: Callable[[np.ndarray, np.nd
         if found is not None:
             yield found.rows()
 
-    both = side(left, False).unionByName(side(right, True)).repartitionById(down * across, F.col("tile"))
-    return both.sortWithinPartitions("tile", "side").mapInArrow(run, schema)
+    return run
 
 
 def _columns(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:

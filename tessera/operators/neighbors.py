@@ -7,8 +7,11 @@ the best by products is compared by differences, so equal vectors tie, and go by
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +19,8 @@ from pyspark.sql.window import Window
 from ..functions import tiles
 from ..functions.lineage import cut
 from ..functions.order import medians
+from ..functions.pivots import Blocks, Pivots, bounded, in_cells, scouts
+from ..functions.vectors import arrays_of, matrix_of
 from .stats import joined
 
 
@@ -25,10 +30,12 @@ class _Nearest:
     def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
         self.ids, self.v, self.k = ids, v, k
         self.d, self.to = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
+        #: No neighbour further than this counts.
+        self.bound = np.full(len(ids), np.inf)
 
     def add(self, ids: np.ndarray, v: np.ndarray, _: pa.Array) -> None:
         for rows in tiles.pieces(len(self.ids)):
-            x, own, limit = self.v[rows], self.ids[rows], self.d[rows, -1] ** 2
+            x, own, limit = self.v[rows], self.ids[rows], np.minimum(self.d[rows, -1], self.bound[rows]) ** 2
             d2 = tiles.squared_distances(x, v)
             d2[own[:, None] == ids[None]] = np.inf
             if len(ids) > self.k and np.isinf(limit).any():
@@ -53,14 +60,108 @@ class _Nearest:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.to[row, col]), pa.array(self.d[row, col])], ["src", "dst", "d"])
 
 
+class _NearestInCells(_Nearest):
+    """The same for points that come cell by cell: a cell is compared with the queries that it may hold neighbours of."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, bound: np.ndarray, k: int, pivots: Pivots, compared: Accumulator | None):
+        super().__init__(ids, v, k)
+        self.bound, self.pivots, self.compared = bound, pivots, compared
+        self.least = {r.start: pivots.least(pivots.distances(v[r])) for r in tiles.pieces(len(ids))} if len(ids) else {}
+
+    def add(self, ids: np.ndarray, v: np.ndarray, cells: pa.Array) -> None:
+        cells = cells.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = [*(np.flatnonzero(np.diff(cells)) + 1), len(cells)]
+        whole = _Nearest.add
+        for start, end in zip([0, *ends], ends, strict=False):
+            if start == end:
+                continue
+            for piece in tiles.pieces(len(self.ids)):
+                limit = np.minimum(self.d[piece, -1], self.bound[piece])
+                rows = np.flatnonzero(self.least[piece.start][:, cells[start]] <= limit)
+                if not len(rows):
+                    continue
+                part = _Nearest(self.ids[piece][rows], self.v[piece][rows], self.k)
+                part.d, part.to, part.bound = self.d[piece][rows], self.to[piece][rows], self.bound[piece][rows]
+                whole(part, ids[start:end], v[start:end], None)
+                self.d[piece.start + rows], self.to[piece.start + rows] = part.d, part.to
+                if self.compared is not None:
+                    self.compared.add(len(rows) * (end - start))
+
+
+def knn_in_cells(queries: DataFrame, k: int, points: DataFrame | None = None, block_rows: int = tiles.HOLD, n_pivots: int | None = None, compared: Accumulator | None = None) -> DataFrame:
+    """knn() of many points. Cells around pivots that cannot hold a neighbour of a query are not sent to it, nor compared.
+
+    Queries and points go to blocks of neighbouring cells; a query goes to the blocks that hold a cell it
+    needs, a point to the rows of queries that need its block. What structure the points lack is what cannot be
+    left out: then every block is needed and the work is that of the grid. compared: counts pairs.
+    """
+    vectors = lambda emb: emb.select(F.col("cell_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    right = vectors(queries if points is None else points)
+    m = right.count()
+    empty = queries.sparkSession.createDataFrame([], "src long, dst long, rank int, d double")
+    if m == 0:
+        return empty
+    right, pivots = in_cells(right, n_pivots or max(1, math.isqrt(m)))
+    left = cut(bounded(vectors(queries), pivots, scouts(right, 2 * k + 2), k))
+    of_cell = {r["cell"]: r["count"] for r in left.groupBy("cell").count().collect()}
+    held = np.array([of_cell.get(c, 0) for c in range(len(pivots.counts))])
+    n = int(held.sum())
+    if n == 0:
+        return empty
+    order, tasks = pivots.order(), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    down = Blocks.of(held, order, max(math.ceil(n / block_rows), min(math.isqrt(tasks) + 1, math.ceil(n / tiles.LEAST))))
+    across = Blocks.of(pivots.counts.astype(np.int64), order, max(math.isqrt(tasks) + 1, min(down.n, len(order))))
+    needs = np.zeros((len(order), across.n), bool)
+    for c in range(len(order)):
+        needs[c, across.first[c] : across.first[c] + across.parts[c]] = True
+
+    def to_tiles(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, v = batch.column(0).to_numpy(), matrix_of(batch.column(1))
+                bound = batch.column(3).to_numpy()
+                wanted = (pivots.least(pivots.distances(v)) <= bound[:, None]) & (pivots.counts > 0)
+                row, block = np.nonzero(wanted @ needs)
+                tile = down.block(batch.column(2).to_numpy(), ids)[row] * across.n + block
+                yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), pa.array(ids[row]), arrays_of(v[row]), pa.array(bound[row])], ["tile", "id", "v", "x"])
+
+    asked = cut(left.mapInArrow(to_tiles, "tile int, id long, v array<double>, x double"))
+    rows_of: dict[int, list[int]] = {}
+    for r in asked.select("tile").distinct().toLocalIterator():
+        rows_of.setdefault(r["tile"] % across.n, []).append(r["tile"] // across.n)
+
+    def to_rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                block = across.block(cell, ids)
+                to = [rows_of.get(int(b), []) for b in block]
+                row = np.repeat(np.arange(len(ids)), [len(t) for t in to])
+                tile = np.array([t for x in to for t in x], np.int64) * across.n + block[row]
+                yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), pa.array(ids[row]), arrays_of(matrix_of(batch.column(1))[row]), pa.array(cell[row].astype(float))], ["tile", "id", "v", "x"])
+
+    sent = right.mapInArrow(to_rows, "tile int, id long, v array<double>, x double")
+    near = tiles.chosen(asked, sent, lambda ids, v, x: _NearestInCells(ids, v, x.to_numpy(zero_copy_only=False), k, pivots, compared), "src long, dst long, d double", sum(map(len, rows_of.values())))
+    return _best(near, k)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "d")
+
+
 def knn(queries: DataFrame, k: int, points: DataFrame | None = None, block_rows: int = tiles.HOLD) -> DataFrame:
-    """src, dst, rank, d: the k nearest points of each query, itself (its id) left out. A task holds block_rows queries at most."""
+    """src, dst, rank, d: the k nearest points of each query, itself (its id) left out. A task holds block_rows queries at most.
+
+    More points than a task holds are searched by cells (knn_in_cells), with the same result.
+    """
+    if not (queries if points is None else points).offset(block_rows).isEmpty():
+        return knn_in_cells(queries, k, points, block_rows)
 
     def side(emb: DataFrame) -> DataFrame:
         return emb.select(F.col("cell_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("int").alias("x"))
 
     near = tiles.tiled(side(queries), side(queries if points is None else points), lambda ids, v, _: _Nearest(ids, v, k), "src long, dst long, d double", block_rows)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "d")
+    return _best(near, k)
 
 
 def knn_graph(near: DataFrame, mode: str = "connectivity") -> DataFrame:
