@@ -12,9 +12,11 @@ apart by page_id, url and payload; repeated rows give repeated records. Columns
 page_id, url, html are ignored. A record that cannot be parsed or decoded or fails its digest
 gives one row of kind "error" and no derivatives.
 
-The payload is decoded before it is read: chunked transfer, gzip or deflate, then the character
-set that the HTTP header, a byte order mark or the page names, UTF-8 otherwise. Markup is walked
-once, from tag to tag; a comment, script or style that is never closed takes the rest of the page.
+The payload is decoded before it is read: chunked transfer, gzip (all members) or deflate, then the
+character set that the HTTP header, a byte order mark or the page names, if pages may have it, UTF-8
+otherwise. A payload that is cut short, or grows past MOST_INFLATED, is an error. Markup is walked
+once, from tag to tag; a tag ends at the first `>` that is in no quoted value, and a comment, script
+or style that is never closed takes the rest of the page.
 """
 
 from __future__ import annotations
@@ -44,13 +46,23 @@ BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol tr table br article section
 HIDDEN = ("script", "style", "noscript", "template")
 LINKS = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
-ATTRIBUTE = re.compile(r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+ATTRIBUTE = re.compile(r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))""")
+#: What stands between a tag's name and its end: no value, or a value with its quotes. The first group is the end.
+INSIDE = re.compile(r"""[^=>]*+(?:(>)|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))""")
 BLANKS = re.compile(r"[ \t\r\f\v]+")
 LINES = re.compile(r" ?\n[ \n]*")
 CHARSET = re.compile(rb"""<meta\b[^>]{0,500}?\bcharset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.IGNORECASE)
 HEADER_CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.IGNORECASE)
 #: Bytes at the start of a page among which it can name its character set.
 DECLARED_WITHIN = 4096
+#: Character sets that pages may name, by their names in Python. Fixed values.
+CHARSETS = frozenset(
+    "ascii utf-8 utf-16 utf-16-le utf-16-be iso8859-1 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8 iso8859-9 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16"
+    " cp866 cp874 tis-620 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 koi8-r koi8-u mac-roman mac-cyrillic"
+    " gb2312 gbk gb18030 big5 big5hkscs euc_jp iso2022_jp shift_jis cp932 euc_kr cp949".split()
+)
+#: Bytes that the encodings of a payload may grow to; beyond, the response has an error row.
+MOST_INFLATED = 256 << 20
 BYTE_ORDER_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
 
@@ -98,15 +110,33 @@ def dechunked(data: bytes) -> bytes:
         at = end + 4 + size
 
 
+def inflated(data: bytes, wbits: int, members: bool) -> bytes:
+    """A compressed payload, all its members if it may have several; ValueError where it is cut short, too long, or not all of it is compressed."""
+    out, total = [], 0
+    while True:
+        d = zlib.decompressobj(wbits)
+        out.append(d.decompress(data, MOST_INFLATED + 1 - total))
+        total += len(out[-1])
+        if total > MOST_INFLATED:
+            raise ValueError("payload too long")
+        if not d.eof:
+            raise ValueError("payload cut short")
+        data = d.unused_data
+        if not data.strip(b"\0"):  # padding
+            return b"".join(out)
+        if not members:
+            raise ValueError("more than the payload")
+
+
 def content(body: bytes, http: dict[str, str]) -> bytes:
     """A payload without transfer and content encodings; http has lower-case names."""
     if "chunked" in http.get("transfer-encoding", "").lower():
         body = dechunked(body)
     for coding in reversed([x.strip().lower() for x in http.get("content-encoding", "").split(",")]):
         if coding in ("gzip", "x-gzip"):
-            body = zlib.decompress(body, 31)
+            body = inflated(body, 31, True)
         elif coding == "deflate":
-            body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+            body = inflated(body, 15 if body[:1] == b"\x78" else -15, False)
         elif coding not in ("", "identity"):
             raise ValueError(f"unknown content encoding {coding}")
     return body
@@ -125,7 +155,7 @@ def decoded(data: bytes, http: dict[str, str]) -> str:
     m = HEADER_CHARSET.search(http.get("content-type", ""))
     for charset in (m[1] if m else None, declared_charset(data)):
         try:
-            if charset and codecs.lookup(charset)._is_text_encoding:
+            if charset and codecs.lookup(charset).name in CHARSETS:
                 return data.decode(charset, "replace")
         except LookupError:
             pass
@@ -152,6 +182,12 @@ class Markup:
         end = self.lower.find(closer, at)
         return len(self.page) if end < 0 else end
 
+    def _end(self, at: int) -> int:
+        """Where a tag ends, from behind its name: the first `>` that is in no quoted value; -1 if there is none."""
+        while (m := INSIDE.match(self.page, at)) and not m[1]:
+            at = m.end()
+        return m.start(1) if m else -1
+
     def _walk(self) -> None:
         page, at, n = self.page, 0, len(self.page)
         while at < n:
@@ -171,7 +207,7 @@ class Markup:
                 self.parts.append("<")
                 at = tag + 1
                 continue
-            end = page.find(">", tag)
+            end = self._end(m.end()) if m else page.find(">", tag)
             if end < 0:  # a tag that is never closed is text, and so is all behind it
                 self.parts.append(page[tag:])
                 return

@@ -121,3 +121,56 @@ def test_captures_as_of_their_date(spark):
     assert got == sorted(((r[0], *want.get(r[0], (0, ""))) for r in captures), key=str)
     assert urlfilter.evaluate(c.limit(0), e).count() == 0
     assert urlfilter.evaluate(c, e.limit(0)).where("blocked").count() == 0
+
+
+def test_quoted_values_may_hold_the_end_of_a_tag():
+    m = warc.Markup('<a title="1 > 0" href="http://x/">go</a><img alt=\'a>b\' src=y.png>x<a href=p="q>r</a>')
+    assert m.links == [{"tag": "a", "url": "http://x/"}, {"tag": "img", "url": "y.png"}, {"tag": "a", "url": 'p="q'}] and m.text() == "go x r"
+    assert warc.Markup('<p>a<b title="never closed>c').text().startswith("a")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_links_and_text_by_html_parser(seed):
+    """Against the standard library's parser on random markup."""
+    import random
+    from html.parser import HTMLParser
+
+    r = random.Random(seed)
+    value = lambda: "".join(r.choice("ab>/= &'1") for _ in range(r.randint(0, 6))).replace("'", "" if r.random() < 0.5 else "x")
+    attribute = lambda n: r.choice((f'{n}="{value()}"', f"{n} = '{value()}'", f"{n}=v{r.randint(0, 9)}", "data-x", f'title="{value()}"'))
+    page = "".join(r.choice((lambda: f"<a {attribute('href')} {attribute('rel')}>t{r.randint(0, 9)}</a>", lambda: f"<img {attribute('alt')} {attribute('src')}/>", lambda: "<p>w</p>", lambda: "1 < 2 ", lambda: "<!-- <a href=n> -->"))() for _ in range(40))
+
+    class Parser(HTMLParser):
+        found, words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            first = dict(reversed(attrs))
+            if warc.LINKS.get(tag) in first:
+                self.found.append({"tag": tag, "url": first[warc.LINKS[tag]] or ""})
+
+        def handle_data(self, data):
+            self.words.append(data)
+
+    p = Parser()
+    p.found, p.words = [], []
+    p.feed(page)
+    p.close()
+    m = warc.Markup(page)
+    assert m.links == p.found and "".join(m.text().split()) == "".join("".join(p.words).split())
+
+
+def test_members_limits_and_character_sets(monkeypatch):
+    import gzip
+    import zlib
+
+    two = gzip.compress(b"aaa") + gzip.compress(b"bbb") + b"\0" * 5
+    assert warc.content(two, {"content-encoding": "gzip"}) == b"aaabbb"
+    for coding, bad in (("gzip", two[:-12]), ("gzip", gzip.compress(b"a") + b"more"), ("deflate", zlib.compress(b"a") + b"x")):
+        with pytest.raises((ValueError, zlib.error)):
+            warc.content(bad, {"content-encoding": coding})
+    monkeypatch.setattr(warc, "MOST_INFLATED", 1000)
+    assert len(warc.content(gzip.compress(b"x" * 1000), {"content-encoding": "gzip"})) == 1000
+    with pytest.raises(ValueError):
+        warc.content(gzip.compress(b"x" * 600) * 2, {"content-encoding": "gzip"})
+    assert warc.decoded(b"\\u0041", {"content-type": "text/html; charset=unicode_escape"}) == "\\u0041"
+    assert warc.decoded(b"\xe9", {"content-type": "text/html; charset=latin1"}) == "é"
