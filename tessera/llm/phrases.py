@@ -37,6 +37,8 @@ from .common import materialise, passing, slices
 MIN_BITS, MAX_BITS, BUCKET_BYTES = 16, 26, 64
 #: Buckets in a row of a table of counts, at most.
 BLOCK = 1 << 16
+#: Shares of a language that are ranked apart before its phrases are.
+SHARES = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: ASCII bytes: letters in lower case, separators as line ends, tabs as blanks.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in SEPARATORS else 32 if c == 9 else c for c in range(256))
@@ -261,8 +263,12 @@ def mine(docs: DataFrame, max_words: int = 3, min_count: int = 10, top: int = 20
     x = cuts(found)
     if longer is not None:
         x = x.join(longer.groupBy("lang", "phrase").agg(F.max("c").alias("most")), ["lang", "phrase"], "left").where((100 * F.coalesce("most", F.lit(0))) < covered_percent * F.col("a"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    x = x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).join(totals, "lang")
+    # the best of each share of a language, then the best of those
+    x = x.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    for keys in (("lang", "share"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        x = x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    x = x.join(totals, "lang")
     return x.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
