@@ -122,6 +122,26 @@ def test_mixing(blobs):
     assert neighbors.mutual_neighbors(emb.where("cell_id < 30"), emb.where("cell_id >= 30"), 5).where("ref >= 30 OR query < 30").count() == 0
 
 
+def test_seeds_cost_no_more_than_exact_picks(spark):
+    rng = np.random.default_rng(9)
+    m = np.concatenate([c + rng.normal(size=(40, 5)) for c in rng.normal(size=(12, 5)) * 8])
+    cost = lambda c: ((m[:, None] - np.asarray(c)[None]) ** 2).sum(2).min(1).sum()
+
+    def exact(seed):
+        r = np.random.default_rng(seed)
+        picked = [m[r.integers(len(m))]]
+        while len(picked) < 12:
+            d = ((m[:, None] - np.array(picked)[None]) ** 2).sum(2).min(1)
+            picked.append(m[r.choice(len(m), p=d / d.sum())])
+        return picked
+
+    seeds = [[r["center"] for r in integration.seed_centroids(frame(spark, m), 12, s).collect()] for s in range(3)]
+    assert all(len(c) == 12 for c in seeds) and np.mean([cost(c) for c in seeds]) < 1.1 * np.mean([cost(exact(s)) for s in range(20)])
+    same = integration.seed_centroids(frame(spark, m).repartition(7), 12, 0).collect()
+    assert [r["center"] for r in same] == seeds[0]
+    assert integration.seed_centroids(frame(spark, np.ones((9, 3))), 4, 0).count() == 1
+
+
 def test_harmony_by_whole_matrices(spark, monkeypatch):
     """All cells in NumPy, from the same seeds; vectors of many lengths, as the original ones are corrected."""
     rng = np.random.default_rng(4)
