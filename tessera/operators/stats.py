@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from ..functions.order import counted_below
 from ..functions.special import normal_two_sided, rank_sum_exact, t_two_sided
 
@@ -35,7 +36,8 @@ def counted_cells(expr: DataFrame, cells: DataFrame, *by: str, genes: DataFrame
     cells: cell_id and by of all cells that count; genes: the matrix's genes, by default those that have rows.
     """
     cells = cells.select("cell_id", *by)
-    counts = expr.join(cells, "cell_id").groupBy("gene", *by, F.col("value").cast("double").alias("value")).agg(F.count("*").cast("double").alias("c"))
+    # written, as zeros, bounds of ranges and ranks all read it
+    counts = cut(expr.join(cells, "cell_id").groupBy("gene", *by, F.col("value").cast("double").alias("value")).agg(F.count("*").cast("double").alias("c")))
     return counts.unionByName(_grid(expr, cells, by, genes, counts.groupBy("gene", *by).agg(F.sum("c").alias("_seen"))).select("gene", *by, F.lit(0.0).alias("value"), (F.col("n") - F.col("_seen")).alias("c")).where("c > 0"))
 
 
@@ -98,7 +100,7 @@ def gene_correlation(expr: DataFrame, cells: DataFrame, by: str, genes: DataFram
     times = counted_below(cells.select("cell_id", F.col(by).alias("_t"), F.lit(1.0).alias("c")), "_t")
     whole = times.agg(F.sum("c").alias("_n"))
     times = times.crossJoin(F.broadcast(whole)).select("cell_id", (_rank() - (F.col("_n") + 1) / 2).alias("t"))
-    counts = expr.join(times, "cell_id").groupBy("gene", F.col("value").cast("double").alias("value")).agg(F.count("*").cast("double").alias("c"), F.sum("t").alias("t"))
+    counts = cut(expr.join(times, "cell_id").groupBy("gene", F.col("value").cast("double").alias("value")).agg(F.count("*").cast("double").alias("c"), F.sum("t").alias("t")))
     seen = counts.groupBy("gene").agg(F.sum("c").alias("_seen"), F.sum("t").alias("_t"))
     zeros = _grid(expr, cells, (), genes, seen).select("gene", F.lit(0.0).alias("value"), (F.col("n") - F.col("_seen")).alias("c"), (-F.col("_t")).alias("t"))
     x = counted_below(counts.unionByName(zeros.where("c > 0")), "value", "gene").crossJoin(F.broadcast(whole))
