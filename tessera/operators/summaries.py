@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.order import medians
+from . import neighbors
 from .expression import downregulated, upregulated
 
 
@@ -35,7 +38,30 @@ def phase_summary(phases: DataFrame) -> DataFrame:
 
 
 def doublet_summary(doublets: DataFrame) -> DataFrame:
-    return doublets.agg(F.count("*").alias("n"), F.count_if("is_doublet").alias("n_doublets"), F.avg("doublet_score").alias("mean"), F.median("doublet_score").alias("median"))
+    whole = doublets.agg(F.count("*").alias("n"), F.count_if("is_doublet").alias("n_doublets"), F.avg("doublet_score").alias("mean"))
+    return whole.crossJoin(medians(doublets, "doublet_score"))
+
+
+def integration_summary(corrected: DataFrame, batches: DataFrame, batch: str, k: int = 50) -> DataFrame:
+    """One row: cells, batches, and of the corrected vectors the mean and median mixing entropy and the mean inverse Simpson index among k neighbours."""
+    near = cut(neighbors.knn(corrected.select("cell_id", "v"), k))
+    mixing = neighbors.mixing_summary(neighbors.batch_mixing(near, batches, batch, k)).where("batch IS NULL").select(F.col("mean").alias("mixing_mean"), F.col("median").alias("mixing_median"))
+    lisi = neighbors.lisi(near, batches, batch, k).agg(F.avg("lisi").alias("lisi_mean"))
+    sizes = batches.join(corrected.select("cell_id"), "cell_id").agg(F.count("*").alias("n_cells"), F.count_distinct(batch).alias("n_batches"))
+    return sizes.crossJoin(mixing).crossJoin(lisi)
+
+
+def subcluster_summary(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
+    """old, new, n: how many cells each part of a split cluster has; clusters that stay whole are left out."""
+    moved = before.select("cell_id", F.col(label).alias("old")).join(after.select("cell_id", F.col(label).alias("new")), "cell_id").groupBy("old", "new").agg(F.count("*").alias("n"))
+    split = moved.groupBy("old").agg(F.count("*").alias("_parts")).where("_parts > 1").select("old")
+    return moved.join(split, "old", "left_semi")
+
+
+def merge_summary(mapping: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """new, merged (the old clusters, in order), n: the clusters that a mapping makes."""
+    sizes = labels.groupBy(F.col(label).alias("old")).agg(F.count("*").alias("n"))
+    return mapping.join(sizes, "old").groupBy("new").agg(F.array_sort(F.collect_list("old")).alias("merged"), F.sum("n").alias("n"))
 
 
 def trajectory_summary(pseudotime: DataFrame) -> DataFrame:

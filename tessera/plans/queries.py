@@ -636,7 +636,17 @@ def merge_clusters(s: SparkSession, d: str) -> DataFrame:
     return clustering.merge_clusters(e, e, "label", n_clusters=4)
 
 
-@query()
+def _auto_merge_sql(steps: int, min_size: int) -> str:
+    """Tables that send the smallest group, if it is under min_size and over two are left, to the group of the nearest center."""
+    out = ["m0 AS (SELECT DISTINCT label AS c, label AS g FROM emb)"]
+    for i in range(steps):
+        out.append(f"""s{i} AS (SELECT g, max(n) AS n, list(x ORDER BY i) AS v FROM (SELECT g, i, count(*) AS n, avg(v[i]) AS x FROM emb JOIN m{i} ON c = label, (SELECT unnest(range(1, (SELECT max(len(v)) FROM emb) + 1)) AS i) GROUP BY g, i) GROUP BY g),
+l{i} AS (SELECT * FROM s{i} ORDER BY n, g LIMIT 1), t{i} AS (SELECT l{i}.g AS small, s{i}.g AS large FROM l{i} JOIN s{i} ON s{i}.g <> l{i}.g WHERE l{i}.n < {min_size} AND (SELECT count(*) FROM s{i}) > 2 ORDER BY list_distance(s{i}.v, l{i}.v), s{i}.g LIMIT 1),
+m{i + 1} AS (SELECT c, coalesce((SELECT large FROM t{i} WHERE small = g), g) AS g FROM m{i})""")
+    return ", ".join([*out, f"merged AS (SELECT c AS old, (dense_rank() OVER (ORDER BY g) - 1)::INT AS new FROM m{steps})"])
+
+
+@query(f"WITH {EMB}, {_auto_merge_sql(8, 45)} SELECT old, new FROM merged")
 def auto_merge(s: SparkSession, d: str) -> DataFrame:
     e = inputs.emb(s, d)
     return clustering.auto_merge(e, e, "label", 45)
