@@ -24,3 +24,12 @@ def test_slices_keep_all_rows():
 
 def test_nulls_are_empty():
     assert common.null_safe_bytes(pa.array(["é", None, ""])) == ["é".encode(), b"", b""]
+
+
+def test_passing_tables_are_deleted_at_the_end(spark):
+    known = list(common._WRITTEN)
+    with common.passing(spark.range(7), "passing") as df:
+        assert df.count() == 7
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and common._WRITTEN == known
+    assert not os.path.exists(path)
