@@ -76,7 +76,7 @@ def scaled_rows(expr: DataFrame, cells: DataFrame, limit: float = 10.0) -> DataF
     genes = cut(genes.select("gene", "_m", "_s", _z(F.lit(0.0), limit).alias("_zero"), (F.row_number().over(Window.orderBy("gene")) - 1).alias("_at")))
     base = np.array([r[0] for r in genes.orderBy("_at").select("_zero").collect()])
     x = expr.join(F.broadcast(genes), "gene").groupBy("cell_id").agg(F.collect_list("_at").alias("at"), F.collect_list(_z(F.col("value"), limit)).alias("z"))
-    x = cells.select("cell_id").join(x, "cell_id", "left").select(F.col("cell_id").cast("long").alias("cell_id"), "at", "z")
+    x = cells.select("cell_id").join(x, "cell_id", "left").select("cell_id", "at", "z")
 
     def fill(batches):
         for batch in batches:
@@ -86,7 +86,7 @@ def scaled_rows(expr: DataFrame, cells: DataFrame, limit: float = 10.0) -> DataF
             m[row, at.flatten().to_numpy(zero_copy_only=False)] = z.flatten().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), arrays_of(m)], ["cell_id", "v"])
 
-    return x.mapInArrow(fill, "cell_id long, v array<double>")
+    return x.mapInArrow(fill, f"cell_id {x.schema['cell_id'].dataType.simpleString()}, v array<double>")
 
 
 def to_rows(expr: DataFrame) -> DataFrame:
