@@ -5,7 +5,8 @@ first piece taking what is left over. Full pieces fill a sequence each. The othe
 dealt into partitions of bounded size and packed best-fit decreasing. A dual-feasible
 lower bound certifies the bin count of each partition. Certified partitions give back
 their emptiest bin, those with a gap every bin that is not full; these pieces change
-partitions and are packed again, in ever fewer partitions, until one partition is left.
+partitions and are packed again, in ever fewer partitions, until one partition is left
+or a round leaves as many as it found: dealing the same pieces again would gain nothing.
 
 Null and empty texts are one end id. Each row is packed by itself, so repeated rows and
 ids are kept; other columns are ignored. An empty table gives an empty result.
@@ -27,9 +28,10 @@ from .bpe import vocabulary
 from .common import map_arrow, materialise
 
 CAPACITY = 2048
-#: Pieces of a partition; rounds of exchange.
+#: Pieces of a partition.
 PARTITION_PIECES = 100_000
-ROUNDS = 6
+#: Sequence ids of a partition.
+PARTITION_IDS = 1 << 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -150,28 +152,26 @@ def _pack_partition(capacity: int, final: bool):
     return pack
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    sequence_id has the round in its highest digits, then the partition, then the bin.
+    sequence_id counts partitions over all rounds, PARTITION_IDS each, then bins; those of full pieces are negative.
     """
     columns = parts.columns
     rows = parts.withColumn("row", F.monotonically_increasing_id())
-    out = rows.where(F.col("length") == capacity).select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = rows.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = rows.where(F.col("length") < capacity)
     schema = f"{PIECES}, row long, part long, bin long, offset long, closed boolean"
-    n = rest.count()
-    for r in range(rounds):
-        n_parts = max(1, -(-n // partition_pieces))
-        final = n_parts == 1 or r == rounds - 1
+    n, before, first, r = rest.count(), None, 0, 0
+    while n:
+        n_parts = -(-n // partition_pieces)
+        final = n_parts == 1 or n_parts == before
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(n_parts)))
         packed = materialise(dealt.groupBy("part").applyInPandas(_pack_partition(capacity, final), schema), "packed")
-        sequence = F.lit((r + 1) << 58) + F.col("part") * F.lit(1 << 24) + F.col("bin")
+        sequence = (F.col("part") + F.lit(first)) * F.lit(PARTITION_IDS) + F.col("bin")
         out = out.unionByName(packed.where("closed").select(*columns, sequence.alias("sequence_id"), "offset"))
         rest = packed.where(~F.col("closed")).select(*columns, "row")
-        n = 0 if final else rest.count()
-        if not n:
-            return out
+        n, before, first, r = 0 if final else rest.count(), n_parts, first + n_parts, r + 1
     return out
 
 

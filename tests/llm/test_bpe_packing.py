@@ -132,6 +132,17 @@ def test_exchange_meets_the_bound(spark, seed):
     assert used <= packing.certificate(packed, 2048)[1] + 3
 
 
+def test_small_partitions_go_on_until_one_is_left(spark):
+    """Partitions of 20 pieces: whatever the number of rounds, all pieces have a place and none is lost to the exchange."""
+    rng = random.Random(7)
+    lengths = [rng.choice([rng.randint(1, 40), rng.randint(300, 1200), 2048]) for _ in range(900)]
+    parts = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(parts, 2048, partition_pieces=20).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(900))
+    used = check_packing(rows, 2048)
+    assert used <= packing.certified([(n, 1) for n in lengths], 2048) * 1.1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_lower_bound_is_one(lengths):
