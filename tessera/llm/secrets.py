@@ -48,8 +48,6 @@ PRIMITIVE = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0A, 0x0C, 0x13, 0x14, 0x16, 0
 SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 SSH_TYPES = tuple(SSH_FIELDS)
 OPENSSH = b"openssh-key-v1\0"
-#: Characters within which an SSH key must have said how long it is.
-LONGEST_HEAD = 1 << 17
 
 
 def der_header(data: bytes, at: int) -> tuple[int, int, int] | None:
@@ -67,22 +65,21 @@ def der_header(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, start, start + n) if start + n <= len(data) else None
 
 
-def der_fills(data: bytes, start: int, end: int, depth: int = 0) -> int:
-    """Number of values that fill data[start:end] exactly, nested ones included; 0 if they don't."""
-    count = 0
-    while start < end:
-        head = der_header(data, start)
-        if head is None or head[2] > end or depth > 12:
-            return 0
-        tag, a, b = head
-        if tag in (0x30, 0x31) or tag & 0xE0 == 0xA0:
-            inner = der_fills(data, a, b, depth + 1) if a < b else 1
-            if not inner:
+def der_fills(data: bytes, start: int, end: int) -> int:
+    """Number of values that fill data[start:end] exactly, nested ones included at any depth; 0 if they don't."""
+    count, open_values = 0, [(start, end)]
+    while open_values:
+        start, end = open_values.pop()
+        while start < end:
+            head = der_header(data, start)
+            if head is None or head[2] > end:
                 return 0
-            count += inner
-        elif tag not in PRIMITIVE and tag & 0xE0 != 0x80:
-            return 0
-        count, start = count + 1, b
+            tag, a, b = head
+            if tag in (0x30, 0x31) or tag & 0xE0 == 0xA0:
+                open_values.append((a, b))
+            elif tag not in PRIMITIVE and tag & 0xE0 != 0x80:
+                return 0
+            count, start = count + 1, b
     return count
 
 
@@ -99,7 +96,7 @@ def is_ssh(data: bytes) -> bool:
     """Length-prefixed fields that fill data, the first a key type; or an OpenSSH private key."""
     fields, at = [], 0
     if data.startswith(OPENSSH):
-        return openssh_size(data) == len(data)
+        return openssh_size(data, len(data)) == len(data)
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
@@ -109,81 +106,84 @@ def is_ssh(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0] in SSH_TYPES
 
 
-def _fields_end(data: bytes, at: int, n: int) -> int | None:
-    """Where n length-prefixed fields end; None if data ends before that is known."""
+def _fields_end(data: bytes, at: int, n: int, most: int) -> int | None:
+    """Where n length-prefixed fields end; -1 if past `most`, None if data ends before that is known."""
     for _ in range(n):
+        if at > most:
+            return -1
         if at + 4 > len(data):
             return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
     return at
 
 
-def openssh_size(data: bytes) -> int | None:
+def openssh_size(data: bytes, most: int) -> int | None:
     """Bytes that an OpenSSH private key says it has: cipher, derivation and its options, public keys, the private part."""
-    at = _fields_end(data, len(OPENSSH), 3)
-    if at is None or at + 4 > len(data):
-        return None
+    at = _fields_end(data, len(OPENSSH), 3, most)
+    if at is None or at == -1 or at + 4 > len(data):
+        return -1 if at == -1 else None
     n = int.from_bytes(data[at : at + 4], "big")
-    return _fields_end(data, at + 4, n + 1) if n < 64 else -1
+    return _fields_end(data, at + 4, n + 1, most)
 
 
-def ssh_size(data: bytes) -> int | None:
-    """Bytes that an SSH key says it has; -1 if it can't be one, None if data ends before that is known."""
+def ssh_size(data: bytes, most: int) -> int | None:
+    """Bytes that an SSH key says it has; -1 if it can't be one of `most` bytes, None if data ends before that is known."""
     if data.startswith(OPENSSH):
-        return openssh_size(data)
+        return openssh_size(data, most)
     n = int.from_bytes(data[:4], "big")
     if n > 64:
         return -1
     if 4 + n > len(data):
         return None
     count = SSH_FIELDS.get(data[4 : 4 + n])
-    return -1 if count is None else _fields_end(data, 0, count)
+    return -1 if count is None else _fields_end(data, 0, count, most)
 
 
-def der_size(data: bytes) -> int | None:
-    """Bytes that a DER SEQUENCE says it has, its header included; -1 if it can't be a key."""
+def der_size(data: bytes, most: int) -> int | None:
+    """Bytes that a DER SEQUENCE says it has, its header included; -1 if it can't be a key of `most` bytes."""
     n, start = data[1], 2
     if n >= 0x80:
         width = n & 0x7F
         if not 1 <= width <= 4:
             return -1
         n, start = int.from_bytes(data[2 : 2 + width], "big"), 2 + width
-    return start + n if data[0] == 0x30 and data[start] in (0x02, 0x30) else -1
+    return start + n if data[0] == 0x30 and data[start] in (0x02, 0x30) and start + n <= most else -1
 
 
 def value_at(text: str, at: int, size) -> tuple[int, bytes] | None:
     """(end, bytes) of the base64 value that starts here and is as long as it declares.
 
-    Lines are taken one by one until the length is known and reached. The value ends there, padding
-    included, and must be at the end of a run of its alphabet: base64url where it has one of its signs.
+    Mostly the first line says how long that is, and lines are taken until it is reached; if it
+    doesn't, all lines that follow are decoded once. The value's own length is the only bound. It ends there,
+    padding included, and must be at the end of a run of its alphabet: base64url where it has one of its signs.
     """
-    taken, have, need, decoded = [], 0, None, b""
-    while run := RUN.match(text, at):
-        part = run[0]
-        taken.append(part)
-        have += len(part)
-        if need is None:
-            decoded = _base64("".join(taken)[: have - have % 4])
-            n = size(decoded or b"\0" * 16)
-            if n is None and have > LONGEST_HEAD:
-                return None
-            if n is not None:
-                if n < 16:
-                    return None
-                need = -(-n * 4 // 3)
-        if need is not None and have >= need:
-            end = run.end() - (have - need)
-            after = text[end : end + 1]
-            if (after.isascii() and after.isalnum()) or after in ("+", "/"):
-                return None
-            padding = re.compile(f"={{0,{-need % 4}}}").match(text, end)
-            data = _base64("".join(taken)[:need])
-            return (padding.end(), data) if data is not None else None
+    most = (len(text) - at) * 3 // 4
+    run = RUN.match(text, at)
+    n = size(_base64(run[0][: len(run[0]) & -4]), most)
+    lines, ends, have = [], [], 0
+    while run and n != -1 and (n is None or have * 3 < n * 4):
+        lines.append(run[0])
+        have += len(run[0])
+        ends.append(run.end())
         broken = LINE_BREAK.match(text, run.end())
-        if not broken:
-            return None
-        at = broken.end()
-    return None
+        run = broken and RUN.match(text, broken.end())
+    whole = "".join(lines)
+    if n is None:
+        n = size(_base64(whole[: have & -4]), most)
+    if n is None or n < 16 or have < (need := -(-n * 4 // 3)):
+        return None
+    # the line that holds the last character of the value
+    for line, stop in zip(reversed(lines), reversed(ends), strict=True):
+        have -= len(line)
+        if have < need:
+            end = stop - len(line) + need - have
+            break
+    after = text[end : end + 1]
+    if (after.isascii() and after.isalnum()) or after in ("+", "/"):
+        return None
+    padding = re.compile(f"={{0,{-need % 4}}}").match(text, end)
+    data = _base64(whole[:need])
+    return (padding.end(), data) if data is not None else None
 
 
 def _base64(text: str) -> bytes | None:

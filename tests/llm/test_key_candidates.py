@@ -51,3 +51,29 @@ def test_what_is_no_key():
             assert not secrets.confirmed_spans(text), text
     for text in ("MAKE" * 30, "MA" + "A" * 60, "AAAAB" + "A" * 5000, "MEUC" + "I" * 90, "b3BlbnNzaC1rZXktdjEA" + "/" * 400):
         assert not secrets.confirmed_spans(text), text
+
+
+@pytest.mark.parametrize("end", ["\n", "\\n", ""])
+def test_length_of_a_key_has_no_limit(end):
+    """Also where the length that decides comes behind 200,000 characters."""
+    fields = [b"ssh-rsa", bytes(range(256)) * 640, b"\0" + bytes(range(7, 256))]
+    value = base64.b64encode(wire(*fields)).decode()
+    assert len(value) > 200_000
+    text = "key: " + (lines(value, end) if end else value)
+    assert secrets.confirmed_spans(text + "\n--") == [(5, len(text), "ssh")]
+    assert not secrets.confirmed_spans(text[:-400] + "\n--")
+
+
+def test_many_public_keys_in_a_private_one():
+    data = b"openssh-key-v1\0" + wire(b"none", b"none", b"") + struct.pack(">I", 100) + wire(*[SSH] * 100, bytes(136))
+    value = lines(base64.b64encode(data).decode())
+    assert secrets.confirmed_spans(f"a\n{value}\nb") == [(2, 2 + len(value), "ssh")]
+
+
+def test_nested_values_at_any_depth():
+    data = der(0x02, b"\x01")
+    for _ in range(3000):
+        n = len(data)
+        data = bytes([0x30]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big") if n > 255 else b"\x81" + bytes([n])) + data
+    assert secrets.der_fills(data, 0, len(data)) == 3001
+    assert not secrets.der_fills(data[:-1], 0, len(data) - 1)
