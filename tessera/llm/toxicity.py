@@ -123,8 +123,14 @@ def matches(automaton: ahocorasick.Automaton | None, folded: str) -> dict[int, f
             excepted.append((start, last))
         elif w > found.get(start, 0.0):
             found[start] = w
-    for a, b in excepted:
-        for start in [s for s in found if a <= s < b]:
+    # one sweep: of the phrases that begin by a match, the one that reaches furthest decides
+    excepted.sort()
+    i, reach = 0, -1
+    for start in sorted(found) if excepted else ():
+        while i < len(excepted) and excepted[i][0] <= start:
+            reach = max(reach, excepted[i][1])
+            i += 1
+        if start < reach:
             del found[start]
     return found
 

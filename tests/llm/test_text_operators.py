@@ -4,6 +4,7 @@ import json
 import random
 import re
 import struct
+import time
 import wave
 import zlib
 from io import BytesIO
@@ -92,6 +93,32 @@ def test_exceptions_and_length():
     assert short > long > 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_exceptions_leave_out_what_they_cover(seed):
+    """Against a comparison of every match with every exception phrase."""
+    rng = random.Random(seed)
+    words = ["ab", "abc", "cd", "de", "ef"]
+    weights = {f" {w}{rng.choice(['', ' '])}": rng.random() for w in words}
+    lexicon = toxicity.Lexicon(weights, [f" {' '.join(rng.choices(words, k=rng.randint(2, 4)))} " for _ in range(6)])
+    folded = f" {' '.join(rng.choices(words, k=400))} "
+    want = {}
+    for term, w in weights.items():
+        for m in re.finditer(f"(?={term})", folded):
+            want[m.start()] = max(w, want.get(m.start(), 0.0))
+    spans = [(m.start(), m.start() + len(p) - 1) for p in lexicon.exceptions for m in re.finditer(f"(?={p})", folded)]
+    want = {s: w for s, w in want.items() if not any(a <= s < b for a, b in spans)}
+    assert toxicity.matches(lexicon.automaton(), folded) == want
+
+
+def test_time_of_exceptions_follows_the_text():
+    lexicon = toxicity.Lexicon({" bad ": 1.0}, [" bad dog "])
+    a = lexicon.automaton()
+    folded = " " + "bad dog bad cat " * 8000
+    started = time.perf_counter()
+    assert len(toxicity.matches(a, folded)) == 8000
+    assert time.perf_counter() - started < 2
+
+
 def test_learned_scores(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("bcdfgmnr") + rng.choice("aeou") for _ in range(rng.randint(1, 3)))
