@@ -346,8 +346,10 @@ def runs_by_text(docs: DataFrame, width: int = WIDTH, max_contexts: int = MAX_CO
     schema = f"{CONTEXTS}, keys array<binary>, starts array<long>"
     contexts = materialise(map_arrow(held, _context_batch(width), schema, TEXT_BYTES), "contexts")
     judged = repeated_runs(contexts.drop("keys", "starts"), width, max_contexts)
-    places = contexts.select("id", F.inline(F.arrays_zip("keys", "starts"))).withColumnsRenamed({"keys": "key", "starts": "at"})
-    runs = places.join(judged, "id").select("key", F.transform("starts", lambda s: s + F.col("at") + F.col("shift")).alias("starts"), "lengths")
+    # a context's places stay the arrays of a batch until its runs are known, so those of a common one are a row a batch
+    places = contexts.select("id", F.arrays_zip(F.col("keys").alias("key"), F.col("starts").alias("at")).alias("places"))
+    held_runs = places.join(judged, "id").select(F.explode("places").alias("p"), "shift", "starts", "lengths")
+    runs = held_runs.select("p.key", F.transform("starts", lambda s: s + F.col("p.at") + F.col("shift")).alias("starts"), "lengths")
     by_text = runs.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"))
     return held.select("key", "text"), by_text
 
