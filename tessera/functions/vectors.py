@@ -36,7 +36,29 @@ def keyed_sums(df: DataFrame, kernel: Callable[[pa.RecordBatch], tuple[np.ndarra
                 keys, totals, sums = kernel(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.float64()), arrays_of(sums)], ["key", "total", "s"])
 
-    parts = df.mapInArrow(run, "key long, total double, s array<double>")
+    return summed(df.mapInArrow(run, SUMS))
+
+
+SUMS = "key long, total double, s array<double>"
+
+
+def task_sums(df: DataFrame, kernel: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], None], n_keys: int, width: int) -> DataFrame:
+    """The same where the kernel adds each batch to a task's (totals, vectors): one row for each task and key."""
+
+    def run(batches):
+        totals, sums = np.zeros(n_keys), np.zeros((n_keys, width))
+        for batch in batches:
+            if batch.num_rows:
+                kernel(batch, totals, sums)
+        keys = np.flatnonzero(totals)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals[keys]), arrays_of(sums[keys])], ["key", "total", "s"])
+
+    return summed(df.mapInArrow(run, SUMS))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """key, total, s: the sums of rows of one key."""
     element = parts.select("key", "total", F.posexplode("s").alias("i", "e")).groupBy("key", "i").agg(F.sum("total").alias("total"), F.sum("e").alias("e"))
     return element.groupBy("key").agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("s"))
 

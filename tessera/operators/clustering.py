@@ -19,8 +19,10 @@ from pyspark.sql.window import Window
 from ..functions import tiles
 from ..functions.lineage import cut
 from ..functions.order import quantiles, with_positions
+from ..functions.vectors import gathered, matrix_of, task_sums
 from . import matrix, metrics, stats
 from .cells import expression_bins
+from .integration import candidates, picks
 from .neighbors import knn
 
 
@@ -200,25 +202,122 @@ def apply_mapping(labels: DataFrame, label: str, mapping: DataFrame) -> DataFram
     return labels.join(F.broadcast(mapping.withColumnRenamed("old", label)), label).withColumn(label, F.col("new")).drop("new")
 
 
-def subcluster(emb: DataFrame, labels: DataFrame, label: str, cluster: int, n: int = 2, seed: int = 42) -> DataFrame:
-    """cell_id, label with one cluster split: its first part keeps the id, the others follow the greatest id."""
+#: Clusters whose distances are gathered to end a hierarchy.
+LINKED = 1_024
+
+
+class _NearestByWard:
+    """The nearest streamed cluster of each held one by Ward's distance and then id; x is a cluster's number of cells."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, sizes: pa.Array):
+        self.ids, self.v, self.sizes = ids, v, sizes.to_numpy(zero_copy_only=False)
+        self.d, self.to = np.full(len(ids), np.inf), np.full(len(ids), -1, np.int64)
+
+    def add(self, ids: np.ndarray, v: np.ndarray, sizes: pa.Array) -> None:
+        theirs = sizes.to_numpy(zero_copy_only=False)
+        for rows in tiles.pieces(len(self.ids)):
+            x, own, size = self.v[rows], self.ids[rows], self.sizes[rows]
+            weight = 2 * size[:, None] * theirs[None] / (size[:, None] + theirs[None])
+            d2 = tiles.squared_distances(x, v)
+            low, high = (d2 - tiles.slack(x, v)[:, None]) * weight, (d2 + tiles.slack(x, v)[:, None]) * weight
+            same = own[:, None] == ids[None]
+            low[same], high[same] = np.inf, np.inf
+            row, col = np.nonzero((low <= np.minimum(high.min(1), self.d[rows] ** 2 * (1 + 1e-9))[:, None]) & ~same)
+            if len(row):
+                d = tiles.exact_distances(x, v, row, col) * np.sqrt(weight[row, col])
+                order = np.lexsort((ids[col], d, row))
+                row, to, d = row[order], ids[col][order], d[order]
+                row, at = np.unique(row, return_index=True)
+                better = (d[at] < self.d[rows][row]) | ((d[at] == self.d[rows][row]) & (to[at] < self.to[rows][row]))
+                self.d[rows.start + row[better]], self.to[rows.start + row[better]] = d[at][better], to[at][better]
+
+    def rows(self) -> pa.RecordBatch:
+        found = self.to >= 0
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[found]), pa.array(self.to[found]), pa.array(self.d[found])], ["a", "b", "d"])
+
+
+def ward_merges(emb: DataFrame, linked: int = LINKED) -> DataFrame:
+    """a, b, d, round, place: the cluster of b joins that of a at Ward's distance d. A cluster goes by its least cell_id, so each b joins once.
+
+    Equal vectors are one cluster to begin with, by their number. In a round all pairs merge that are each other's nearest, which by Ward's
+    distance gives the hierarchy that merging the nearest pair of all gives; rounds are over the task grid, until `linked` clusters are left,
+    of which the distances are gathered.
+    """
+    spark = emb.sparkSession
+    x = emb.select(F.col("cell_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    nodes = cut(x.groupBy("v").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("x")).select("id", "v", "x"))
+    out = spark.createDataFrame([], "a long, b long, d double, round int, place int")
+    n, r = nodes.count(), 0
+    while n > max(1, linked):
+        found = tiles.tiled(nodes, nodes, _NearestByWard, "a long, b long, d double").groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+        ends = found.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"), F.col("m.d").alias("d"))
+        pairs = cut(ends.groupBy("a", "b").agg(F.min("d").alias("d"), F.count("*").alias("n")).where("n = 2").drop("n"))
+        gone = nodes.join(pairs, F.col("id") == F.col("b")).select("a", F.col("v").alias("vb"), F.col("x").alias("xb"))
+        mean = F.zip_with("v", "vb", lambda p, q: (p * F.col("x") + q * F.col("xb")) / (F.col("x") + F.col("xb")))
+        left = nodes.join(pairs.select(F.col("b").alias("id")), "id", "left_anti").join(gone, F.col("id") == F.col("a"), "left")
+        nodes = cut(left.select("id", F.when(F.col("a").isNull(), F.col("v")).otherwise(mean).alias("v"), (F.col("x") + F.coalesce("xb", F.lit(0.0))).alias("x")))
+        out = out.unionByName(pairs.select("a", "b", "d", F.lit(r).alias("round"), F.lit(0).alias("place")))
+        n, r = n - pairs.count(), r + 1
+    rows = nodes.orderBy("id").collect()
+    v, sizes = np.array([w["v"] for w in rows], float).reshape(len(rows), -1), np.array([w["x"] for w in rows])
+    if len(rows) > 1:
+        i, j = np.triu_indices(len(rows), 1)
+        d = np.zeros((len(rows),) * 2)
+        d[i, j] = d[j, i] = tiles.exact_distances(v, v, i, j) * np.sqrt(2 * sizes[i] * sizes[j] / (sizes[i] + sizes[j]))
+        names, last = [w["id"] for w in rows], []
+        for place, (p, q, height, _) in enumerate(linkage(d, "ward", list(sizes))):
+            a, b = sorted((names[p], names[q]))
+            names.append(a)
+            last.append((a, b, height, r, place))
+        out = out.unionByName(spark.createDataFrame(last, out.schema))
+    return out
+
+
+def hierarchical(emb: DataFrame, n: int, merges: DataFrame | None = None) -> DataFrame:
+    """cell_id, label: n clusters of Ward's hierarchy (or of the given ward_merges), numbered by their least cell_id.
+
+    Equal vectors stay together: ValueError where fewer than n differ.
+    """
+    merges = cut(ward_merges(emb)) if merges is None else merges
+    x = emb.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("v").cast("array<double>").alias("v"))
+    roots = x.groupBy("v").agg(F.min("cell_id").alias("id"))
+    if merges.count() + 1 < n:
+        raise ValueError("too few different cells to split")
+    undone = merges.orderBy(F.desc("d"), F.desc("round"), F.desc("place"), F.desc("b")).limit(n - 1).select("b")
+    up = cut(merges.join(F.broadcast(undone), "b", "left_anti").select("b", "a"))
+    while True:
+        longer = cut(up.join(up.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select("b", F.coalesce("top", "a").alias("a"), F.col("top").isNotNull().alias("moved")))
+        up = longer.select("b", "a")
+        if longer.where("moved").isEmpty():
+            break
+    of = roots.join(up, F.col("id") == F.col("b"), "left").select("v", F.coalesce("a", "id").alias("root"))
+    number = {w["root"]: i for i, w in enumerate(of.select("root").distinct().orderBy("root").collect())}
+    names = F.broadcast(emb.sparkSession.createDataFrame(list(number.items()), "root long, label int"))
+    return x.join(of.join(names, "root"), "v").select("cell_id", "label")
+
+
+def subcluster(emb: DataFrame, labels: DataFrame, label: str, cluster: int, n: int = 2, seed: int = 42, method: str = "kmeans") -> DataFrame:
+    """cell_id, label with one cluster split by k-means or hierarchically: its first part keeps the id, the others follow the greatest id."""
+    if method not in ("kmeans", "hierarchical"):
+        raise ValueError("method is kmeans or hierarchical")
     part = emb.join(labels.where(F.col(label) == cluster), "cell_id", "left_semi")
     if part.count() < n:
         raise ValueError("too few cells to split")
     top = labels.agg(F.max(label)).first()[0]
-    sub = kmeans(part, n, seed)[0].select("cell_id", F.col("label").alias("_sub"))
+    parts = kmeans(part, n, seed)[0] if method == "kmeans" else hierarchical(part, n)
+    sub = parts.select("cell_id", F.col("label").alias("_sub"))
     new = F.when(F.col("_sub").isNull(), F.col(label)).when(F.col("_sub") == 0, F.lit(cluster)).otherwise(F.lit(top) + F.col("_sub"))
     return labels.select("cell_id", label).join(sub, "cell_id", "left").select("cell_id", new.cast("int").alias(label))
 
 
-def subcluster_recursive(emb: DataFrame, labels: DataFrame, label: str, min_size: int = 50, max_depth: int = 3, n: int = 2, seed: int = 42) -> DataFrame:
+def subcluster_recursive(emb: DataFrame, labels: DataFrame, label: str, min_size: int = 50, max_depth: int = 3, n: int = 2, seed: int = 42, method: str = "kmeans") -> DataFrame:
     """Splits clusters of n * min_size cells or more, max_depth times; labels become consecutive."""
     for _ in range(max_depth):
         large = [r[0] for r in labels.groupBy(label).count().where(F.col("count") >= n * min_size).collect()]
         if not large:
             break
         for c in sorted(large):
-            labels = cut(subcluster(emb, labels, label, c, n, seed))
+            labels = cut(subcluster(emb, labels, label, c, n, seed, method))
     ids = {r[0]: i for i, r in enumerate(labels.select(label).distinct().orderBy(label).collect())}
     return apply_mapping(labels, label, _mapping(emb.sparkSession, list(ids.items()), "int"))
 
@@ -229,9 +328,103 @@ def hashed_sample(emb: DataFrame, iteration: int, fraction: float, seed: int) ->
     return emb.where(u < fraction)
 
 
+#: Neighbours that are searched first for a cell's nearest sampled one.
+FIRST_NEAR = 4
+
+
 def bootstrap_labels(emb: DataFrame, k: int, n_bootstrap: int = 100, fraction: float = 0.8, seed: int = 42, cluster: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """iter, cell_id, label, sampled: every cell's label in each resampled clustering; the others take their nearest sampled cell's."""
-    cluster = cluster or (lambda x, s: kmeans(x, k, s, 1)[0])
+    """iter, cell_id, label, sampled: every cell's label in each resampled clustering; the others take their nearest sampled cell's.
+
+    k-means of all runs is done at once (keyed_kmeans), and one search finds the sampled neighbours in all runs, so the number of
+    jobs is independent of the number of runs. A run that samples no cell has no rows. A function `cluster` of (sample, seed) is called run by run.
+    """
+    if cluster is not None:
+        return _bootstrap_one_by_one(emb, n_bootstrap, fraction, seed, cluster)
+    u = lambda i: F.pmod(F.xxhash64(F.lit(seed), i, "cell_id"), F.lit(1_000_003)) / 1_000_003
+    runs = F.sequence(F.lit(0), F.lit(n_bootstrap - 1))
+    x = cut(emb.select("cell_id", F.col("v").cast("array<double>").alias("v"), F.transform(runs, lambda i: u(i) < fraction).alias("sampled")).withColumn("cell_id", F.col("cell_id").cast("long")))
+    centers = keyed_kmeans(x, n_bootstrap, k, seed)
+
+    def nearest(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v, inside = matrix_of(batch.column("v")), _flags(batch.column("sampled"))
+                codes = np.full(inside.shape, -1, np.int32)
+                for run, c in enumerate(centers):
+                    rows = np.flatnonzero(inside[:, run])
+                    if len(c) and len(rows):
+                        codes[rows, run] = tiles.squared_distances(v[rows], c).argmin(1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * codes.shape[1], pa.int32()), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("cell_id"), lists], ["cell_id", "own"])
+
+    own = cut(x.mapInArrow(nearest, "cell_id long, own array<int>"))
+    points, lacks = x.select("cell_id", "v"), F.exists("codes", lambda c: c < 0)
+    every = own.withColumn("codes", F.col("own"))
+    rest, out, m, n = every.where(lacks), every.where(~lacks), FIRST_NEAR, x.count()
+    while n > 1 and not rest.isEmpty():
+        near = knn(points.join(rest, "cell_id", "left_semi"), m, points).join(own.select(F.col("cell_id").alias("dst"), F.col("own").alias("theirs")), "dst")
+        ranked = near.groupBy(F.col("src").alias("cell_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "theirs"))).alias("near"))
+        first = F.aggregate("near", F.col("codes"), lambda found, x: F.zip_with(found, x["theirs"], lambda a, b: F.when(a >= 0, a).otherwise(b)))
+        filled = cut(rest.join(ranked, "cell_id").select("cell_id", "own", first.alias("codes")))
+        out = out.unionByName(filled if m >= n - 1 else filled.where(~lacks))
+        if m >= n - 1:
+            break
+        rest, m = filled.where(lacks), 4 * m
+    flat = out.select("cell_id", F.posexplode(F.arrays_zip("own", "codes")).alias("iter", "x"))
+    return flat.select("iter", "cell_id", F.col("x.codes").alias("label"), (F.col("x.own") >= 0).alias("sampled")).where("label >= 0")
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    """An array<boolean> column of equal lengths as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(len(column), -1)
+
+
+def keyed_kmeans(x: DataFrame, n_runs: int, k: int, seed: int, max_iter: int = 20, tol: float = 1e-4) -> list[np.ndarray]:
+    """Centers of k-means in each run, over the cells that it samples. x: cell_id, v, sampled array<boolean>, a flag for each run.
+
+    One pass over the cells does a step of all runs: a task sends sums for each run and center, whatever the number of its cells.
+    Seeds are drawn for each run among the same candidates, weighted by the run's cells nearest to them.
+    """
+    pool = candidates(x, k, seed)
+
+    def weigh(batch: pa.RecordBatch, totals: np.ndarray, sums: np.ndarray) -> None:
+        near = tiles.squared_distances(matrix_of(batch.column("v")), pool).argmin(1)
+        np.add.at(sums, near, _flags(batch.column("sampled")))
+        np.add.at(totals, near, 1)
+
+    weights = gathered(task_sums(x.select("v", "sampled"), weigh, len(pool), n_runs), len(pool), n_runs)[1]
+    centers = [pool[picks(pool, w, k, np.random.default_rng(seed + i))] if w.any() else pool[:0] for i, w in enumerate(weights.T)]
+    moving = [i for i in range(n_runs) if len(centers[i])]
+    for _ in range(max_iter):
+        if not moving:
+            break
+
+        def step(batch: pa.RecordBatch, totals: np.ndarray, sums: np.ndarray, moving=tuple(moving), centers=tuple(centers)) -> None:
+            v, inside = matrix_of(batch.column("v")), _flags(batch.column("sampled"))
+            for run in moving:
+                rows = v[inside[:, run]]
+                if len(rows):
+                    to = tiles.squared_distances(rows, centers[run]).argmin(1)
+                    own = slice(run * k, run * k + len(centers[run]))
+                    one = to[None] == np.arange(len(centers[run]))[:, None]
+                    totals[own] += one.sum(1)
+                    sums[own] += one.astype(float) @ rows
+
+        width = pool.shape[1]
+        totals, sums = gathered(task_sums(x.select("v", "sampled"), step, n_runs * k, width), n_runs * k, width)
+        still = []
+        for run in moving:
+            own = slice(run * k, run * k + len(centers[run]))
+            seen = totals[own, None] > 0
+            new = np.where(seen, sums[own] / np.maximum(totals[own, None], 1), centers[run])
+            if ((new - centers[run]) ** 2).sum(1).max() > tol * tol:
+                still.append(run)
+            centers[run] = new
+        moving = still
+    return centers
+
+
+def _bootstrap_one_by_one(emb: DataFrame, n_bootstrap: int, fraction: float, seed: int, cluster: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     out = None
     for i in range(n_bootstrap):
         sample = hashed_sample(emb, i, fraction, seed)
