@@ -673,10 +673,16 @@ def subcluster(s: SparkSession, d: str) -> DataFrame:
     return clustering.subcluster(e, e.select("cell_id", "label"), "label", 0, 2)
 
 
+@query()
+def subcluster_hierarchical(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.emb(s, d)
+    return clustering.subcluster(e, e.select("cell_id", "label"), "label", 0, 2, method="hierarchical")
+
+
 @query()
 def stability(s: SparkSession, d: str) -> DataFrame:
     e = inputs.emb(s, d)
-    return rounded(clustering.stability(clustering.bootstrap_labels(e.select("cell_id", "v"), 5, 3), e, "label"), "cell_stability", "cell_stability_raw")
+    return rounded(clustering.stability(clustering.bootstrap_labels(e.select("cell_id", "v"), 5), e, "label"), "cell_stability", "cell_stability_raw")
 
 
 @query()
