@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_dir
 from ..functions.special import erfc_sql
-from ..operators import annotation, cells as cell_ops, clustering, encoders, expression, integration, losses, matrix, metrics, neighbors, plots, stats, trajectory
+from ..operators import annotation, attention, cells as cell_ops, clustering, encoders, expression, integration, losses, matrix, metrics, neighbors, plots, stats, trajectory
 from ..operators.estimator import GraphClustering
 from ..sources import io
 from ..streaming.qc import windowed_counts
@@ -893,6 +893,30 @@ def graph_attention(s: SparkSession, d: str) -> DataFrame:
     return _flat(encoders.graph_attention(e, neighbors.knn(e, 5), *ATTENTION))
 
 
+_RNG = np.random.default_rng(1)
+#: A layer of two heads of three dimensions, with the gain and shift of its norm.
+LAYER = [_RNG.normal(0, 0.2, s) for s in ((64, 6), (64, 6), (2, 3), (1, 6), (1, 6))]
+
+
+def _head_sql(h: int) -> str:
+    """x: the vectors of one head, summed over the edges into each cell by the softmax of their scores."""
+    (source, target), a = (w[:, 3 * h : 3 * h + 3] for w in LAYER[:2]), LAYER[2][h]
+    return f"""st{h} AS (SELECT cell_id, {_product(source)} AS s, {_product(target)} AS t FROM emb),
+x{h} AS (SELECT src, dst, a.s, list_dot_product(list_transform(list_zip(a.s, b.t), lambda z: CASE WHEN z[1] + z[2] > 0 THEN z[1] + z[2] ELSE 0.2 * (z[1] + z[2]) END), {_vector(a)}) AS e FROM e JOIN st{h} a ON a.cell_id = src JOIN st{h} b ON b.cell_id = dst),
+p{h} AS (SELECT *, exp(e - max(e) OVER (PARTITION BY dst)) AS p FROM x{h}),
+o{h} AS (SELECT dst, {', '.join(f'sum(p * s[{i}]) / sum(p)' for i in (1, 2, 3)).join(('[', ']'))} AS o FROM p{h} GROUP BY dst)"""
+
+
+@query(f"""WITH {EMB}, {nearest(5)}, e AS (SELECT src, dst FROM nn UNION SELECT dst, src FROM nn UNION SELECT cell_id, cell_id FROM emb), {_head_sql(0)}, {_head_sql(1)},
+o AS (SELECT dst, list_concat(o0.o, o1.o) AS o FROM o0 JOIN o1 USING (dst)), m AS (SELECT *, list_avg(o) AS mean, sqrt(list_var_pop(o) + 1e-5) AS sd FROM o),
+z AS (SELECT dst, list_transform(list_zip(o, {_vector(LAYER[3][0])}, {_vector(LAYER[4][0])}), lambda z: (z[1] - mean) / sd * z[2] + z[3]) AS z FROM m)
+SELECT dst AS cell_id, {', '.join(f"{q6(f'z[{i + 1}]')} AS v{i}" for i in range(6))} FROM z""".replace("list_var_pop(o)", "(list_avg(list_transform(o, lambda y: (y - list_avg(o)) ** 2)))"))
+def attention_layer(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.emb(s, d).select("cell_id", "v")
+    near = neighbors.knn(e, 5).withColumn("w", F.lit(1.0))
+    return _flat(attention.attend(e, attention.both_ways(near, e), LAYER), 6)
+
+
 # --- iterative ---
 
 
@@ -959,6 +983,14 @@ def graph_clustering(s: SparkSession, d: str) -> DataFrame:
     return rounded(model.predict(model.embeddings(e, estimator.graph(e))), "confidence")
 
 
+@query()
+def attention_clustering(s: SparkSession, d: str) -> DataFrame:
+    e = inputs.emb(s, d).select("cell_id", "v")
+    estimator = GraphClustering(n_clusters=5, encoder_type="gat", pretrain_epochs=20, ssc_epochs=10)
+    model = estimator.fit(e)
+    return rounded(model.predict(model.embeddings(e, estimator.graph(e))), "confidence")
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(s: SparkSession, d: str) -> DataFrame:
     return windowed_counts(inputs.read(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
