@@ -32,16 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Tables that this process has written to the shared folder.
+#: Tables that this process has written to the shared folder, and who wrote them where that was said.
 _WRITTEN: list[str] = []
+_OWNERS: dict[str, str] = {}
+_OWNER: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that materialise() has written, once their results are no longer needed; returns their number."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
-    return n
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables written within the block belong to this owner, or to that of a block within it."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def release(spark: SparkSession, owner: str | None = None) -> int:
+    """Deletes the tables that materialise() has written, those of one owner or all, once their results are no longer needed; returns their number."""
+    gone = [path for path in _WRITTEN if owner is None or _OWNERS.get(path) == owner]
+    for path in gone:
+        _WRITTEN.remove(path)
+        _OWNERS.pop(path, None)
+        _delete(spark, path)
+    return len(gone)
 
 
 def _delete(spark: SparkSession, name: str) -> None:
@@ -55,6 +69,7 @@ def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
     known = len(_WRITTEN)
     table = materialise(df, name)
     path = _WRITTEN.pop(known)
+    _OWNERS.pop(path, None)
     try:
         yield table
     finally:
@@ -67,6 +82,8 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not keep:
         _WRITTEN.append(path)
+        if _OWNER:
+            _OWNERS[path] = _OWNER[-1]
     before = spark.conf.get(BATCH_CONF)
     spark.conf.set(BATCH_CONF, str(BATCH_ROWS))  # rows can be whole texts, and a batch is in memory on either side
     try:

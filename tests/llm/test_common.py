@@ -33,3 +33,17 @@ def test_passing_tables_are_deleted_at_the_end(spark):
         path = df.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path) and common._WRITTEN == known
     assert not os.path.exists(path)
+
+
+def test_an_owner_releases_its_own_tables(spark):
+    common.release(spark)
+    with common.owned("a"):
+        first = common.materialise(spark.range(3), "first")
+        with common.owned("b"):
+            second = common.materialise(spark.range(4), "second")
+    third = common.materialise(spark.range(5), "third")
+    assert common.release(spark, "a") == 1 and common.release(spark, "a") == 0
+    assert second.count() == 4 and third.count() == 5
+    assert len(common._WRITTEN) == 2
+    assert common.release(spark) == 2 and common._OWNERS == {}
+    assert first.columns == ["id"]
