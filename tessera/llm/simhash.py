@@ -17,6 +17,15 @@ each fingerprint is compared with its own 64 neighbours at one bit: two that sha
 neighbour are within 2 of each other by the triangle inequality, and any two within 2
 share one. So the work stays in proportion to the rows whatever a bucket holds.
 
+keep_one() can link texts by the Jaccard similarity of their shingles instead (see similar), of
+which 0.8 means about ten differing bits, often 15. Hardly a block stays equal then, so there
+each text has VIEWS more fingerprints whose shingles have weights, and in each block others:
+u ** -3 for a u in (0, 1) from the shingle's hash. Few shingles outweigh the rest in a block,
+and texts at 0.8 share them more often than not, so its bits differ all together or not at
+all. Pairs are those with equal coordinates in four blocks of a view. The distances of
+the plain fingerprints to the pivots, and their bits, discard pairs beyond the radius of the
+similarity; the sets of shingles verify.
+
 Null, empty and white-space texts have fingerprint zero and are linked like any other.
 Repeated rows give repeated result rows; a null doc_id takes part, and counts as larger
 than any id. Other columns are ignored.
@@ -24,6 +33,7 @@ than any id. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, null_safe_bytes
-from .similar import similar_sets
+from .similar import MIX, similar_sets
 
 RADIUS = 2
 SEED = 42
@@ -44,6 +54,11 @@ REFERENCES = 7
 #: Distinct fingerprints of a bucket that are still compared by pairs.
 BUCKET = 1024
 MAX_ROUNDS = 60
+#: Fingerprints with weights, of texts that are linked by similarity.
+VIEWS = 9
+_RANDOM = np.random.default_rng(9)
+FACTORS = _RANDOM.integers(1 << 63, size=(VIEWS, len(BLOCKS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TERMS = _RANDOM.integers(1 << 63, size=(VIEWS, len(BLOCKS)), dtype=np.uint64)
 
 
 def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -68,6 +83,37 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def weighted_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """VIEWS fingerprints of each of these sets of shingle hashes, none of which is empty.
+
+    A bit is 1 if the shingles that have it outweigh the others. Both the weights and the bits of
+    the shingles are of the block: the weight is in the upper half of a mixed hash, the bits in the lower.
+    """
+    data, heads = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
+    out = np.zeros((len(sets), VIEWS), np.uint64)
+    for view in range(VIEWS):
+        for block, (low, high) in enumerate(BLOCKS):
+            x = data * FACTORS[view, block] + TERMS[view, block]
+            x = (x ^ (x >> np.uint64(32))) * MIX
+            x ^= x >> np.uint64(29)
+            u = ((x >> np.uint64(32)).astype(np.float32) + np.float32(1)) * np.float32(2**-32)
+            weights = (1 / (u * u * u)).view(np.uint32)
+            places = np.arange(high - low, dtype=np.uint32)[:, None]
+            signs = (x.astype(np.uint32) << places) & np.uint32(1 << 31)  # turns the sign of a float32
+            ones = np.add.reduceat((signs ^ weights).view(np.float32), heads, axis=1) < 0
+            out[:, view] |= np.bitwise_or.reduce(ones.astype(np.uint64) << (places + low).astype(np.uint64), axis=0)
+    return out
+
+
+def radius_of(similarity: float) -> int:
+    """Bits in which plain fingerprints of texts of this similarity differ, and 5 standard deviations more.
+
+    A bit differs with the angle between two sets as vectors, whose cosine is 2s / (1 + s) at least.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every document."""
 
@@ -111,8 +157,19 @@ def coordinates(i: int) -> Column:
     return F.col("d0").bitwiseOR(high) - F.col(f"d{i + 1}")
 
 
-def _close(a: str, b: str) -> Column:
-    """No distance to a pivot differs by more than RADIUS, and neither do the fingerprints themselves."""
+def block_keys(blocks: int, *first: Column) -> Column:
+    """A key for each choice of so many blocks of what pivot_table() returns: equal where their coordinates and `first` are."""
+    return F.array(*(F.xxhash64(*first, F.lit(t), *(coordinates(i) for i in chosen)) for t, chosen in enumerate(combinations(range(len(BLOCKS)), blocks))))
+
+
+def meeting_places(sets: DataFrame) -> DataFrame:
+    """(node, key) of sets with `views`, their fingerprints with weights; sets that meet share a key."""
+    table = pivot_table(sets.select("node", F.posexplode("views").alias("view", "fp")))
+    return table.select("node", F.explode(block_keys(4, F.col("view"))).alias("key"))
+
+
+def _close(a: str, b: str, radius: int = RADIUS) -> Column:
+    """No distance to a pivot differs by more than the radius, and neither do the fingerprints themselves."""
 
     def at(side: str, i: int, k: int) -> Column:
         return F.shiftrightunsigned(F.col(f"{side}.d{i}"), 8 * k).bitwiseAND(F.lit(255))
@@ -120,15 +177,14 @@ def _close(a: str, b: str) -> Column:
     kept = F.lit(True)
     for i in range(len(BLOCKS) + 1):
         for k in range(REFERENCES):
-            kept = kept & (F.abs(at(a, i, k) - at(b, i, k)) <= RADIUS)
-    return kept & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
+            kept = kept & (F.abs(at(a, i, k) - at(b, i, k)) <= radius)
+    return kept & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius)
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints fps.fp that connect all those within RADIUS."""
-    keys = F.array(*(F.xxhash64(F.lit(t), *(coordinates(i) for i in triple)) for t, triple in enumerate(combinations(range(len(BLOCKS)), 3))))
     table = pivot_table(fps.select("fp"))
-    rows = materialise(table.select(*table.columns, F.explode(keys).alias("key")), "pivot_rows")
+    rows = materialise(table.select(*table.columns, F.explode(block_keys(3)).alias("key")), "pivot_rows")
     sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "pivot_buckets")
     small = rows.join(sizes.where(F.col("n") <= bucket).select("key"), "key", "left_semi")
     found = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _close("x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
@@ -200,7 +256,11 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | No
         marks = materialise(map_arrow(numbered, kernel, "row long, doc_id long, node long"), "fingerprints")
         roots = components(links(materialise(marks.select(F.col("node").alias("fp")).distinct(), "classes")))
     else:
-        marks, roots = similar_sets(held, row, shingles, similarity, components)
+
+        def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            return np.array([fingerprint(x) for x in sets], np.uint64), weighted_fingerprints(sets)
+
+        marks, roots = similar_sets(held, row, shingles, similarity, sketch, pivot_table, meeting_places, _close("x", "y", radius_of(similarity)), components)
     named = marks.where(F.col("doc_id").isNotNull()).select("row", "doc_id", "node").join(roots.select("node", "root"), "node", "left")
     named = materialise(named.select("row", "doc_id", F.coalesce("root", "node").alias("root")), "named")
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("n")).where("n > 1").select("root", F.col("least.row").alias("first"))

@@ -1,13 +1,9 @@
 """Groups of texts by the Jaccard similarity of their word shingles.
 
 Texts are linked whose sets of shingles have a similarity of `similarity` or more; a group is
-everything reachable over links. Candidates come from a MinHash signature of 100 values: sets
-that agree in all five values of one of 20 bands share a bucket, which a pair of similarity 0.8
-misses with a probability of 4 in 10,000, and more alike ones less. Every link is verified on
-the sets themselves.
-
-Of 64 SimHash bits, texts at 0.8 differ by about ten, often by 15: no bands of 64 bits stay
-equal then, so tables over fingerprints cannot give candidates at this similarity.
+everything reachable over links. Candidates come from SimHash fingerprints and their distances to
+pivots (see simhash): sets with equal coordinates in four of the five blocks of one of nine
+fingerprints share a bucket. Every link is verified on the sets themselves.
 
 In a bucket all sets are compared with one of them first, and the links found make groups.
 Then pairs of sets that are in different groups still are compared. So a large group of near
@@ -15,10 +11,12 @@ copies costs work in proportion to its rows, and no pair of a bucket is left out
 join two groups. The first centre of a bucket is the set that shares most, which in a family of
 near copies is the text they come from. Three things discard pairs before they are verified:
 the sizes; the parities of the members' hashes in 1024 places, which cannot differ in more places
-than the sets in members (both lose no pair); and four bits of 96 of the values, 5 standard
-deviations below what is expected at the limit.
+than the sets in members (both lose no pair); and the distances of the plain fingerprints to the
+pivots and to each other, 5 standard deviations beyond what is expected at the limit.
 
 Equal sets are one, named by 64 bits. Null and empty texts have the empty set, and are equal.
+
+MinHash signatures and their bands are what the recall of these candidates is compared with.
 """
 
 from __future__ import annotations
@@ -34,14 +32,14 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialise, null_safe_bytes
 
 BANDS, BAND_VALUES = 20, 5
-#: Values of which the sketch holds four bits each, 16 in a long.
-SKETCHED, SKETCH_LONGS = 96, 6
+#: Values of which four bits each are compared.
+SKETCHED = 96
 #: Places of the parities, 64 in a long.
 PARITY_BITS = 1024
 LEAST_SIMILARITY = 0.8
 SLICE = 1 << 20
 #: What discards pairs.
-MEASURED = ("size", "parity", "sketch")
+MEASURED = ("size", "parity", "fp", *(f"d{i}" for i in range(6)))
 _RANDOM = np.random.default_rng(42)
 FACTORS = _RANDOM.integers(1 << 63, size=BANDS * BAND_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RANDOM.integers(1 << 63, size=BANDS * BAND_VALUES, dtype=np.uint64)
@@ -67,11 +65,6 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketches(values: np.ndarray) -> np.ndarray:
-    nibbles = values[:, :SKETCHED].reshape(len(values), SKETCH_LONGS, 16) & np.uint64(15)
-    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
-
-
 def parities(members: np.ndarray) -> np.ndarray:
     """For each of PARITY_BITS places, whether an odd number of members falls there."""
     odd = np.bincount((members % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
@@ -96,44 +89,32 @@ def is_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _sketch_batch(shingles):
-    """row, doc_id, node (the set's name), size, parity, sketch and bands of texts."""
+def _sketch_batch(shingles, sketch):
+    """row, doc_id, node (the set's name), size, parity, fp and views of texts."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingles(t)) for t in null_safe_bytes(batch.column(2))]
         names = np.array([set_name(s) for s in sets], np.uint64).view(np.int64)
-        bands, sketch, parity = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+        fps, views, parity = np.zeros(len(sets), np.uint64), [None] * len(sets), [None] * len(sets)
         full = [i for i, s in enumerate(sets) if len(s)]
         if full:
-            values = signatures([sets[i] for i in full])
-            for i, k, s in zip(full, band_keys(values).view(np.int64).tolist(), sketches(values).view(np.int64).tolist(), strict=True):
-                bands[i], sketch[i], parity[i] = k, s, parities(sets[i]).tolist()
+            fps[full], found = sketch([sets[i] for i in full])
+            for i, v in zip(full, found.view(np.int64).tolist(), strict=True):
+                views[i], parity[i] = v, parities(sets[i]).tolist()
         longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array([len(s) for s in sets], pa.int64()), pa.array(parity, longs), pa.array(sketch, longs), pa.array(bands, longs)], ["row", "doc_id", "node", "size", "parity", "sketch", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array([len(s) for s in sets], pa.int64()), pa.array(parity, longs), pa.array(fps.view(np.int64)), pa.array(views, longs)], ["row", "doc_id", "node", "size", "parity", "fp", "views"])
 
     return kernel
 
 
-def _agreement() -> Column:
-    """Values that the sketches x.sketch and y.sketch have in common."""
-    ones = F.lit(0x1111111111111111)
-    differ = F.lit(0)
-    for i in range(SKETCH_LONGS):
-        x = F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(ones))
-    return F.lit(SKETCHED) - differ
-
-
 def _may_be_similar(similarity: float) -> Column:
-    """False for pairs x, y that are not: by their sizes and parities for certain, by their sketches nearly so."""
+    """False for pairs x, y that are certainly not, by their sizes and parities."""
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     differ = F.lit(0)
     for i in range(PARITY_BITS // 64):
         differ = differ + F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i]))
     most = (small + large) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return (small >= similarity * large - 1e-6) & (differ <= most) & (_agreement() >= least_agreement(similarity))
+    return (small >= similarity * large - 1e-6) & (differ <= most)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingles, similarity: float) -> DataFrame:
@@ -154,37 +135,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingles, si
     return materialise(map_arrow(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y"), verify, "a long, b long"), "similar")
 
 
-def similar_sets(held: DataFrame, row: str, shingles, similarity: float, components) -> tuple[DataFrame, DataFrame]:
+def similar_sets(held: DataFrame, row: str, shingles, similarity: float, sketch, pivot_table, places, close: Column, components) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, node of every text; node, root of the sets in groups of more than one).
 
     held is a written table with `row`, a number of each of its rows, doc_id and text. shingles gives
-    the hashes of a text, components the roots of edges (a, b).
+    the hashes of a text, sketch the plain fingerprint of each of some sets and those with weights,
+    pivot_table adds the distances of fp to the pivots, places gives the keys at which sets meet,
+    close says of a pair x, y whether fp may be those of similar sets, components the roots of edges (a, b).
     """
     if similarity < LEAST_SIMILARITY:
         raise ValueError(f"signatures are made for similarities of {LEAST_SIMILARITY} or more")
     texts = held.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = materialise(map_arrow(texts, _sketch_batch(shingles), "row long, doc_id long, node long, size long, parity array<long>, sketch array<long>, bands array<long>", SLICE), "sketches")
+    marks = materialise(map_arrow(texts, _sketch_batch(shingles, sketch), "row long, doc_id long, node long, size long, parity array<long>, fp long, views array<long>", SLICE), "sketches")
     nodes = materialise(marks.groupBy("node").agg(F.min("row").alias("row")), "shingle_sets")
-    chosen = materialise(marks.join(nodes, ["node", "row"]).select("node", *MEASURED, "bands"), "chosen_sketches")
-    placed = chosen.select("node", F.explode("bands").alias("key"))
+    chosen = materialise(pivot_table(marks.join(nodes, ["node", "row"]).select("node", "size", "parity", "fp", "views")), "chosen_sketches")
+    placed = places(chosen)
     sizes = materialise(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared_keys")
-    # most bands are of one set alone: sketches join those that are not
+    # most places are of one set alone: sketches join those that are not
     shared = materialise(placed.join(sizes, "key"), "shared_places")
-    # a set that many others are near to shares more bands with more sets than they do
+    # a set that many others are near to shares more places with more sets than they do
     popular = shared.groupBy("node").agg(F.sum("n").alias("popularity"))
-    shared = materialise(shared.join(popular, "node").join(chosen.select("node", *MEASURED), "node").select("key", "node", *MEASURED, "popularity"), "shared_bands")
+    shared = materialise(shared.join(popular, "node").join(chosen.select("node", *MEASURED), "node").select("key", "node", *MEASURED, "popularity"), "shared_sketches")
     centres = shared.groupBy("key").agg(F.max(F.struct("popularity", "node", *MEASURED)).alias("y")).select("key", "y.node", *(f"y.{c}" for c in MEASURED))
 
+    may_be = _may_be_similar(similarity) & close
     ordered = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    stars = shared.alias("x").join(centres.alias("y"), "key").where((F.col("x.node") != F.col("y.node")) & _may_be_similar(similarity)).select(*ordered)
+    stars = shared.alias("x").join(centres.alias("y"), "key").where((F.col("x.node") != F.col("y.node")) & may_be).select(*ordered)
     stars = materialise(stars.distinct(), "star_pairs")
     links = _verified(stars, nodes, texts, shingles, similarity)
     roots = materialise(components(links), "star_roots")
 
     grouped = shared.join(roots, "node", "left").select("key", "node", *MEASURED, F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = materialise(grouped.join(mixed, "key", "left_semi"), "mixed_bands")
-    crossing = rest.alias("x").join(rest.alias("y"), "key").where((F.col("x.root") < F.col("y.root")) & _may_be_similar(similarity)).select(*ordered)
+    rest = materialise(grouped.join(mixed, "key", "left_semi"), "mixed_places")
+    crossing = rest.alias("x").join(rest.alias("y"), "key").where((F.col("x.root") < F.col("y.root")) & may_be).select(*ordered)
     crossing = materialise(crossing.distinct().join(stars, ["a", "b"], "left_anti"), "crossing_pairs")
     if crossing.isEmpty():
         return marks, roots
