@@ -208,7 +208,8 @@ def adjust(tests: DataFrame, p: str, *keys: str, order: tuple[str, ...], out: st
     """Benjamini-Hochberg within the keys: least p * m / rank from each test on."""
     group = Window.partitionBy(*keys)
     ranked = tests.withColumn("_rn", F.row_number().over(group.orderBy(p, *order))).withColumn("_m", F.count("*").over(group))
-    least = F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(group.orderBy("_rn").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # backwards, as Spark keeps a running least only of what lies before a row; a frame that ends at the last row is read anew for each
+    least = F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(group.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return ranked.withColumn(out, F.least(F.lit(1.0), least)).drop("_rn", "_m")
 
 

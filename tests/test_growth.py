@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from tessera.operators import clustering
+from pyspark.sql import functions as F
+
+from tessera.operators import clustering, stats
 
 
 def test_mean_consensus_makes_no_pairs(spark, monkeypatch):
@@ -27,3 +29,14 @@ def test_mean_consensus_makes_no_pairs(spark, monkeypatch):
     for a, (n, x) in want.items():
         assert got[a][0] == n
         assert (got[a][1] is None) if not x else np.isclose(got[a][1], sum(x) / len(x), atol=1e-12)
+
+
+def test_adjustment_reads_no_frame_twice(spark):
+    """One group of many tests: the least from each on is a running one, and equal to that by NumPy."""
+    n = 60_000
+    x = spark.range(n).select("id", (F.col("id") * 2654435761 % 1000003 / 1000003.0).alias("p"))
+    out = stats.adjust(x, "p", order=("id",))
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().analyzed().toString().lower()
+    rows = out.toPandas().sort_values(["p", "id"])
+    q = rows["p"].to_numpy() * n / np.arange(1, n + 1)
+    assert np.allclose(rows["padj"].to_numpy(), np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1), rtol=0, atol=1e-12)
