@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, stats
+from tessera.operators import clustering, neighbors, stats
 
 
 def test_mean_consensus_makes_no_pairs(spark, monkeypatch):
@@ -40,3 +40,37 @@ def test_adjustment_reads_no_frame_twice(spark):
     rows = out.toPandas().sort_values(["p", "id"])
     q = rows["p"].to_numpy() * n / np.arange(1, n + 1)
     assert np.allclose(rows["padj"].to_numpy(), np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1), rtol=0, atol=1e-12)
+
+
+def _brute(m, k):
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return [sorted(range(len(m)), key=lambda j: (d[i, j], j))[:k] for i in range(len(m))]
+
+
+def test_vectors_without_structure_go_to_the_grid(spark, monkeypatch):
+    """Cells would leave nothing out; and what was found is read, not searched again."""
+    m = np.random.default_rng(5).normal(size=(900, 48))
+    used = []
+    grid = neighbors._in_grid
+    monkeypatch.setattr(neighbors, "_in_grid", lambda *a: used.append(a[3:]) or grid(*a))
+    near = neighbors.knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "cell_id long, v array<double>"), 6, block_rows=300)
+    assert used == [(300, 900, 900)]
+    assert "MapInArrow" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["src"], {})[r["rank"]] = r["dst"]
+    assert [[got[i][r] for r in range(1, 7)] for i in range(900)] == _brute(m, 6)
+
+
+def test_single_precision_leaves_none_out():
+    """Far from the origin, of very different lengths, equal vectors, and some that are no numbers."""
+    rng = np.random.default_rng(6)
+    for m in (rng.normal(size=(700, 5)) + 1e7, rng.normal(size=(700, 5)) * 10.0 ** rng.integers(-8, 8, (700, 1)), rng.integers(0, 3, (700, 5)).astype(float), rng.normal(size=(700, 5)) * np.where(np.arange(700) % 50, 1.0, 1e25)[:, None]):
+        m[690] = np.nan
+        for batch in (700, 64):
+            kernel = neighbors._Nearest(np.arange(300), m[:300], 7)
+            for at in range(0, 700, batch):
+                kernel.add(np.arange(700)[at : at + batch], m[at : at + batch], None)
+            rows = kernel.rows().to_pandas().sort_values(["src", "d", "dst"])
+            assert rows["dst"].to_numpy().reshape(300, 7).tolist() == _brute(np.where(np.isnan(m), np.inf, m), 7)[:300]
