@@ -89,3 +89,34 @@ def test_own_cell_bounds_a_query(spark):
         d[i] = np.inf
         assert [got[i][r] for r in range(1, 9)] == sorted(np.argsort(d, kind="stable")[:8], key=lambda j: (d[j], j))
     assert compared.value < 0.11 * 6_000**2
+
+
+def test_hierarchies_of_a_few_thousand_take_no_rounds(spark):
+    m = np.random.default_rng(8).normal(size=(1_500, 8))
+    merges = clustering.ward_merges(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "cell_id long, v array<double>"))
+    assert merges.agg(F.max("round"), F.count("*")).first() == (0, 1_499)
+
+
+def test_linkage_is_that_of_the_whole_matrix():
+    """Against the least of all distances at each step, with ties."""
+    rng = np.random.default_rng(9)
+    for method in ("single", "complete", "average", "ward"):
+        m = rng.integers(0, 4, (60, 2)).astype(float)
+        d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+        got = clustering.linkage(d, method)
+        np.fill_diagonal(d, np.inf)
+        name, size = list(range(60)), np.ones(60)
+        for new, step in enumerate(got, 60):
+            i, j = sorted(divmod(int(d.argmin()), 60))
+            assert step[:2] == tuple(sorted((name[i], name[j]))) and step[2] == d[i, j]
+            x, y, best = d[i].copy(), d[j].copy(), d[i, j]
+            if method == "ward":
+                with np.errstate(invalid="ignore"):
+                    row = np.sqrt(((size[i] + size) * x * x + (size[j] + size) * y * y - size * best * best) / (size[i] + size[j] + size))
+            else:
+                row = {"single": np.minimum(x, y), "complete": np.maximum(x, y), "average": (size[i] * x + size[j] * y) / (size[i] + size[j])}[method]
+            row[[i, j]] = np.inf
+            row[np.isnan(row)] = np.inf
+            d[i], d[:, i] = row, row
+            d[j], d[:, j] = np.inf, np.inf
+            size[i], size[j], name[i] = size[i] + size[j], 0, new
